@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontam, langid, quality, secret_scan, simhash, sql, toxicity
-from lectern.llm.common import table
+from lectern.llm import bpe, decontam, langid, quality, secret_scan, simhash, sql, tokenbin, toxicity
+from lectern.llm.common import shared_folder, table
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +30,19 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    return tokenbin.report(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op6_decontamination, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op5_bpe, op6_decontamination, op8_token_files, op9_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
