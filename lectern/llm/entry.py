@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontam, langid, quality, secret_scan, simhash, sql, tokenbin, toxicity
+from lectern.llm import bpe, decontam, langid, lm, quality, secret_scan, simhash, sql, tokenbin, toxicity
 from lectern.llm.common import shared_folder, table
 
 
@@ -30,6 +30,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -53,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op5_bpe, op6_decontamination, op8_token_files, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op4_lm, op5_bpe, op6_decontamination, op8_token_files, op9_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
