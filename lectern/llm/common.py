@@ -58,6 +58,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = SLICE_CH
                 begin, held = i + 1, 0
 
 
+def deal(rows: DataFrame, limit: int, key: str) -> DataFrame:
+    """Rows grouped by (cell, pair), sorted so in each partition, with no group over about 2 x limit rows.
+
+    A cell of more rows is split in k blocks by the hash of ``key``; a row of
+    block i goes to all pairs (i, j), so any two rows of a cell meet in exactly
+    one pair if their blocks differ, and in k pairs if not.
+    """
+    hot = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cell", F.ceil(F.col("n") / limit).cast("int").alias("k"))
+    dealt = rows.join(hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(key), F.col("k")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least("block", j) * F.col("k") + F.greatest("block", j))
+    spread = dealt.withColumn("pair", F.explode(pairs)).drop("k")
+    return spread.repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+
+
 class WordTable:
     """Rows of numbers by word, computed once for each word a worker meets.
 

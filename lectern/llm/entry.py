@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontam, langid, lm, quality, secret_scan, simhash, sql, tokenbin, toxicity
+from lectern.llm import bpe, decontam, embdedup, langid, lm, quality, secret_scan, simhash, sql, tokenbin, toxicity
 from lectern.llm.common import shared_folder, table
 
 
@@ -42,6 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.report(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     return tokenbin.report(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder)
@@ -57,8 +61,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op4_lm, op5_bpe, op6_decontamination, op8_token_files, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op4_lm, op5_bpe, op6_decontamination, op7_embeddings, op8_token_files, op9_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.DECONTAMINATION}
+    return {"op6_decontamination": sql.DECONTAMINATION, "op7_embeddings": sql.EMBEDDINGS}

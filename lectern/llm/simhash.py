@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, slices
+from lectern.llm.common import cut, deal, slices
 from lectern.llm.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 3
@@ -142,14 +142,8 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def links(distinct: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b): links that join all fingerprints within 3 bits of each other, directly or by others."""
-    rows = cells(distinct)
-    hot = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("k"))
-    dealt = rows.join(hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    # a row of block i goes to every pair (i, j); two rows meet in the pair of their blocks
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
-    spread = dealt.select("cell", F.explode(pairs).alias("pair"), "probe", "fp")
-    return spread.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_meet, "a long, b long").distinct()
+    spread = deal(cells(distinct), cell_rows, "fp").select("cell", "pair", "probe", "fp")
+    return spread.mapInArrow(_meet, "a long, b long").distinct()
 
 
 def component_ids(prints: DataFrame) -> DataFrame:

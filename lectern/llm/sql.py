@@ -29,3 +29,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hits.n_hit,
        coalesce(hits.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits ON d.r = hits.r LEFT JOIN its ON d.r = its.r
 """
+
+EMBEDDINGS = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), ok AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM e
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT a AS id, b AS other FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a
+), least_id AS (SELECT id, min(other) AS other FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.other, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(l.other, e.vec_id) AS kept
+FROM e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN least_id l ON e.vec_id = l.id
+"""
