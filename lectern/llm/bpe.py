@@ -238,7 +238,11 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
 
 def with_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """Pipeline stage: the rows with their token ids, their number, and whether they decode to the text."""
+    """Pipeline stage: the rows with their token ids, their number, and whether they decode to the text.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("n_tokens", "token_ids", "round_trip")
     model, width = docs.sparkSession.sparkContext.broadcast(Vocabulary(path)), len(docs.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

@@ -58,6 +58,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = SLICE_CH
                 begin, held = i + 1, 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def deal(rows: DataFrame, limit: int, key: str) -> DataFrame:
     """Rows grouped by (cell, pair), sorted so in each partition, with no group over about 2 x limit rows.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, deal, slices
+from lectern.llm.common import cut, deal, slices, unused
 from lectern.llm.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 3
@@ -168,8 +168,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id, all columns kept."""
-    own = with_fingerprint(docs, "_fp")
-    prints = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")))
-    keep = component_ids(prints).where("fp = keeper").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"))
-    kept = own.join(keep, (own["_fp"] == keep["_fp"]) & own["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates(["_fp", "doc_id"]).select(*docs.columns)
+    fp = unused(docs, "_fp")
+    own = with_fingerprint(docs, fp)
+    prints = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")))
+    keep = component_ids(prints).where("fp = keeper").select(F.col("fp").alias("_keep"), F.col("component_id").alias("_id"))
+    kept = own.join(keep, (own[fp] == keep["_keep"]) & own["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
+    return kept.dropDuplicates([fp, "doc_id"]).select(*docs.columns)

@@ -35,7 +35,7 @@ WITH RECURSIVE e AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 ), ok AS (
   SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM e
-  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
