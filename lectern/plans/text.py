@@ -125,7 +125,7 @@ def page_source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {SEGMENTS} SELECT doc_id, string_agg(source, chr(10) || chr(10) ORDER BY seq) AS source,
-  coalesce(string_agg('> ' || source, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE seq % 3 <> 0), '') AS target FROM segments GROUP BY doc_id""")
+  coalesce(string_agg(rtrim('> ' || source), chr(10) || chr(10) ORDER BY seq) FILTER (WHERE seq % 3 <> 0), '') AS target FROM segments GROUP BY doc_id""")
 def regrouped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments joined back in order; every third has no target yet."""
     s = segmented(spark, sf_dir).withColumn("target", F.when(F.col("seq") % 3 != 0, F.concat(F.lit("> "), "source")).otherwise("  "))
