@@ -144,7 +144,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS}, a AS (SELECT *, status < 400 AND trim(coalesce(text, '')) <> '' AND (attempt = 2 OR length(text) < 20 AND length(text) >= 3 OR length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) >= 0.3) AS ok,
   status >= 400 AND status <> 429 AND status < 500 AND attempt = 0 AS halt FROM att WHERE attempt <= 2),
 g AS (SELECT request_id, min(CASE WHEN ok THEN attempt END) AS attempt, bool_or(halt) AS stop FROM a GROUP BY request_id)
-SELECT g.request_id, CASE WHEN NOT stop THEN g.attempt END AS attempt, CASE WHEN NOT stop THEN a.text END AS text, CASE WHEN NOT stop THEN round(0.2 + g.attempt * 0.1, 1) END AS temperature FROM g LEFT JOIN a ON a.request_id = g.request_id AND a.attempt = g.attempt""")
+SELECT g.request_id, CASE WHEN NOT stop THEN g.attempt END AS attempt, CASE WHEN NOT stop THEN a.text END AS text, CASE WHEN NOT stop THEN CAST(round(0.2 + g.attempt * 0.1, 1) AS DOUBLE) END AS temperature FROM g LEFT JOIN a ON a.request_id = g.request_id AND a.attempt = g.attempt""")
 def accepted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which attempt of each request is taken."""
     return J.accepted_attempts(attempts(spark, sf_dir))
