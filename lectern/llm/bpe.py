@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import uuid
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -32,7 +33,7 @@ from lectern.llm.common import slices
 # Fixed value: how the vocabulary's authors split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text, words and pairs of neighbours a worker remembers; chunks in use outlive the others.
-CHUNKS, SEEN, PAIRS = 250_000, 300_000, 500_000
+CHUNKS, SEEN, PAIRS = 350_000, 400_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -47,6 +48,7 @@ class Vocabulary:
     """Tokens and merges of a byte-level BPE file, as plain tables that travel to the executors."""
 
     def __init__(self, path: str):
+        self.name = uuid.uuid4().hex
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         letters = byte_letters()
@@ -220,12 +222,23 @@ class Coder:
         return b"".join(map(self.v.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+_coders: dict[str, Coder] = {}
+
+
+def worker_coder(vocabulary: Vocabulary) -> Coder:
+    """This Python worker's coder: what it has learned serves all tasks it runs."""
+    if vocabulary.name not in _coders:
+        _coders.clear()
+        _coders[vocabulary.name] = Coder(vocabulary)
+    return _coders[vocabulary.name]
+
+
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, the number of tokens, and digests of the ids and of their decoded text."""
     model = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model.value)
+        coder = worker_coder(model.value)
         for part, texts in slices(batches, "text"):
             coded = coder.encode(texts)
             yield pa.RecordBatch.from_arrays([
@@ -247,7 +260,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model.value)
+        coder = worker_coder(model.value)
         for part, texts in slices(batches, "text"):
             coded = coder.encode(texts)
             same = [coder.decode(i) == (t or "") for (i, _), t in zip(coded, texts)]
