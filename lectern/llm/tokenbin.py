@@ -17,6 +17,7 @@ an empty table gives no files; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -40,7 +41,7 @@ CHECKSUMS = 0x80
 END = 2
 LEVEL = 1
 #: Words a worker remembers; those in use outlive the others.
-WORDS = 300_000
+WORDS = 600_000
 NULL_ID = -(1 << 63)
 
 
@@ -48,10 +49,14 @@ class Encoder:
     """The tokenizers library, asked once for each new word.
 
     White space is dropped by this vocabulary and never inside a token, so a
-    text's ids are those of its parts between ASCII white space in a row.
+    text's ids are those of its parts between ASCII white space in a row. Letters
+    are lower-cased by the vocabulary, so A-Z may be before the parts are looked
+    up, but for texts that may spell a special token. A point or comma after an
+    ASCII letter is a token of its own.
     """
 
     def __init__(self, data: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
@@ -59,26 +64,50 @@ class Encoder:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.marks = {m: self._ask([m])[0] for m in (b".", b",")}
+
+    def _ask(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _find(self, words: set[bytes]) -> None:
+        """Make the words known."""
+        known, older = self.known, self.older
+        for w in words.intersection(older):
+            known[w] = older[w]
+        new = words.difference(known)
+        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        if marked:
+            self._find({w[:-1] for w in marked}.difference(known))
+            for w in marked:
+                known[w] = known[w[:-1]] + self.marks[w[-1:]]
+            new.difference_update(marked)
+        plain = list(new)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            known.update(zip(part, self._ask(part)))
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text, with the end id."""
-        split = [t.encode().split() if t else [] for t in texts]
+        split = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts]
         if len(self.known) > WORDS:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for w in set(chain.from_iterable(split)).difference(known):
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        end = struct.pack("<I", END)
+        self._find(set(chain.from_iterable(split)).difference(self.known))
+        known, end = self.known, struct.pack("<I", END)
         return [b"".join([*map(known.__getitem__, s), end]) for s in split]
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def worker_encoder(data: str) -> Encoder:
+    """This Python worker's encoder: what it has learned serves all tasks it runs."""
+    key = zlib.crc32(data.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(data)
+    return _encoders[key]
+
+
 class Writer:
     """Appends documents to one file and ends it with its tables."""
 
@@ -145,7 +174,7 @@ def write(docs: DataFrame, path: str, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         store, place = fs.FileSystem.from_uri(folder)
-        encoder, writer, tokens = Encoder(data.value), None, 0
+        encoder, writer, tokens = worker_encoder(data.value), None, 0
         name = f"part-{TaskContext.get().partitionId():06d}.tok"
         own = f"{place}/.{name}.{uuid.uuid4().hex}"
         for part, texts in slices(batches, "text"):
