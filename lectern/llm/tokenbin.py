@@ -23,7 +23,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,9 +90,16 @@ class Encoder:
         split = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts]
         if len(self.known) > WORDS:
             self.known, self.older = {}, self.known
-        self._find(set(chain.from_iterable(split)).difference(self.known))
-        known, end = self.known, struct.pack("<I", END)
-        return [b"".join([*map(known.__getitem__, s), end]) for s in split]
+        get = self.known.get
+        parts = [list(map(get, s)) for s in split]
+        lacking = [(s, p) for s, p in zip(split, parts) if None in p]
+        self._find({w for s, p in lacking for w, x in zip(s, p) if x is None})
+        for s, p in lacking:
+            for i, x in enumerate(p):
+                if x is None:
+                    p[i] = get(s[i])
+        end = struct.pack("<I", END)
+        return [b"".join([*p, end]) for p in parts]
 
 
 _encoders: dict[int, Encoder] = {}
