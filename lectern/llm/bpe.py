@@ -202,7 +202,9 @@ class Coder:
         if len(self.chunks) > CHUNKS:
             self.chunks, self.older = {}, self.chunks
         known, older, new = self.chunks, self.older, []
-        for c in set(chain.from_iterable(pieces)).difference(known):
+        parts = [list(map(known.get, p)) for p in pieces]
+        lacking = [(p, got) for p, got in zip(pieces, parts) if None in got]
+        for c in {c for p, got in lacking for c, x in zip(p, got) if x is None}:
             if c in older:
                 known[c] = older[c]
             elif isinstance(c, int):
@@ -211,11 +213,11 @@ class Coder:
                 new.append(c)
         if new:
             self._learn(new)
-        out = []
-        for p in pieces:
-            got = [known[c] for c in p]
-            out.append((np.frombuffer(b"".join([g[0] for g in got]), np.uint32), ",".join([g[1] for g in got])))
-        return out
+        for p, got in lacking:
+            for i, x in enumerate(got):
+                if x is None:
+                    got[i] = known[p[i]]
+        return [(np.frombuffer(b"".join([g[0] for g in got]), np.uint32), ",".join([g[1] for g in got])) for got in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, special tokens included."""
