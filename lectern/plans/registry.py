@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import base, entities, layout, logs, memory, qa, text  # noqa: F401
+from lectern.plans import base, entities, layout, logs, memory, qa, sources, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
