@@ -139,7 +139,7 @@ class Coder:
 
 
 def fit(docs: DataFrame) -> Coder:
-    """Learn from every row of ``docs`` (text, lang); null languages are left out."""
+    """Learn from every row of ``docs`` (doc_id, text, lang); null languages are left out."""
     found = gram_counts(docs).toPandas()
     langs = sorted(found.lang.unique())
     counts = np.zeros((len(langs), BUCKETS))
@@ -147,7 +147,10 @@ def fit(docs: DataFrame) -> Coder:
         counts[np.searchsorted(langs, found.lang), found.bucket] = found.n
     coder = Coder(langs, counts)
     if langs:
-        few = docs.where(F.col("lang").isNotNull() & (F.length("text") <= CALIBRATION_CHARS)).orderBy(F.xxhash64("text"), "lang").limit(CALIBRATION_ROWS).select("text", "lang").collect()
+        # the hash of the last row wanted comes first, so that no task sends texts that are not used
+        known = docs.where("lang is not null").withColumn("h", F.xxhash64("doc_id"))
+        hashes = known.select("h").orderBy("h").limit(CALIBRATION_ROWS).collect()
+        few = known.where((F.col("h") <= hashes[-1].h) & (F.length("text") <= CALIBRATION_CHARS)).select("text", "lang").limit(CALIBRATION_ROWS).collect() if hashes else []
         few = [r for r in few if r.lang in langs]
         coder.calibrate([r.text for r in few], [r.lang for r in few])
     return coder
