@@ -125,7 +125,7 @@ def split_notes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Notes follow a heading, or are the last paragraphs from the first marked one
     on: at least two marked, the first in the last 55 %, two of them in a row.
     """
-    rows = docs.select(key, normal_notes(text).alias("_t"))
+    rows = docs.select(key, normal_notes(F.coalesce(col(text), F.lit(""))).alias("_t"))
     at = F.regexp_instr("_t", F.lit(NOTES_HEADING))
     heading = F.regexp_substr("_t", F.lit(NOTES_HEADING))
     rows = rows.withColumns({"_at": at, "_h": heading})
