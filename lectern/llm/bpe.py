@@ -33,7 +33,9 @@ from lectern.llm.common import slices
 # Fixed value: how the vocabulary's authors split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text, words and pairs of neighbours a worker remembers; chunks in use outlive the others.
-CHUNKS, SEEN, PAIRS = 350_000, 400_000, 500_000
+CHUNKS, SEEN, PAIRS = 300_000, 300_000, 300_000
+#: A pair's rank and its token in one number; pairs that never merge come after all others.
+MASK, NEVER = (1 << 24) - 1, 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -65,7 +67,6 @@ class Vocabulary:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             a, b = bytes(letters[c] for c in a), bytes(letters[c] for c in b)
             self.ranks[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.longest = max(map(len, self.ids))
 
 
 class Coder:
@@ -78,6 +79,10 @@ class Coder:
         #: text in which a space precedes white space or the end: chunks at spaces are not words there
         self.uneven = regex.compile(r"\x20(?:\s|$)")
         self.letters = [vocabulary.ids[bytes([b])] for b in range(256)]
+        self.order = {pair: rank << 24 | new for pair, (rank, new) in vocabulary.ranks.items()}
+        self.names = list(map(str, range(len(vocabulary.tokens))))
+        #: every beginning of a token, with the token's id or -1
+        self.starts = {t[:n]: -1 for t in vocabulary.ids for n in range(1, len(t))} | vocabulary.ids
         self.compatible: dict[int, bool] = {}
         self.base = len(vocabulary.tokens)
         self.chunks: dict[str, tuple[bytes, str]] = {}
@@ -90,19 +95,19 @@ class Coder:
         return self._merge_short(word) if len(word) <= 40 else self._merge_long(word)
 
     def _merge_short(self, word: bytes) -> list[int]:
-        parts, get, none = list(map(self.letters.__getitem__, word)), self.v.ranks.get, (1 << 60, 0)
-        found = [get(p, none) for p in zip(parts, parts[1:])]
+        parts, get = list(map(self.letters.__getitem__, word)), self.order.get
+        found = [get(p, NEVER) for p in zip(parts, parts[1:])]
         while found:
             best = min(found)
-            if best is none:
+            if best == NEVER:
                 break
             i = found.index(best)
-            parts[i : i + 2] = [best[1]]
-            del found[i]
+            parts[i] = best & MASK
+            del parts[i + 1], found[i]
             if i:
-                found[i - 1] = get((parts[i - 1], parts[i]), none)
+                found[i - 1] = get((parts[i - 1], parts[i]), NEVER)
             if i < len(found):
-                found[i] = get((parts[i], parts[i + 1]), none)
+                found[i] = get((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def _merge_long(self, word: bytes) -> list[int]:
@@ -127,15 +132,17 @@ class Coder:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        ids, out, at, n, longest = self.v.ids, [], 0, len(word), self.v.longest
-        if (whole := ids.get(word)) is not None:
+        if (whole := self.v.ids.get(word)) is not None:
             return [whole]
+        get, out, at, n = self.starts.get, [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                if (t := ids.get(word[at:end])) is not None:
-                    out.append(t)
-                    at = end
-                    break
+            best, to, end = -1, at + 1, at + 1
+            while end <= n and (t := get(word[at:end])) is not None:
+                if t >= 0:
+                    best, to = t, end
+                end += 1
+            out.append(best)
+            at = to
         return out
 
     def _known(self, code: int) -> bool:
@@ -173,12 +180,12 @@ class Coder:
     def _learn(self, new: list[str]) -> None:
         if len(self.seen) > SEEN:
             self.seen.clear()
-        seen, split = self.seen, [self.words.findall(c) for c in new]
+        seen, names, split = self.seen, self.names, [self.words.findall(c) for c in new]
         unseen = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in seen]
         seen.update(zip(unseen, self.encode_words([w.encode() for w in unseen])))
         for chunk, s in zip(new, split):
             own = seen[s[0]] if len(s) == 1 else list(chain.from_iterable([seen[w] for w in s]))
-            self.chunks[chunk] = (array("I", own).tobytes(), ",".join(map(str, own)))
+            self.chunks[chunk] = (array("I", own).tobytes(), ",".join([names[t] for t in own]))
 
     def _pieces(self, text: str) -> list[str | int]:
         """Chunks that are whole words each, and ids of special tokens."""
