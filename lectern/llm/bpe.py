@@ -33,7 +33,9 @@ from lectern.llm.common import slices
 # Fixed value: how the vocabulary's authors split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text, words and pairs of neighbours a worker remembers; chunks in use outlive the others.
-CHUNKS, SEEN, PAIRS = 300_000, 300_000, 300_000
+CHUNKS, SEEN, PAIRS = 450_000, 450_000, 300_000
+#: The same in a pipeline, whose workers also hold other stages' tables.
+PIPELINE_CHUNKS, PIPELINE_SEEN = 100_000, 150_000
 #: A pair's rank and its token in one number; pairs that never merge come after all others.
 MASK, NEVER = (1 << 24) - 1, 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -72,8 +74,8 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes whole texts; remembers chunks, and which neighbours are compatible."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS, seen: int = SEEN):
+        self.v, self.most_chunks, self.most_seen = vocabulary, chunks, seen
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         #: text in which a space precedes white space or the end: chunks at spaces are not words there
@@ -178,7 +180,7 @@ class Coder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.seen) > SEEN:
+        if len(self.seen) > self.most_seen:
             self.seen.clear()
         seen, names, split = self.seen, self.names, [self.words.findall(c) for c in new]
         unseen = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in seen]
@@ -206,7 +208,7 @@ class Coder:
     def encode(self, texts: list) -> list[tuple[np.ndarray, str]]:
         """(ids, ids as decimal text) of each whole text."""
         pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.chunks) > CHUNKS:
+        if len(self.chunks) > self.most_chunks:
             self.chunks, self.older = {}, self.chunks
         known, older, new = self.chunks, self.older, []
         parts = [list(map(known.get, p)) for p in pieces]
@@ -234,11 +236,11 @@ class Coder:
 _coders: dict[str, Coder] = {}
 
 
-def worker_coder(vocabulary: Vocabulary) -> Coder:
+def worker_coder(vocabulary: Vocabulary, *limits: int) -> Coder:
     """This Python worker's coder: what it has learned serves all tasks it runs."""
     if vocabulary.name not in _coders:
         _coders.clear()
-        _coders[vocabulary.name] = Coder(vocabulary)
+        _coders[vocabulary.name] = Coder(vocabulary, *limits)
     return _coders[vocabulary.name]
 
 
@@ -269,7 +271,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_coder(model.value)
+        coder = worker_coder(model.value, PIPELINE_CHUNKS, PIPELINE_SEEN)
         for part, texts in slices(batches, "text"):
             coded = coder.encode(texts)
             same = [coder.decode(i) == (t or "") for (i, _), t in zip(coded, texts)]
