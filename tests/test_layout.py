@@ -72,7 +72,7 @@ def test_pdf_header(spark):
 
 
 def test_html():
-    assert files.html_text("<h2>A</h2><ul><li>x</li></ul><table><tr><td>1</td><td>2</td></tr></table>a<br>b<script>no</script>") == "\n## A\n\n\n- x\n\n\n\n1\t2\n\na\n\nb"
+    assert files.html_text("<h2>A</h2><ul><li>x</li></ul><table><tr><td>1</td><td>2</td></tr></table>a<br>b<script>no</script>") == "\n## A\n\n- x\n\n\n1\t2\n\na\n\nb"
 
 
 def item(s, x, y, **k):
@@ -108,7 +108,7 @@ def test_office_files(spark):
 
 def test_entities(spark):
     names = spark.createDataFrame([("person", "張", 0), ("person", "王", 1), ("organization", "公司", 0), ("place", "市", 0), ("title", "先生", 0)], "kind string, word string, n int")
-    docs = spark.createDataFrame([(1, "張三丰。王生。王氏 張甲乙丙丁戊。大華公司、華公司\nhttp 王五\n台北市。縣市。a王先生"), (2, None)], "id int, text string")
+    docs = spark.createDataFrame([(1, "張三丰。王生。王氏 張甲乙丙丁戊。大華公司、華公司\nhttp 王五\n台北市。縣市。\na王先生"), (2, None)], "id int, text string")
     got = {(r.surface, r.type) for r in entities.extract(docs, "id", names).collect()}
     assert got == {("張三丰", "person"), ("大華公司", "organization"), ("台北市", "place"), ("王先生", "title")}
     shown = [r.surface for r in entities.in_order(spark.createDataFrame([("李", "person"), ("王", "person"), ("张", "person"), ("甲", "title")], "surface string, type string")).collect()]
