@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.text import units
 from lectern.operators import segments as S
 from lectern.plans.base import query, table
 from lectern.plans.qa import PAIRS, pairs
@@ -162,3 +163,11 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = d.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("b"))
     packed = blocks.select("doc", S.pack(F.filter(F.col("b.p"), lambda s: s != ""), S.SECTION).alias("s"))
     return packed.select("doc", F.posexplode("s").alias("i", "text")).select("doc", (F.col("i") + 1).alias("page_number"), F.length("text").alias("chars"))
+
+
+@query()
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's paragraphs, cleaned and packed into its sections; without SQL, as cleaning needs look-behind."""
+    blocks = documents(spark, sf_dir).select("doc_id", S.paragraphs(F.coalesce("text", F.lit(""))).alias("b"))
+    rows = blocks.select("doc_id", F.posexplode(S.sections(F.col("b"))).alias("i", "text"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("page_number"), "text", units("text").alias("chars"))
