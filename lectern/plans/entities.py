@@ -126,3 +126,34 @@ def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities as they are shown."""
     return E.in_order(part_entities(spark, sf_dir, 2)).select("surface", "type")
+
+
+KINDS_OF = "(['person','organization','place','title','term','other'])[p_size % 6 + 1]"
+#: All parts on both sides; the new ones are named by twice their number, so that only some meet.
+ALL_KNOWN = f"kn AS (SELECT 'part ' || p_partkey AS surface, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS gloss, {KINDS_OF} AS type FROM part)"
+ALL_FRESH = "fr AS (SELECT 'part ' || (p_partkey * 2) AS surface, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS gloss, 'term' AS type FROM part)"
+
+
+def all_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("part "), (F.col("p_partkey") * 2).cast("string")).alias("surface"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")).alias("gloss"), F.lit("term").alias("type"))
+
+
+@query(f"WITH {ALL_KNOWN} SELECT surface, type FROM kn")
+def all_ordered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of all parts as they are shown."""
+    return E.in_order(part_entities(spark, sf_dir, 1)).select("surface", "type")
+
+
+@query(f"WITH {ALL_KNOWN}, {ALL_FRESH} SELECT coalesce(kn.surface, fr.surface) AS surface, coalesce(nullif(fr.gloss, ''), kn.gloss) AS gloss, coalesce(kn.type, fr.type) AS type FROM kn FULL JOIN fr ON kn.surface = fr.surface")
+def all_merged_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known entities of all parts with a service's new glosses."""
+    return E.merge_glosses(part_entities(spark, sf_dir, 1), all_fresh(spark, sf_dir))
+
+
+@query(f"WITH gl AS (SELECT 'part ' || p_partkey AS term, p_type AS gloss, p_size % 5 = 0 AS locked, p_size % 7 = 0 AS confirmed FROM part), {ALL_FRESH} SELECT coalesce(gl.term, fr.surface) AS term, CASE WHEN coalesce(locked OR confirmed, false) THEN gl.gloss ELSE coalesce(nullif(fr.gloss, ''), gl.gloss, '') END AS gloss, coalesce(locked, false) AS locked, coalesce(confirmed, false) AS confirmed FROM gl FULL JOIN fr ON gl.term = fr.surface")
+def all_merged_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary of all parts with the entities' glosses where nobody fixed one."""
+    p = table(spark, sf_dir, "part")
+    g = p.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("term"), F.col("p_type").alias("gloss"), (F.col("p_size") % 5 == 0).alias("locked"), (F.col("p_size") % 7 == 0).alias("confirmed"))
+    return E.merge_glossary(g, all_fresh(spark, sf_dir))
