@@ -1,14 +1,16 @@
-"""Language-model scores: online logistic mixing of hashed-context bit predictors.
+"""Language-model scores: online logistic mixing of context bit predictors.
 
 A text is predicted byte by byte and bit by bit. Predictors for contexts of one
-to four bytes keep counts of zeros and ones in hashed slots; their stretched
+to four bytes have exact counts of zeros and ones, all from one table of the
+distinct runs of five bytes, which grows with the corpus. Their stretched
 probabilities are combined by weights that two gates choose (the bits of the
 byte so far, and how far back the context is known), and the mix is refined by a
-table of what really followed such predictions. Each task learns online over its
-training texts, always predicting a part before counting it; counts, weights and
-refinements of all tasks are then added up. With the model fixed, a byte's cost
-depends only on itself and the four bytes before it, so scoring computes each
-such run of five once.
+table of what really followed such predictions. Weights and refinements are
+learned online over a fixed number of parts of the table, each run predicted
+from all occurrences but its own, and averaged; so they do not depend on how the
+input is partitioned. With the model fixed, a byte's cost depends only on itself
+and the four bytes before it: costs of frequent runs are looked up in place, all
+others are joined.
 
 Beside it stands the word-frequency score: frequent words (a bounded table) are
 looked up in place, all others are joined with the counts of all words.
@@ -27,37 +29,36 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import crc_mod, cut, slices, sums
 
-#: Bytes of context of each predictor, and the binary log of its slots.
-ORDERS, SLOT_BITS = (1, 2, 3, 4), (16, 17, 18, 18)
+#: Bytes of context of each predictor.
+ORDERS = (1, 2, 3, 4)
 DEPTH = max(ORDERS)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
-SLOTS = int(OFFSETS[-1])
-PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = len(ORDERS) + 1
 LEVELS, STEPS = 3 * (len(ORDERS) + 1), 25
-#: Bytes of the first and of the longest online step, runs per weight update, slots per block that tasks add up.
-LEAST_CHARS, MOST_CHARS, UPDATE, BLOCK = 100_000, 4_000_000, 8192, 4096
-#: Runs of bytes a worker remembers the cost of, and frequent words that are looked up in place.
-REMEMBERED, FREQUENT = 1 << 21, 120_000
+#: Parts of the table of runs that learn apart, runs a part holds at once, passes over them, runs per weight update.
+PARTS, HELD, PASSES, UPDATE = 32, 100_000, 8, 1024
+#: Binary log of a worker's table of costs, frequent runs and frequent words that are looked up in place.
+TABLE_BITS, FREQUENT_RUNS, FREQUENT = 21, 1 << 20, 120_000
 FLUSH = 400_000
 WEIGHTS = 256 * INPUTS + LEVELS * INPUTS
 PARAMETERS = WEIGHTS + 2 * 256 * STEPS
 
 
 def runs(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte of the texts, and of their ends, with the bytes before it as one number; and counts by text."""
+    """Every byte of the texts, and of their ends, with the bytes before it as one number, the nearest foremost; and counts by text."""
     before = bytes(DEPTH)
     raw = [before + t.encode("utf-8", "replace") + b"\0" if t else before + b"\0" for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     key = data[DEPTH:].copy()
     for back in range(1, DEPTH + 1):
-        key |= data[DEPTH - back : len(data) - back] << np.uint64(8 * back)
+        key |= data[DEPTH - back : len(data) - back] << np.uint64(8 * (DEPTH + 1 - back))
     keep = np.ones(len(key), bool)
     starts = np.cumsum(sizes)[:-1]
     for k in range(DEPTH):  # the zeros before a text are context only
@@ -65,44 +66,62 @@ def runs(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], sizes - DEPTH
 
 
-def bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the 8 bits of each run: the byte's bits so far, the bit itself, and each predictor's slot."""
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their numbers."""
+    out, at = np.unique(keys, return_inverse=True)
+    return out, np.bincount(at, weights=n, minlength=len(out))
+
+
+def context(keys: np.ndarray, order: int) -> np.ndarray:
+    """The nearest bytes before, then the byte."""
+    return (keys >> np.uint64(8 * (DEPTH + 1 - order)) << np.uint64(8)) | (keys & np.uint64(255))
+
+
+class Counts:
+    """How often bytes came after contexts, of whole groups of runs; ``first`` has those of order 1."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, first: tuple | None = None):
+        self.by_order = []
+        for order in ORDERS:
+            k, c = first if order == 1 and first else added(context(keys, order), n)
+            self.by_order.append((k, np.concatenate([[0.0], np.cumsum(c)])))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """By predictor and number of known bits (0 to 8): how often the byte's bits so far came."""
+        out = np.empty((len(ORDERS), 9, len(keys)))
+        for o, order in enumerate(ORDERS):
+            (k, total), own = self.by_order[o], context(keys, order)
+            for known in range(9):
+                size = np.uint64(1 << (8 - known))
+                low = own & ~(size - np.uint64(1))
+                out[o, known] = total[np.searchsorted(k, low + size)] - total[np.searchsorted(k, low)]
+        return out
+
+
+def inputs(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the 8 bits of each run: bits so far, the bit, stretched probabilities (and a bias), and the gate of known context."""
     byte = (keys & np.uint64(255)).astype(np.int64) | 256
     shift = np.arange(8, 0, -1)[:, None]
-    node = byte >> shift
-    bit = (byte >> (shift - 1)) & 1
-    slots = np.empty((len(ORDERS), 8, len(keys)), np.int64)
-    for k, (order, size) in enumerate(zip(ORDERS, SLOT_BITS)):
-        context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-        mixed = (context + np.uint64(order)) * np.uint64(PRIMES[k])
-        mixed ^= mixed >> np.uint64(29)
-        slots[k] = ((mixed[None] + node.astype(np.uint64) * np.uint64(PRIMES[(k + 1) % 4])) * np.uint64(PRIMES[(k + 2) % 4]) >> np.uint64(64 - size)).astype(np.int64) + OFFSETS[k]
-    return node, bit, slots
+    node, bit = byte >> shift, (byte >> (shift - 1)) & 1
+    total, same = seen[:, :-1], seen[:, 1:]
+    x = np.empty((INPUTS, *node.shape), np.float32)
+    x[:-1] = np.log((same + 0.3) / (total - same + 0.3)) * (2 * bit - 1)
+    x[-1] = 0.3
+    known = (total > 0).sum(axis=0)
+    top = np.take_along_axis(total, np.maximum(known - 1, 0)[None], axis=0)[0]
+    return node, bit, x, np.minimum(known * 3 + (top > 3) + (top > 30), LEVELS - 1)
 
 
 class Mixer:
-    """Counts by slot, gated weights, and the refinement table."""
+    """Gated weights and the refinement table; with the runs learned so far where it is used by itself."""
 
     def __init__(self):
-        self.counts = np.zeros((SLOTS, 2), np.float32)
         self.by_node = np.full((256, INPUTS), 0.25, np.float32)
         self.by_level = np.full((LEVELS, INPUTS), 0.15, np.float32)
         self.speed_node, self.speed_level = np.full((256, INPUTS), 1e-2), np.full((LEVELS, INPUTS), 1e-2)
         self.seen, self.was_one = np.zeros((256, STEPS)), np.zeros((256, STEPS))
         self.bytes = 0
-
-    def inputs(self, node: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched probabilities of the predictors (and a bias), and the gate of known context."""
-        found = self.counts[slots]
-        n0, n1 = found[..., 0], found[..., 1]
-        total = n0 + n1
-        x = np.empty((INPUTS, *node.shape), np.float32)
-        np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)), out=x[:-1])
-        x[-1] = 0.3
-        known = (total > 0).sum(axis=0)
-        top = np.take_along_axis(total, np.maximum(known - 1, 0)[None], axis=0)[0]
-        level = known * 3 + np.minimum((top > 3).astype(np.int64) + (top > 30), 2)
-        return x, np.minimum(level, LEVELS - 1)
+        self.runs = np.empty(0, np.uint64), np.empty(0)
 
     def mix(self, x: np.ndarray, node: np.ndarray, level: np.ndarray) -> np.ndarray:
         w = self.by_node[node] + self.by_level[level]
@@ -112,113 +131,158 @@ class Mixer:
     def step(stretched: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(stretched * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
 
+    def fit(self, keys: np.ndarray, n: np.ndarray, counts: Counts) -> None:
+        """Move the weights online over distinct runs, each predicted from all other occurrences; then note what came."""
+        node, bit, x, level = inputs(keys, counts(keys) - 1)
+        every = np.broadcast_to(n, node.shape)
+        for again in range(PASSES):
+            order = np.random.default_rng(again).permutation(len(keys))
+            for at in range(0, len(order), UPDATE):
+                i = order[at : at + UPDATE]
+                xi, e = x[..., i], every[:, i].ravel()
+                miss = (bit[:, i] - 1 / (1 + np.exp(-self.mix(xi, node[:, i], level[:, i])))).ravel() * e
+                for table, speed, gate in ((self.by_node, self.speed_node, node[:, i].ravel()), (self.by_level, self.speed_level, level[:, i].ravel())):
+                    g = np.stack([np.bincount(gate, weights=miss * xi[k].ravel(), minlength=len(table)) for k in range(INPUTS)], axis=1)
+                    g /= np.maximum(np.bincount(gate, weights=e, minlength=len(table)), 1)[:, None]
+                    speed += g * g
+                    table += (0.02 * g / np.sqrt(speed)).astype(np.float32)
+        where = (node * STEPS + self.step(self.mix(x, node, level))).ravel()
+        self.seen += np.bincount(where, weights=every.ravel(), minlength=256 * STEPS).reshape(256, STEPS)
+        self.was_one += np.bincount(where, weights=(every * bit).ravel(), minlength=256 * STEPS).reshape(256, STEPS)
+        self.bytes += int(n.sum())
+
     def learn(self, keys: np.ndarray) -> None:
-        """One online step: predict the runs, move the weights and refinements, then count."""
-        keys, times = np.unique(keys, return_counts=True)
-        order = np.random.default_rng(len(keys)).permutation(len(keys)) if self.bytes else []
-        for at in range(0, len(order), UPDATE):
-            part = order[at : at + UPDATE]
-            node, bit, slots = bits(keys[part])
-            x, level = self.inputs(node, slots)
-            s = self.mix(x, node, level)
-            every = np.broadcast_to(np.minimum(times[part], 50).astype(np.float32), node.shape).ravel()
-            miss = (bit - 1 / (1 + np.exp(-s))).ravel() * every
-            for table, speed, gate in ((self.by_node, self.speed_node, node.ravel()), (self.by_level, self.speed_level, level.ravel())):
-                g = np.stack([np.bincount(gate, weights=miss * x[i].ravel(), minlength=len(table)) for i in range(INPUTS)], axis=1)
-                g /= np.maximum(np.bincount(gate, weights=every, minlength=len(table)), 1)[:, None]
-                speed += g * g
-                table += (0.02 * g / np.sqrt(speed)).astype(np.float32)
-            where = (node * STEPS + self.step(s)).ravel()
-            self.seen += np.bincount(where, weights=every, minlength=256 * STEPS).reshape(256, STEPS)
-            self.was_one += np.bincount(where, weights=every * bit.ravel(), minlength=256 * STEPS).reshape(256, STEPS)
-        for at in range(0, len(keys), 16 * UPDATE):
-            node, bit, slots = bits(keys[at : at + 16 * UPDATE])
-            every = np.broadcast_to(times[at : at + 16 * UPDATE].astype(np.float64), slots.shape)
-            self.counts += np.bincount((slots * 2 + bit).ravel(), weights=every.ravel(), minlength=2 * SLOTS).reshape(SLOTS, 2)
-        self.bytes += int(times.sum())
-
-    def cost(self, keys: np.ndarray) -> np.ndarray:
+        self.runs = added(np.concatenate([self.runs[0], keys]), np.concatenate([self.runs[1], np.ones(len(keys))]))
+        self.fit(*self.runs, Counts(*self.runs))
+
+    def cost(self, keys: np.ndarray, counts: Counts | None = None) -> np.ndarray:
         """-log10 of the probability of each run's last byte."""
-        out = np.empty(len(keys))
-        for at in range(0, len(keys), UPDATE):
-            node, bit, slots = bits(keys[at : at + UPDATE])
-            x, level = self.inputs(node, slots)
+        counts, out = counts or Counts(*self.runs), np.empty(len(keys))
+        for at in range(0, len(keys), 8192):
+            part = keys[at : at + 8192]
+            node, bit, x, level = inputs(part, counts(part))
             s = self.mix(x, node, level)
             p = 1 / (1 + np.exp(-s.astype(np.float64)))
             where = self.step(s)
             refined = (self.was_one[node, where] + 8 * p) / (self.seen[node, where] + 8)
             p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-            out[at : at + UPDATE] = -np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=0)
+            out[at : at + 8192] = -np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=0)
         return out
 
 
-def learned(texts: DataFrame) -> Mixer:
-    """The sum of what all tasks learn from their training texts."""
+def run_counts(rows: DataFrame) -> DataFrame:
+    """(k, n, m): every distinct run of five bytes, how often it came in training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, m = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        for part, texts in slices(batches, "text"):
+            new, sizes = runs(texts)
+            train = np.repeat(~np.asarray(part.column("held_out").to_pylist(), bool), sizes)
+            own, at = np.unique(new, return_inverse=True)
+            both = np.concatenate([keys, own])
+            n = np.concatenate([n, np.bincount(at, weights=train, minlength=len(own))])
+            m = np.concatenate([m, np.bincount(at, minlength=len(own))])
+            keys, at = np.unique(both, return_inverse=True)
+            n, m = np.bincount(at, weights=n), np.bincount(at, weights=m)
+            if len(keys) > FLUSH:
+                yield _table(k=keys, n=n, m=m)
+                keys, n, m = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        yield _table(k=keys, n=n, m=m)
+
+    return rows.mapInArrow(run, "k long, n long, m long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _table(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(v if v.dtype == np.float64 and c == "cost" else v.astype(np.int64)) for c, v in columns.items()})
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted runs with n and m, so many at once, runs with the same two bytes before never apart."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in "knm"))
+        size += len(held[-1][0])
+        if size >= HELD:
+            k, n, m = map(np.concatenate, zip(*held))
+            end = np.searchsorted(k >> 24, k[-1] >> 24)
+            if end:
+                yield k[:end].astype(np.uint64), n[:end].astype(np.float64), m[:end]
+            held, size = [(k[end:], n[end:], m[end:])], len(k) - end
+    if size:
+        k, n, m = map(np.concatenate, zip(*held))
+        yield k.astype(np.uint64), n.astype(np.float64), m
+
+
+def priced(counts: DataFrame) -> DataFrame:
+    """(k, m, cost) of every run: the weights are fitted by part of the table, averaged, then used unchanged."""
+    byte = F.col("k").bitwiseAND(255)
+    rows = counts.where("n > 0").groupBy(F.shiftright("k", 32).alias("c"), byte.alias("b")).agg(F.sum("n").alias("n")).select((F.col("c") * 256 + F.col("b")).alias("k"), "n").orderBy("k").collect()
+    first = np.array([r.k for r in rows], np.uint64), np.array([r.n for r in rows], np.float64)
+    parts = counts.repartition(PARTS, F.shiftright("k", 24)).sortWithinPartitions("k")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer()
-        held, size = [], 0
-        for _, part in slices(batches, "text", LEAST_CHARS):
-            held.append(runs(part)[0])
-            size += len(held[-1])
-            # parts double in size: a run that comes often in a part is worked on once
-            if size >= min(max(own.bytes, LEAST_CHARS), MOST_CHARS):
-                own.learn(np.concatenate(held))
-                held, size = [], 0
-        if held:
-            own.learn(np.concatenate(held))
-        if not own.bytes:
-            return
-        both = own.counts
-        full = [b for b in range(-(-SLOTS // BLOCK)) if both[b * BLOCK : (b + 1) * BLOCK].any()]
-        data = [both[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32).tobytes() for b in full]
-        weights = np.concatenate([own.by_node.ravel(), own.by_level.ravel()]).astype(np.float64) * own.bytes
-        rest = np.concatenate([weights, own.seen.ravel(), own.was_one.ravel(), [own.bytes]])
-        yield pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array([*data, rest.tobytes()], pa.binary())], names=["block", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                now = np.frombuffer(data, np.float64 if block < 0 else np.uint32).astype(np.float64)
-                total[block] = total[block] + now if block in total else now
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["block", "data"])
-
-    schema = "block int, data binary"
-    rows = texts.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).collect()
-    out = Mixer()
-    both = np.zeros((-(-SLOTS // BLOCK) * BLOCK, 2))
-    for r in rows:
-        got = np.frombuffer(r.data, np.float64)
-        if r.block >= 0:
-            both[r.block * BLOCK : r.block * BLOCK + len(got) // 2] = got.reshape(-1, 2)
-        else:
-            n = got[-1]
-            out.by_node = (got[: 256 * INPUTS] / n).reshape(256, INPUTS).astype(np.float32)
-            out.by_level = (got[256 * INPUTS : WEIGHTS] / n).reshape(LEVELS, INPUTS).astype(np.float32)
-            out.seen, out.was_one = got[WEIGHTS:PARAMETERS].reshape(2, 256, STEPS)
-            out.bytes = int(n)
-    out.counts = both[:SLOTS].astype(np.float32)
-    return out
+        for k, n, _ in groups(batches):
+            if (n > 0).any():
+                own.fit(k[n > 0], n[n > 0], Counts(k, n, first))
+        if own.bytes:
+            weights = np.concatenate([own.by_node.ravel(), own.by_level.ravel()]).astype(np.float64) * own.bytes
+            data = np.concatenate([weights, own.seen.ravel(), own.was_one.ravel(), [own.bytes]])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    mixer = Mixer()
+    if fitted := sorted(parts.mapInArrow(fit, "part int, data binary").collect()):
+        got = np.sum([np.frombuffer(r.data, np.float64) for r in fitted], axis=0)
+        mixer.bytes = int(got[-1])
+        mixer.by_node = (got[: 256 * INPUTS] / got[-1]).reshape(256, INPUTS).astype(np.float32)
+        mixer.by_level = (got[256 * INPUTS : WEIGHTS] / got[-1]).reshape(LEVELS, INPUTS).astype(np.float32)
+        mixer.seen, mixer.was_one = got[WEIGHTS:PARAMETERS].reshape(2, 256, STEPS)
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, n, m in groups(batches):
+            yield _table(k=k, m=m, cost=mixer.cost(k, Counts(k, n, first)))
+
+    return parts.mapInArrow(price, "k long, m long, cost double")
+
+
+def frequent_runs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that come most, at most FREQUENT_RUNS, in order, with their costs."""
+    step = F.floor(F.log2("m") * 4)
+    sizes = {r.step: r.size for r in costs.groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()}
+    least, held = math.inf, 0
+    for s in sorted(sizes, reverse=True):
+        if held + sizes[s] > FREQUENT_RUNS:
+            break
+        least, held = s, held + sizes[s]
+    if not held:
+        return np.empty(0, np.uint64), np.empty(0)
+    t = costs.where(step >= least).select("k", "cost").toArrow()
+    k, cost = t.column("k").to_numpy().astype(np.uint64), t.column("cost").to_numpy()
+    order = np.argsort(k)
+    return k[order], cost[order]
 
 
 class Costs:
-    """Costs of runs, remembered in a table that new runs overwrite."""
+    """Costs of frequent runs, in a table that runs overwrite; nan for runs that must be joined."""
 
-    def __init__(self, mixer: Mixer):
-        self.mixer = mixer
-        self.keys, self.costs = np.full(REMEMBERED, np.uint64(2**64 - 1)), np.zeros(REMEMBERED, np.float32)
+    def __init__(self, known: np.ndarray, cost: np.ndarray):
+        self.known, self.cost = known, cost
+        self.keys, self.costs = np.full(1 << TABLE_BITS, np.uint64(2**64 - 1)), np.zeros(1 << TABLE_BITS)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = ((keys * np.uint64(PRIMES[0])) >> np.uint64(64 - 21)).astype(np.int64)
-        out = self.costs[at].astype(np.float64)
+        at = (keys * PRIME) >> np.uint64(64 - TABLE_BITS)
+        out = self.costs[at]
         miss = np.flatnonzero(self.keys[at] != keys)
         if len(miss):
             new, back = np.unique(keys[miss], return_inverse=True)
-            cost = self.mixer.cost(new)
+            cost = np.full(len(new), np.nan)
+            if len(self.known):
+                spot = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
+                cost = np.where(self.known[spot] == new, self.cost[spot], np.nan)
             out[miss] = cost[back]
-            spot = ((new * np.uint64(PRIMES[0])) >> np.uint64(64 - 21)).astype(np.int64)
-            self.keys[spot], self.costs[spot] = new, cost
+            at = (new * PRIME) >> np.uint64(64 - TABLE_BITS)
+            self.keys[at], self.costs[at] = new, cost
         return out
 
 
@@ -265,14 +329,19 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     counts = cut(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     sc = docs.sparkSession.sparkContext
-    mixer, known = sc.broadcast(learned(training)), sc.broadcast({w: math.log10(c + 1) for w, c in frequent(counts).items()})
+    priced_runs = cut(priced(cut(run_counts(rows))))
+    often_run, known = sc.broadcast(frequent_runs(priced_runs)), sc.broadcast({w: math.log10(c + 1) for w, c in frequent(counts).items()})
     each = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs, get = Costs(mixer.value), known.value.get
+        costs, get = Costs(*often_run.value), known.value.get
         for part, texts in slices(batches, "text"):
             keys, sizes = runs(texts)
-            model = -sums(costs(keys), sizes)
+            cost = costs(keys)
+            apart = np.isnan(cost)
+            far = np.concatenate([[0], np.cumsum(sums(apart, sizes))]).astype(np.int32)
+            far = pa.ListArray.from_arrays(pa.array(far), pa.array(keys[apart].astype(np.int64)))
+            model = -sums(np.where(apart, 0, cost), sizes)
             total, sure, base, rare, often = [], [], [], [], []
             for t in texts:
                 words = [*tokens(t), b""]
@@ -286,16 +355,17 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 often.append(list(other.values()))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("held_out"), pa.array(total, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(model), pa.array([b" ".join(r) if r else None for r in rare], pa.binary()), pa.array(often, pa.list_(pa.int32())),
-            ], names=["doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "often"])
+                pa.array(model), pa.array([b" ".join(r) if r else None for r in rare], pa.binary()), pa.array(often, pa.list_(pa.int32())), far,
+            ], names=["doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "often", "far"])
 
-    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare binary, often array<int>")
+    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare binary, often array<int>, far array<long>")
     first = cut(first.withColumn("row", F.monotonically_increasing_id()))
     words = F.arrays_zip(F.split(F.col("rare").cast("string"), " ", -1).alias("w"), F.col("often").alias("k"))
     apart = first.where("rare is not null").select("row", F.explode(words).alias("x")).select("row", F.col("x.w").cast("binary").alias("word"), F.col("x.k").alias("k"))
     found = apart.join(counts, "word").groupBy("row").agg(F.sum("k").cast("long").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
+    more = first.select("row", F.explode("far").alias("k")).groupBy("row", "k").count().join(priced_runs, "k").groupBy("row").agg(F.sum(F.col("count") * F.col("cost")).alias("cost"))
     zero = F.lit(0).cast("long")
-    return first.join(found, "row", "left").select(
+    return first.join(found, "row", "left").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("more", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), (F.col("score") - F.coalesce("cost", F.lit(0.0))).alias("score"),
     )

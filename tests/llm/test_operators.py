@@ -338,3 +338,22 @@ def test_quality(spark, data):
     rows = result(spark, data, "op10_quality")
     assert accuracy(spark, rows, "quality") > 0.9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert quality.features(["", "a b", "Ü!"]).shape[0] == 3
+
+
+def test_lm_scores_of_the_whole_corpus(spark, data, monkeypatch):
+    """Counts are exact for every context, and scores depend neither on partitions nor on which runs are joined."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(60)
+    one = {r.doc_id: r.score for r in lm.score(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm.score(docs.repartition(16)).collect()}
+    monkeypatch.setattr(lm, "FREQUENT_RUNS", 500)
+    joined = {r.doc_id: r.score for r in lm.score(docs.repartition(3)).collect()}
+    assert one == pytest.approx(many, rel=1e-9) and one == pytest.approx(joined, rel=1e-9)
+    rows = lm.run_counts(docs.selectExpr("false AS held_out", "text")).collect()
+    want = Counter(k for r in docs.collect() for k in lm.runs([r.text])[0].tolist())
+    assert {r.k: r.n for r in rows} == {r.k: r.m for r in rows} == want
+    keys, n = np.array(sorted(want), np.uint64), np.array([want[k] for k in sorted(want)], np.float64)
+    seen = lm.Counts(keys, n)(keys[:200])
+    for i, k in enumerate(keys[:200].tolist()):
+        for o, order in enumerate(lm.ORDERS):
+            same = [(r, c) for r, c in want.items() if r >> 8 * (5 - order) == k >> 8 * (5 - order)]
+            assert seen[o, :, i].tolist() == [sum(c for r, c in same if (r & 255) >> 8 - d == (k & 255) >> 8 - d) for d in range(9)]
