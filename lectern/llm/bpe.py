@@ -24,18 +24,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from lectern.llm.common import slices
+from lectern.llm.common import parts
 
 # Fixed value: how the vocabulary's authors split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks of text, words and pairs of neighbours a worker remembers; chunks in use outlive the others.
-CHUNKS, SEEN, PAIRS = 450_000, 450_000, 300_000
-#: The same in a pipeline, whose workers also hold other stages' tables.
-PIPELINE_CHUNKS, PIPELINE_SEEN = 100_000, 150_000
+#: For Arrow: text in which a space may precede white space or the end.
+UNEVEN = r" ([\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
+#: Bytes of chunks a worker remembers, twice at most, and as many of words; the same in a pipeline, whose workers
+#: also hold other stages' tables; what an entry takes besides; longer ones are not remembered; pairs of neighbours.
+HELD_BYTES, PIPELINE_BYTES, ENTRY, LONGEST, PAIRS = 120_000_000, 50_000_000, 200, 64, 300_000
+#: Bytes of text encoded at once.
+AT_ONCE = 16_000_000
 #: A pair's rank and its token in one number; pairs that never merge come after all others.
 MASK, NEVER = (1 << 24) - 1, 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -74,22 +79,25 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes whole texts; remembers chunks, and which neighbours are compatible."""
 
-    def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS, seen: int = SEEN):
-        self.v, self.most_chunks, self.most_seen = vocabulary, chunks, seen
+    def __init__(self, vocabulary: Vocabulary, held: int = HELD_BYTES):
+        self.v, self.most = vocabulary, held
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         #: text in which a space precedes white space or the end: chunks at spaces are not words there
         self.uneven = regex.compile(r"\x20(?:\s|$)")
         self.letters = [vocabulary.ids[bytes([b])] for b in range(256)]
         self.order = {pair: rank << 24 | new for pair, (rank, new) in vocabulary.ranks.items()}
-        self.names = list(map(str, range(len(vocabulary.tokens))))
+        self.tokens = pa.array(vocabulary.tokens, pa.large_binary())
+        self.names = pa.array(list(map(str, range(len(vocabulary.tokens)))))
         #: every beginning of a token, with the token's id or -1
         self.starts = {t[:n]: -1 for t in vocabulary.ids for n in range(1, len(t))} | vocabulary.ids
         self.compatible: dict[int, bool] = {}
         self.base = len(vocabulary.tokens)
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
-        self.seen: dict[str, list[int]] = {}
+        #: ids of chunks and of their words, the former twice so that those in use outlive the others
+        self.chunks: dict[str | int, bytes] = {}
+        self.older: dict[str | int, bytes] = {}
+        self.seen: dict[str, bytes] = {}
+        self.held = self.held_seen = 0
         self.failed = 0
 
     def merge(self, word: bytes) -> list[int]:
@@ -179,15 +187,42 @@ class Coder:
         self.failed += int(bad.sum())
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.seen) > self.most_seen:
-            self.seen.clear()
-        seen, names, split = self.seen, self.names, [self.words.findall(c) for c in new]
-        unseen = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in seen]
-        seen.update(zip(unseen, self.encode_words([w.encode() for w in unseen])))
-        for chunk, s in zip(new, split):
-            own = seen[s[0]] if len(s) == 1 else list(chain.from_iterable([seen[w] for w in s]))
-            self.chunks[chunk] = (array("I", own).tobytes(), ",".join([names[t] for t in own]))
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks not met before: of words met before, or encoded now."""
+        if self.held_seen + ENTRY * len(self.seen) > self.most:
+            self.seen, self.held_seen = {}, 0
+        split = [self.words.findall(c) for c in new]
+        own = dict.fromkeys(chain.from_iterable(split))
+        for w in own:
+            own[w] = self.seen.get(w)
+        unseen = [w for w, x in own.items() if x is None]
+        for w, ids in zip(unseen, self.encode_words([w.encode() for w in unseen])):
+            own[w] = x = array("I", ids).tobytes()
+            if len(w) <= LONGEST:
+                self.seen[w] = x
+                self.held_seen += len(w) + len(x)
+        return [own[s[0]] if len(s) == 1 else b"".join([own[w] for w in s]) for s in split]
+
+    def _rows(self, chunks: list[str | int]) -> list[bytes]:
+        """Ids of each of a slice's distinct chunks; a number is a special token."""
+        if self.held + ENTRY * len(self.chunks) > self.most:
+            self.chunks, self.older, self.held = {}, self.chunks, 0
+        known, older, new = self.chunks, self.older, []
+        out = list(map(known.get, chunks))
+        for i in [i for i, x in enumerate(out) if x is None]:
+            c = chunks[i]
+            if (x := older.get(c)) is None and isinstance(c, int):
+                x = array("I", [c]).tobytes()
+            if x is None:
+                new.append(i)
+            else:
+                out[i] = known[c] = x
+        for i, x in zip(new, self._learn([chunks[i] for i in new])):
+            out[i], c = x, chunks[i]
+            if len(c) <= LONGEST:
+                known[c] = x
+                self.held += len(c) + len(x)
+        return out
 
     def _pieces(self, text: str) -> list[str | int]:
         """Chunks that are whole words each, and ids of special tokens."""
@@ -205,42 +240,59 @@ class Coder:
                     out += [" " + p for p in more]
         return out
 
-    def encode(self, texts: list) -> list[tuple[np.ndarray, str]]:
-        """(ids, ids as decimal text) of each whole text."""
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.chunks) > self.most_chunks:
-            self.chunks, self.older = {}, self.chunks
-        known, older, new = self.chunks, self.older, []
-        parts = [list(map(known.get, p)) for p in pieces]
-        lacking = [(p, got) for p, got in zip(pieces, parts) if None in got]
-        for c in {c for p, got in lacking for c, x in zip(p, got) if x is None}:
-            if c in older:
-                known[c] = older[c]
-            elif isinstance(c, int):
-                known[c] = (array("I", [c]).tobytes(), str(c))
-            else:
-                new.append(c)
-        if new:
-            self._learn(new)
-        for p, got in lacking:
-            for i, x in enumerate(got):
-                if x is None:
-                    got[i] = known[p[i]]
-        return [(np.frombuffer(b"".join([g[0] for g in got]), np.uint32), ",".join([g[1] for g in got])) for got in parts]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of the ids, special tokens included."""
-        return b"".join(map(self.v.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def _chunked(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """Distinct chunks; the chunks of all texts by number in a row; and where each text's begin."""
+        odd = pc.or_(pc.match_substring_regex(texts, UNEVEN), pc.match_substring(texts, "<|")).to_numpy(zero_copy_only=False).astype(bool)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        words = split.flatten().dictionary_encode()
+        chunks, at = [" " + w for w in words.dictionary.to_pylist()], words.indices.to_numpy().astype(np.int64)
+        more: dict = {}
+        begins = split.offsets.to_numpy().astype(np.int64)
+        begins -= begins[0]
+        if len(begins) > 1:  # a text's first chunk has no space before it
+            at[begins[:-1]] = [len(chunks) + more.setdefault(chunks[i][1:], len(more)) for i in at[begins[:-1]].tolist()]
+        sizes = np.empty(len(odd), np.int64)
+        sizes[~odd] = np.diff(begins)
+        if not odd.any():
+            return [*chunks, *more], at, np.concatenate([[0], np.cumsum(sizes)])
+        rest = [[len(chunks) + more.setdefault(c, len(more)) for c in self._pieces(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+        sizes[odd] = list(map(len, rest))
+        out, is_odd = np.empty(int(sizes.sum()), np.int64), np.repeat(odd, sizes)
+        out[~is_odd], out[is_odd] = at, list(chain.from_iterable(rest))
+        return [*chunks, *more], out, np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode(self, texts: pa.Array, joined: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of all whole texts in a row, where each text's begin, and if wanted each text's as decimal text."""
+        chunks, at, begins = self._chunked(pc.fill_null(texts, ""))
+        rows = self._rows(chunks)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        offsets, flat = np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(rows), np.uint32)
+        at = pa.array(at)
+        ids = pa.LargeListArray.from_arrays(offsets, pa.array(flat)).take(at).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at.to_numpy()])])[begins]
+        if not joined:
+            return ids, ends, []
+        names = pc.binary_join(pa.ListArray.from_arrays(offsets.astype(np.int32), self.names.take(pa.array(flat))), ",")
+        # a text that begins with a space has an empty first chunk
+        return ids, ends, pc.ascii_ltrim(pc.binary_join(pa.ListArray.from_arrays(begins.astype(np.int32), names.take(at)), ","), ",").to_pylist()
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each run of ids, special tokens included."""
+        found = self.tokens.take(pa.array(ids))
+        _, offsets, data = found.buffers()
+        data = memoryview(data) if data is not None else memoryview(b"")
+        cuts = np.frombuffer(offsets, np.int64, len(ids) + 1)[ends].tolist() if len(ids) else [0] * len(ends)
+        return [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 _coders: dict[str, Coder] = {}
 
 
-def worker_coder(vocabulary: Vocabulary, *limits: int) -> Coder:
+def worker_coder(vocabulary: Vocabulary, held: int = HELD_BYTES) -> Coder:
     """This Python worker's coder: what it has learned serves all tasks it runs."""
     if vocabulary.name not in _coders:
         _coders.clear()
-        _coders[vocabulary.name] = Coder(vocabulary, *limits)
+        _coders[vocabulary.name] = Coder(vocabulary, held)
     return _coders[vocabulary.name]
 
 
@@ -250,12 +302,12 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(model.value)
-        for part, texts in slices(batches, "text"):
-            coded = coder.encode(texts)
+        for part in parts(batches, "text", AT_ONCE):
+            ids, ends, joined = coder.encode(part.column("text"), joined=True)
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array([len(i) for i, _ in coded], pa.int64()),
-                pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in coded], pa.string()),
-                pa.array([hashlib.sha256(coder.decode(i).encode()).hexdigest() for i, _ in coded], pa.string()),
+                part.column("doc_id"), pa.array(np.diff(ends)),
+                pa.array([hashlib.sha256(s.encode()).hexdigest() for s in joined], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in coder.decode(ids, ends)], pa.string()),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
@@ -268,15 +320,15 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     """
     docs = docs.drop("n_tokens", "token_ids", "round_trip")
     model, width = docs.sparkSession.sparkContext.broadcast(Vocabulary(path)), len(docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = StructType([*docs.schema, StructField("n_tokens", LongType()), StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_coder(model.value, PIPELINE_CHUNKS, PIPELINE_SEEN)
-        for part, texts in slices(batches, "text"):
-            coded = coder.encode(texts)
-            same = [coder.decode(i) == (t or "") for (i, _), t in zip(coded, texts)]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i, _ in coded])]).astype(np.int32)
-            flat = np.concatenate([i for i, _ in coded]).astype(np.int32) if coded else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(same)], names=[*part.schema.names, "n_tokens", "token_ids", "round_trip"])
-
-    return docs.mapInArrow(run, f"{fields}, n_tokens long, token_ids array<int>, round_trip boolean")
+        coder = worker_coder(model.value, PIPELINE_BYTES)
+        for part in parts(batches, "text", AT_ONCE):
+            text = part.column("text")
+            ids, ends, _ = coder.encode(text)
+            same = [a == (b or "") for a, b in zip(coder.decode(ids, ends), text.to_pylist())]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(np.diff(ends)), lists, pa.array(same, pa.bool_())], names=[*part.schema.names, "n_tokens", "token_ids", "round_trip"])
+
+    return docs.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = SLICE_CH
                 begin, held = i + 1, 0
 
 
+def parts(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches, each with about so many bytes of whole texts."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + size, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column has it."""
     while name.lower() in {c.lower() for c in df.columns}:
