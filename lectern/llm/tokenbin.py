@@ -7,51 +7,63 @@ and checksum, ended by the number of frames and a magic number. A reader takes
 the tail first and then only the frames it was asked for, and checks each.
 
 Files are written in ascending order of doc_id by tasks on ranges of it. A task
-writes under a name of its own and renames when done, so a lost or repeated task
-leaves whole files with the same bytes.
+writes under a name of its own, which starts with a point, and renames when done,
+so a lost or repeated task leaves whole files with the same bytes. The folder is
+the operator's output: whoever named it removes it.
 
 Defined cases: a null text counts as empty and gets the end id alone; rows are
-ordered by doc_id (nulls first), then text, so repeated rows keep their places;
-an empty table gives no files; other columns are ignored.
+ordered by doc_id (nulls first), then by the hash of their text, then by text, so
+repeated rows keep their places and an id that many rows have is dealt out to
+several files; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices
+from lectern.llm.common import parts
 
 # The format's magic numbers and the end id.
 SKIPPABLE, SEEKABLE, IDS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 CHECKSUMS = 0x80
 END = 2
+LAST = struct.pack("<I", END)
 LEVEL = 1
-#: Words a worker remembers; those in use outlive the others.
-WORDS = 600_000
+#: Characters and bytes of the words and ids a worker remembers, twice at most (those in use outlive the others);
+#: what an entry takes besides; longer words are not remembered.
+HELD_BYTES, ENTRY, LONGEST = 130_000_000, 200, 64
+#: Bytes of text encoded at once.
+AT_ONCE = 16_000_000
+# The pieces that the vocabulary cuts words in, for words of ASCII and composed Latin letters.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^0-9a-zÀ-ÖØ-öø-ɏ]+")
 NULL_ID = -(1 << 63)
 
 
 class Encoder:
-    """The tokenizers library, asked once for each new word.
+    """The tokenizers library, asked once for each new piece of a word.
 
     White space is dropped by this vocabulary and never inside a token, so a
-    text's ids are those of its parts between ASCII white space in a row. Letters
-    are lower-cased by the vocabulary, so A-Z may be before the parts are looked
-    up, but for texts that may spell a special token. A point or comma after an
-    ASCII letter is a token of its own.
+    text's ids are those of its parts between ASCII white space in a row; Arrow
+    finds a slice's distinct parts and puts their ids in place. A part of ASCII
+    and of composed Latin letters is cut in pieces as the vocabulary does it;
+    any other part, and one that may spell a special token, is asked for whole.
     """
 
     def __init__(self, data: str):
@@ -61,45 +73,90 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.marks = {m: self._ask([m])[0] for m in (b".", b",")}
-
-    def _ask(self, words: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def _find(self, words: set[bytes]) -> None:
-        """Make the words known."""
-        known, older = self.known, self.older
-        for w in words.intersection(older):
-            known[w] = older[w]
-        new = words.difference(known)
-        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        if marked:
-            self._find({w[:-1] for w in marked}.difference(known))
-            for w in marked:
-                known[w] = known[w[:-1]] + self.marks[w[-1:]]
-            new.difference_update(marked)
-        plain = list(new)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            known.update(zip(part, self._ask(part)))
-
-    def encode(self, texts: list) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text, with the end id."""
-        split = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts]
-        if len(self.known) > WORDS:
-            self.known, self.older = {}, self.known
-        get = self.known.get
-        parts = [list(map(get, s)) for s in split]
-        lacking = [(s, p) for s, p in zip(split, parts) if None in p]
-        self._find({w for s, p in lacking for w, x in zip(s, p) if x is None})
-        for s, p in lacking:
-            for i, x in enumerate(p):
-                if x is None:
-                    p[i] = get(s[i])
-        end = struct.pack("<I", END)
-        return [b"".join([*p, end]) for p in parts]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ask(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: many in one text, told apart by the tokens that end a piece."""
+        texts = [" ".join(pieces[at : at + 256]) for at in range(0, len(pieces), 256)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(pieces) + 1:
+            return self._whole(pieces)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    @staticmethod
+    def pieces(word: str) -> list[str] | None:
+        """The vocabulary's pieces of a plain word; None for any other."""
+        if word.isascii():
+            low = word.lower()
+            return [low] if low.isalpha() else None if "<|" in word or not PLAIN.fullmatch(low) else PIECES.findall(low)
+        if PLAIN.fullmatch(word) and PLAIN.fullmatch(low := word.lower()) and "<|" not in word:
+            return PIECES.findall(low)
+        return None
+
+    def _remember(self, words: list[str], ids: list[bytes]) -> None:
+        for w, x in zip(words, ids):
+            if len(w) <= LONGEST:
+                self.known[w] = x
+                self.held += len(w) + len(x)
+
+    def _find(self, words: list[str], ask: Callable) -> dict[str, bytes]:
+        """Ids of distinct words: from what is known, else asked for."""
+        found, known, older = {}, self.known, self.older
+        new = []
+        for w in words:
+            x = known.get(w)
+            if x is None and (x := older.get(w)) is not None:
+                self._remember([w], [x])
+            if x is None:
+                new.append(w)
+            else:
+                found[w] = x
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = ask(part)
+            self._remember(part, ids)
+            found.update(zip(part, ids))
+        return found
+
+    def _rows(self, words: list[str]) -> list[bytes]:
+        """Ids of the distinct words of a slice."""
+        if self.held + ENTRY * len(self.known) > HELD_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        out = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(out) if x is None]
+        if new:
+            split = {words[i]: self.pieces(words[i]) for i in new}
+            found = self._find([w for w, p in split.items() if p is None], self._whole)
+            pieces = self._find(list({x for p in split.values() if p for x in p}), self._ask)
+            composed = {w: pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p]) for w, p in split.items() if p is not None}
+            self._remember([w for w in composed if w not in self.known], [x for w, x in composed.items() if w not in self.known])
+            found |= composed
+            for i in new:
+                out[i] = found[words[i]]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all whole texts in a row, and where each text's begin (with the end of the last)."""
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        rows = self._rows(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(rows), "<u4")))
+        ids = table.take(words.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[words.indices.to_numpy()])])
+        offsets = split.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -171,6 +228,16 @@ class Reader:
             yield None if doc == NULL_ID else doc, self.frame(k)
 
 
+def _settle(store: fs.FileSystem, own: str, name: str) -> None:
+    """Give a finished file its name; an attempt that comes second drops its file, which has the same bytes."""
+    try:
+        store.move(own, name)
+    except OSError:
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(own)
+
+
 def write(docs: DataFrame, path: str, folder: str) -> DataFrame:
     """Write the token files; gives (file, n_docs, n_tokens), one row for each file."""
     with open(path, encoding="utf-8") as f:
@@ -183,20 +250,22 @@ def write(docs: DataFrame, path: str, folder: str) -> DataFrame:
         encoder, writer, tokens = worker_encoder(data.value), None, 0
         name = f"part-{TaskContext.get().partitionId():06d}.tok"
         own = f"{place}/.{name}.{uuid.uuid4().hex}"
-        for part, texts in slices(batches, "text"):
+        for part in parts(batches, "text", AT_ONCE):
             if writer is None:
                 store.create_dir(place, recursive=True)
                 writer = Writer(store.open_output_stream(own))
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
-                writer.add(doc, ids)
-                tokens += len(ids) // 4
+            ids, ends = encoder.encode(part.column("text"))
+            raw, cuts = memoryview(ids.tobytes()), (ends * 4).tolist()
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), cuts, cuts[1:]):
+                writer.add(doc, b"".join((raw[a:b], LAST)))
+            tokens += len(ids) + part.num_rows
         if writer is not None:
             writer.close()
-            store.move(own, f"{place}/{name}")
+            _settle(store, own, f"{place}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "file string, n_docs long, n_tokens long")
 
 
