@@ -1,14 +1,20 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Every vector is projected on many random lines; on each line its window is the
-half-line around it that ends at zero. Lines are tied in tables of k: sorting by
-(table, sides) brings together the vectors whose windows collide on all lines of
-a table. The number of tables follows from the wanted recall at the threshold.
-For each pair that meets, collisions are counted over the lines of all tables;
-pairs below the count that links at the threshold reach with the wanted recall
-are dropped, the others are verified by their cosine in double precision. A link
-counts in the first table that brings the pair together, and cells pass on only
-each vector's number of links and links that span what they joined.
+Every vector is projected on many random lines. On a line, a vector's window is
+the interval centred on its own value; another vector collides with it there if
+its value lies inside. A pair's collisions are counted over all lines, and pairs
+with the count that pairs at the threshold reach with the wanted recall are
+verified by their cosine in double precision.
+
+A window on one line holds a fixed share of all vectors, so looking at whole
+lines would take quadratic work. The lines are therefore read in tables: a table
+deals the vectors out by their sides on a few lines, sorts each cell by its value
+on one more, and looks only inside the windows of that order. The least count is
+calibrated on drawn pairs at the threshold, and the number of tables follows from
+the recall. Cells hold codes of a byte a line; only vectors with a partner that
+passes meet again, with their components, to be verified. A pair counts in the
+first table that brings it together; no pairs are written, only each vector's
+number of links and links that span what they joined.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
 components, link with nothing; vectors of different lengths do not link; exact
@@ -20,7 +26,8 @@ are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,99 +38,146 @@ from lectern.llm.common import cut, deal
 from lectern.llm.graph import components
 
 THRESHOLD, RECALL = 0.9, 0.9995
-#: Vectors per cell that the number of lines per table aims at, and rows beyond which a cell is dealt out.
-AIM, CELL_ROWS = 128, 2048
+#: Lines, steps of a code to one standard deviation of the values, and the windows' half-width in steps (2.1
+#: standard deviations of the difference of a pair at the threshold).
+LINES, STEPS, WINDOW = 64, 16, 15
+#: Vectors per cell that the number of sides aims at, and rows beyond which a cell is dealt out.
+AIM, CELL_ROWS = 256, 2048
+#: Drawn pairs that calibrate the count and the tables.
+DRAWN = 40_000
 
 
-def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
-    """Lines per table, tables, and the least collisions over all lines, for n distinct vectors."""
-    side = 1 - math.acos(threshold) / math.pi  # a line keeps a pair at the threshold on one side
-    k = max(2, round(math.log2(max(n, 2) / AIM)))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - side**k))
-    lines = k * tables
-    least = math.floor(lines * side - 4.5 * math.sqrt(lines * side * (1 - side)))
-    return k, tables, least
+@dataclass
+class Plan:
+    """Lines whose sides make a table's cells, tables, and the least count of collisions on the coded lines."""
 
+    sides: int
+    tables: int
+    least: int
 
-def directions(dims: int, lines: int) -> np.ndarray:
-    return np.random.default_rng(dims * 1_000_003 + 7).standard_normal((dims, lines))
+    def order(self, nth: int) -> int:
+        """The coded line that a table's cells are sorted by."""
+        return nth % LINES
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array([np.frombuffer(v, np.float64) for v in vectors])
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def coded(values: np.ndarray) -> np.ndarray:
+    """Codes of values on lines; differences of codes fit a byte."""
+    return np.clip(np.floor(values * STEPS), -63, 63).astype(np.int8)
 
 
-def placed(distinct: DataFrame, k: int, tables: int) -> DataFrame:
-    """(cell, node, times, vector, sides): each vector once per table."""
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether b lies in the window centred on a."""
+    return (a - b + np.int8(WINDOW)).view(np.uint8) <= 2 * WINDOW
+
+
+def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
+    """For n distinct vectors; the recall is that of a pair at the threshold, closer pairs have more."""
+    rng = np.random.default_rng(23)
+    # on a Gaussian line two unit vectors have normal values whose correlation is their cosine
+    x = rng.standard_normal((DRAWN, LINES))
+    y = threshold * x + math.sqrt(1 - threshold**2) * rng.standard_normal((DRAWN, LINES))
+    count = np.sort(close(coded(x), coded(y)).sum(axis=1))
+    least = int(count[int(DRAWN * (1 - recall) / 2)])
+    sides = max(1, round(math.log2(max(n, 2) / max(AIM, n**0.4))))
+    met = (1 - math.acos(threshold) / math.pi) ** sides * least / LINES
+    return Plan(sides, math.ceil(math.log((1 - recall) / 2) / math.log(1 - met)), least)
+
+
+def placed(distinct: DataFrame, p: Plan) -> DataFrame:
+    """(node, times, dims, vector, code, sides, cells): each vector once, with its cell in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                by_dims: dict[int, list] = {}
-                rows = list(zip(part.column("node").to_pylist(), part.column("times").to_pylist(), part.column("embedding").to_pylist()))
-                for r in rows:
-                    by_dims.setdefault(len(r[2]), []).append(r)
-                for dims, own in by_dims.items():
-                    x = np.array([r[2] for r in own], np.float64)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                vectors = part.column("embedding")
+                sizes = vectors.value_lengths().to_numpy()
+                for dims in np.unique(sizes).tolist():
+                    own = part.filter(pa.array(sizes == dims))
+                    x = own.column("embedding").flatten().to_numpy().reshape(own.num_rows, dims)
                     # powers of two scale exactly and keep sums of squares finite
-                    x /= 2.0 ** np.floor(np.log2(np.abs(x).max(axis=1, keepdims=True)))
-                    sides = x @ directions(dims, k * tables) >= 0
-                    packed = np.packbits(sides, axis=1)
-                    # the cell is the table, the sides on its lines, and the length of the vector
-                    key = np.zeros((len(own), tables), np.uint64)
-                    for b in range(k):
-                        key = (key << np.uint64(1)) | sides.reshape(len(own), tables, k)[:, :, b].astype(np.uint64)
-                    key = (key * np.uint64(tables) + np.arange(tables, dtype=np.uint64)) * np.uint64(65537) + np.uint64(dims % 65537)
+                    x = x / 2.0 ** np.floor(np.log2(np.abs(x).max(axis=1, keepdims=True)))
+                    if dims not in lines:
+                        lines[dims] = np.random.default_rng(dims * 1_000_003 + 7).standard_normal((dims, LINES + p.sides * p.tables))
+                    value = x @ lines[dims] / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    up = (value[:, LINES:] >= 0).reshape(len(x), p.tables, p.sides)
+                    cells = np.zeros(up.shape[:2], np.uint64)
+                    for k in range(p.sides):
+                        cells = (cells << np.uint64(1)) | up[:, :, k].astype(np.uint64)
+                    cells = (cells * np.uint64(p.tables) + np.arange(p.tables, dtype=np.uint64)) * np.uint64(65537) + np.uint64(dims % 65537)
+                    single = x.astype(np.float32)
+                    exact = (single == x).all(axis=1)
+                    packed = [bytes(s) if e else bytes(d) for s, d, e in zip(single, x, exact.tolist())]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(np.array([r[0] for r in own], np.int64), tables)), pa.array(np.repeat(np.array([r[1] for r in own], np.int64), tables)),
-                        pa.array([v for v in map(bytes, x) for _ in range(tables)], pa.binary()), pa.array([s for s in map(bytes, packed) for _ in range(tables)], pa.binary()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))),
-                    ], names=["cell", "node", "times", "vector", "sides", "nth"])
-
-    return distinct.select("node", "times", "embedding").mapInArrow(run, "cell long, node long, times long, vector binary, sides binary, nth int")
-
-
-def _compare(node, times, vector, sides, nth, block, same_block, k, tables, least):
-    """Links of one group of rows: each node's number, and (member, root) links that span them."""
-    x = _unit(vector)
-    s = np.unpackbits(np.array([np.frombuffer(v, np.uint8) for v in sides]), axis=1)[:, : k * tables]
-    signs = s.astype(np.float32) * 2 - 1
-    labels, counts = np.arange(len(node)), np.zeros(len(node), np.int64)
-    found_a, found_b = [], []
-    for at in range(0, len(node), 512):
-        stop = min(at + 512, len(node))
-        collisions = (signs[at:stop] @ signs.T + k * tables) / 2
-        a, b = np.nonzero(collisions >= least)
-        a += at
-        ok = a < b
-        if not same_block:  # rows of one block meet in that block's own pair
-            ok &= block[a] != block[b]
-        a, b = a[ok], b[ok]
-        ok = np.einsum("ij,ij->i", x[a], x[b]) >= THRESHOLD
-        a, b = a[ok], b[ok]
-        if nth and len(a):  # met in an earlier table: counted there
-            equal = (s[a, : nth * k] == s[b, : nth * k]).reshape(len(a), nth, k).all(axis=2).any(axis=1)
-            a, b = a[~equal], b[~equal]
-        counts += np.bincount(a, weights=times[b], minlength=len(node)).astype(np.int64) + np.bincount(b, weights=times[a], minlength=len(node)).astype(np.int64)
-        found_a.append(a)
-        found_b.append(b)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    while len(a):
-        before = labels.copy()
-        low = np.minimum(labels[a], labels[b])
-        np.minimum.at(labels, a, low)
-        np.minimum.at(labels, b, low)
-        labels = labels[labels]
-        if (labels == before).all():
+                        own.column("node"), own.column("times"), pa.array(np.full(len(x), dims, np.int32)), pa.array(packed, pa.binary()), pa.array(list(map(bytes, coded(value[:, :LINES]))), pa.binary()),
+                        pa.array(list(map(bytes, np.packbits(up.reshape(len(x), -1), axis=1))), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * p.tables), pa.array(cells.view(np.int64).ravel())),
+                    ], names=["node", "times", "dims", "vector", "code", "sides", "cells"])
+
+    return distinct.select("node", "times", "embedding").mapInArrow(run, "node long, times long, dims int, vector binary, code binary, sides binary, cells array<long>")
+
+
+def passing(cell: pa.Table, p: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's rows in each other's window of its order, with enough collisions, that no earlier table met."""
+    block, nth = cell.column("block").to_numpy(), cell.column("nth")[0].as_py()
+    code = np.frombuffer(b"".join(cell.column("code").to_pylist()), np.int8).reshape(cell.num_rows, LINES)
+    line, same_block = p.order(nth), bool((block == block[0]).all())
+    order = np.argsort(code[:, line], kind="stable")
+    rows, value = np.ascontiguousarray(code[order].T), code[order, line].astype(np.int64)
+    end = np.searchsorted(value, value + WINDOW, "right")
+    found = [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(order), 256):
+        stop, last = min(at + 256, len(order)), int(end[min(at + 256, len(order)) - 1])
+        count = np.zeros((stop - at, last - at), np.uint8)
+        for own in rows:
+            count += close(own[at:stop, None], own[None, at:last])
+        a, b = np.nonzero(count >= p.least)
+        ok = (a < b) & (b + at < end[a + at])
+        found.append(np.stack([order[a[ok] + at], order[b[ok] + at]]))
+    a, b = np.concatenate(found, axis=1)
+    if not same_block:  # rows of one block meet in that block's own pair
+        apart = block[a] != block[b]
+        a, b = a[apart], b[apart]
+    if nth and len(a):
+        up = np.unpackbits(np.frombuffer(b"".join(cell.column("sides").to_pylist()), np.uint8).reshape(cell.num_rows, -1), axis=1)[:, : nth * p.sides].reshape(-1, nth, p.sides)
+        fresh = np.ones(len(a), bool)
+        for t in range(nth):
+            fresh &= ~((up[a, t] == up[b, t]).all(axis=1) & close(code[a, p.order(t)], code[b, p.order(t)]))
+        a, b = a[fresh], b[fresh]
+    return a, b
+
+
+def partnered(rows: pa.Table, p: Plan) -> pa.RecordBatch | None:
+    """Of one cell, the rows with a partner that passes there."""
+    a, b = passing(rows, p)
+    return rows.select(["cell", "pair", "block", "nth", "node"]).take(pa.array(np.union1d(a, b))) if len(a) else None
+
+
+def verified(rows: pa.Table, p: Plan) -> pa.Table | None:
+    """(a, b, n) of one cell: node a has n links found here, which join it with node b."""
+    a, b = passing(rows, p)
+    dims, node, times = rows.column("dims")[0].as_py(), rows.column("node").to_numpy(), rows.column("times").to_numpy()
+    x = np.array([np.frombuffer(v, np.float64 if len(v) == 8 * dims else np.float32).astype(np.float64) for v in rows.column("vector").to_pylist()])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    linked = np.concatenate([np.einsum("ij,ij->i", x[a[at : at + 50_000]], x[b[at : at + 50_000]]) for at in range(0, max(len(a), 1), 50_000)]) >= THRESHOLD
+    a, b = a[linked], b[linked]
+    if not len(a):
+        return None
+    n = np.bincount(a, weights=times[b], minlength=len(node)) + np.bincount(b, weights=times[a], minlength=len(node))
+    label = np.arange(len(node))
+    while True:
+        before, low = label.copy(), np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
             break
-    some = np.flatnonzero(counts)
-    return node[some], node[labels[some]], counts[some]
+    some = np.flatnonzero(n)
+    return pa.table({"a": node[some], "b": node[label[some]], "n": n[some].astype(np.int64)})
 
 
-def links(distinct: DataFrame, n: int) -> DataFrame:
-    """(a, b, n): node a has n links found in one place, and is joined there with node b."""
-    k, tables, least = plan(n)
+def by_cell(work: Callable, p: Plan) -> Callable:
+    """Calls work(rows, p) for each run of more than one row with the same cell and pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -136,24 +190,25 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
             cell, pair = held.column("cell").to_numpy(), held.column("pair").to_numpy()
             edge = np.flatnonzero((cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1])) + 1
             starts, ends = [0, *edge.tolist()], [*edge.tolist(), len(cell)]
-            if batch is not None:  # the last group may go on
+            if batch is not None:  # the last run may go on
                 starts, last, ends = starts[:-1], starts[-1], ends[:-1]
-            out = []
             for i, j in zip(starts, ends):
-                if j - i > 1:
-                    own = held.slice(i, j - i)
-                    block = own.column("block").to_numpy()
-                    out.append(_compare(
-                        own.column("node").to_numpy(), own.column("times").to_numpy(), own.column("vector").to_pylist(), own.column("sides").to_pylist(),
-                        int(own.column("nth")[0].as_py()), block, bool((block == block[0]).all()), k, tables, least,
-                    ))
+                if j - i > 1 and (out := work(held.slice(i, j - i).combine_chunks(), p)) is not None:
+                    yield from out.to_batches()
             if batch is not None:
                 held = held.slice(last).combine_chunks()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "n"])
 
-    dealt = deal(placed(distinct, k, tables), CELL_ROWS, "node").select("cell", "pair", "block", "node", "times", "vector", "sides", "nth")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return run
+
+
+def links(distinct: DataFrame, n: int) -> DataFrame:
+    """(a, b, n): node a has n links found in one place, and is joined there with node b."""
+    p = plan(n)
+    rows = cut(placed(distinct, p))
+    dealt = deal(rows.select("node", "code", "sides", F.posexplode("cells").alias("nth", "cell")), CELL_ROWS, "node").select("cell", "pair", "block", "nth", "node", "code", "sides")
+    some = dealt.mapInArrow(by_cell(partnered, p), "cell long, pair int, block int, nth int, node long")
+    again = some.join(rows.drop("cells"), "node").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+    return again.mapInArrow(by_cell(verified, p), "a long, b long, n long")
 
 
 def _lazily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
