@@ -1,4 +1,7 @@
-"""Dates, percentages, amounts and numbers in a text, as comparable strings."""
+"""Dates, percentages, amounts and numbers in a text, as comparable strings.
+
+The functions take texts of half width; with_facts makes them so.
+"""
 
 from __future__ import annotations
 
@@ -49,24 +52,26 @@ def once(facts: Column) -> Column:
 
 
 def dates(x: Column | str) -> Column:
-    t, found = half_width(x), []
-    for pattern, (y, m, d) in DATES:
-        parts = F.arrays_zip(_all(t, pattern).alias("s"), _all(t, pattern, y).alias("y"), _all(t, pattern, m).alias("m"), _all(t, pattern, d).alias("d"))
+    """Each pattern is looked for once; the parts are taken from its short matches."""
+    found = []
+    for pattern, groups in DATES:
+        part = lambda s, g: F.regexp_extract(s, pattern, g)  # noqa: B023, E731
+        parts = F.transform(_all(col(x), pattern), lambda s: F.struct(s.alias("s"), *(part(s, g).alias(n) for n, g in zip("ymd", groups))))  # noqa: B023
         ok = F.filter(parts, lambda p: _month(p["m"]).between(1, 12) & p["d"].cast("int").between(1, 31))
         found.append(F.transform(ok, lambda p: _fact(p["s"], F.concat(F.lit("date:"), p["y"], F.lit("-"), F.lpad(_month(p["m"]).cast("string"), 2, "0"), F.lit("-"), F.lpad(p["d"].cast("int").cast("string"), 2, "0")))))
     return F.concat(*found)
 
 
 def percentages(x: Column | str) -> Column:
-    return F.transform(_all(half_width(x), PERCENT), lambda s: _fact(s, F.concat(F.lit("percentage:"), sub(s, f"[{SPACE},]", ""))))
+    return F.transform(_all(col(x), PERCENT), lambda s: _fact(s, F.concat(F.lit("percentage:"), sub(s, f"[{SPACE},]", ""))))
 
 
 def amounts(x: Column | str) -> Column:
-    return F.transform(_all(half_width(x), AMOUNT), lambda s: _fact(s, F.concat(F.lit("currency:"), F.replace(F.regexp_extract(s, NUMBER, 0), F.lit(","), F.lit("")))))
+    return F.transform(_all(col(x), AMOUNT), lambda s: _fact(s, F.concat(F.lit("currency:"), F.replace(F.regexp_extract(s, NUMBER, 0), F.lit(","), F.lit("")))))
 
 
 def numbers(x: Column | str) -> Column:
-    return F.transform(_all(half_width(x), NUMBER), lambda s: _fact(s, F.concat(F.lit("number:"), F.replace(s, F.lit(","), F.lit("")))))
+    return F.transform(_all(col(x), NUMBER), lambda s: _fact(s, F.concat(F.lit("number:"), F.replace(s, F.lit(","), F.lit("")))))
 
 
 def _keys(facts: Column) -> Column:
@@ -86,7 +91,8 @@ def with_facts(df, source: str, target: str):
     """
     parts = {"d": ("date", dates), "p": ("percentage", percentages), "c": ("currency", amounts), "n": ("number", numbers)}
     sides = {"s": source, "t": target}
-    wide = df.withColumns({f"_{side}{k}": f(col(text)) for side, text in sides.items() for k, (_, f) in parts.items()})
+    wide = df.withColumns({f"_{side}": half_width(text) for side, text in sides.items()})
+    wide = wide.withColumns({f"_{side}{k}": f(f"_{side}") for side in sides for k, (_, f) in parts.items()}).drop("_s", "_t")
     wide = wide.withColumns({f"_{side}{k}": once(F.col(f"_{side}{k}")) for side in sides for k in parts})
     inner = F.flatten(F.concat(*(F.transform(f"_s{k}", lambda f: F.transform(_all(f["source"], "[0-9]+(?:[,.][0-9]+)*"), lambda n: F.replace(n, F.lit(","), F.lit("")))) for k in "dpc")))
     wide = wide.withColumns({"_inner": inner} | {f"_k{k}": _keys(F.col(f"_t{k}")) for k in parts})

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space inside a regular expression's class.
 SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters.
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 HAN = r"\p{IsHan}"
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -26,7 +28,11 @@ def sub(x: Column | str, pattern: str, by: str) -> Column:
 
 
 def trim(x: Column | str) -> Column:
-    return sub(x, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(col(x), F.lit(SPACES))
+
+
+def trim_end(x: Column | str) -> Column:
+    return F.rtrim(col(x), F.lit(SPACES))
 
 
 def units(x: Column | str) -> Column:
@@ -58,14 +64,19 @@ def unix_lines(x: Column | str) -> Column:
     return F.replace(col(x), F.lit("\r\n"), F.lit("\n"))
 
 
+def _if_ragged(x: Column, tidy: Column) -> Column:
+    """The tidied text where there is something to tidy: most texts need no regular expression."""
+    return F.when(x.contains("\r\n") | x.contains("\n\n\n") | x.contains(" \n") | x.contains("\t\n"), tidy).otherwise(x)
+
+
 def normal_chunk(x: Column | str) -> Column:
     """Blank lines to one, then trailing blanks off."""
-    return trim(sub(sub(unix_lines(x), r"\n{3,}", "\n\n"), r"[ \t]+\n", "\n"))
+    return trim(_if_ragged(col(x), sub(sub(unix_lines(x), r"\n{3,}", "\n\n"), r"[ \t]+\n", "\n")))
 
 
 def normal_notes(x: Column | str) -> Column:
     """Trailing blanks off, then blank lines to one."""
-    return trim(sub(sub(unix_lines(x), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    return trim(_if_ragged(col(x), sub(sub(unix_lines(x), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")))
 
 
 def normal_extracted(x: Column | str) -> Column:
@@ -81,7 +92,7 @@ def normal_page(x: Column | str) -> Column:
 def source_lines(x: Column | str) -> Column:
     """Lines without outer white space, empty ones dropped."""
     lines = F.split(unix_lines(x), "\n", -1)
-    bare = F.transform(lines, lambda s: sub(sub(s, r"[ \t\x{3000}]+\z", ""), rf"\A[{SPACE}]+", ""))
+    bare = F.transform(lines, lambda s: F.ltrim(F.rtrim(s, F.lit(" \t\u3000")), F.lit(SPACES)))
     return F.filter(bare, lambda s: s != "")
 
 

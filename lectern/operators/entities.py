@@ -26,11 +26,18 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.where((F.col("line") != "") & ~F.startswith(F.col("line"), F.lit("http")))
 
 
+#: Words of a dictionary up to which it is read into the plan; a larger one is joined.
+FEW_WORDS = 2_000
+
+
 def people(lines: DataFrame, key: str, names: DataFrame, script: str = HAN) -> DataFrame:
     """Tokens of 2 to 5 characters that start with a name's first character, the rest in the script."""
     first = names.where("kind = 'person'").select(F.col("word").alias("_f")).distinct()
     tokens = lines.select(key, "line_no", F.posexplode_outer(F.split("line", BREAKS, -1)).alias("pos", "t")).withColumn("t", trim("t")).where(units("t").between(2, 5))
-    found = tokens.withColumn("_f", F.substring("t", 1, 1)).join(F.broadcast(first), "_f").where(F.substring("t", 2, 9).rlike(rf"\A{script}+\z"))
+    starts = [r[0] for r in first.limit(FEW_WORDS + 1).collect()]
+    tokens = tokens.withColumn("_f", F.substring("t", 1, 1))
+    found = tokens.where(F.col("_f").isin(starts)) if len(starts) <= FEW_WORDS else tokens.join(first, "_f")
+    found = found.where(F.substring("t", 2, 9).rlike(rf"\A{script}+\z"))
     found = found.where(~((F.length("t") == 2) & F.substring("t", 2, 1).isin(*NOT_NAMES)))
     return found.select(key, "line_no", F.lit(0).alias("rank"), F.lit(0).alias("n"), "pos", F.col("t").alias("surface"))
 
@@ -43,32 +50,36 @@ def _around(text: Column, word: Column, script: str) -> Column:
     return F.concat(left, word, right)
 
 
+def places(lines: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """(key, line_no, line, kind, word, n, at): every place of every word in every line."""
+    few = words.limit(FEW_WORDS + 1).collect()
+    if len(few) > FEW_WORDS:  # the lines' substrings of the words' lengths meet the words in an equi-join
+        sizes = F.array_sort(F.collect_set(F.length("word")))
+        lengths = words.agg(sizes.alias("s")).first().s
+        cut = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - k + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("line", i, k).alias("word")))))
+        return lines.select("*", F.explode_outer(cut).alias("_c")).select(key, "line_no", "line", "_c.at", "_c.word").join(words, "word")
+    # a dictionary of bounded size: words that a line holds, then their places there
+    known = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.word).alias("word"), F.lit(r.n).alias("n")) for r in few)) if few else F.array().cast("array<struct<kind:string,word:string,n:int>>")
+    hits = lines.select(key, "line_no", "line", F.explode(F.filter(known, lambda w: F.col("line").contains(w["word"]))).alias("_w")).select(key, "line_no", "line", "_w.*")
+    starts = F.filter(F.sequence(F.lit(1), F.length("line")), lambda i: F.substring(F.col("line"), i, F.length("word")) == F.col("word"))
+    return hits.select("*", F.explode_outer(starts).alias("at")).where("at is not null")
+
+
 def marked(lines: DataFrame, key: str, names: DataFrame, script: str = HAN) -> DataFrame:
-    """Phrases around every place of a marking word, with that word's rank and order."""
-    words = names.where(F.col("kind").isin("organization", "place", "title")).select("kind", "word", "n")
-    hits = lines.join(F.broadcast(words), F.col("line").contains(F.col("word")))
-    starts = F.filter(F.sequence(F.lit(1), F.length("line")), lambda i: F.startswith(F.substring(F.col("line"), i, F.length("word")), F.col("word")))
-    hits = hits.select(key, "line_no", "line", "kind", "word", "n", F.explode_outer(starts).alias("at")).where("at is not null")
-    out = None
-    for rank, kind in enumerate(("organization", "place", "title"), 1):
-        before, after, most = WINDOW[kind]
-        h = hits.where(F.col("kind") == kind)
-        start = F.greatest(F.lit(1), F.col("at") - before)
-        part = trim(F.substring(F.col("line"), start, F.col("at") + F.length("word") + after - start))
-        if kind == "place":
-            part = sub(sub(part, rf"\A{EDGES}", ""), rf"{EDGES}\z", "")
-        if kind == "title":
-            part = sub(part, rf"\A(?:(?!{script}).)+", "")
-        h = h.withColumn("_p", part).where((F.regexp_count("_p", F.lit(script)) >= (1 if kind == "title" else 2)) & (units("_p") <= most))
-        if kind == "title":
-            h = h.where(F.col("_p").rlike(rf"\A{script}+\z")).withColumn("surface", F.col("_p"))
-        else:
-            h = h.withColumn("surface", F.when(F.col("_p").contains(F.col("word")), _around(F.col("_p"), F.col("word"), script)).otherwise(F.col("_p")))
-            size = units("surface")
-            h = h.where(size.between(2, 18)) if kind == "organization" else h.where((size >= 3) & ~F.col("surface").isin(*GENERAL))
-        h = h.select(key, "line_no", F.lit(rank).alias("rank"), "n", F.col("at").alias("pos"), trim("surface").alias("surface"))
-        out = h if out is None else out.unionByName(h)
-    return out.where(units("surface") >= 2)
+    """Phrases around every place of a marking word, with that word's rank and order; one pass for all kinds."""
+    words = names.where(F.col("kind").isin(*WINDOW) & (F.col("word") != "")).select("kind", "word", F.col("n").cast("int").alias("n"))
+    hits = places(lines, key, words)
+    kind, word = F.col("kind"), F.col("word")
+    by_kind = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, w in WINDOW.items() for x in (k, w[i]))), kind)
+    start = F.greatest(F.lit(1), F.col("at") - by_kind(0))
+    part = trim(F.substring(F.col("line"), start, F.col("at") + F.length(word) + by_kind(1) - start))
+    bare = F.when(kind == "place", sub(sub(part, rf"\A{EDGES}", ""), rf"{EDGES}\z", "")).when(kind == "title", sub(part, rf"\A(?:(?!{script}).)+", "")).otherwise(part)
+    rows = hits.withColumn("_p", bare).where((F.regexp_count("_p", F.lit(script)) >= F.when(kind == "title", 1).otherwise(2)) & (units("_p") <= by_kind(2)))
+    rows = rows.withColumn("surface", F.when((kind != "title") & F.col("_p").contains(word), _around(F.col("_p"), word, script)).otherwise(F.col("_p")))
+    size = units("surface")
+    fits = F.when(kind == "title", F.col("_p").rlike(rf"\A{script}+\z")).when(kind == "organization", size.between(2, 18)).otherwise((size >= 3) & ~F.col("surface").isin(*GENERAL))
+    rank = F.array_position(F.array(*map(F.lit, WINDOW)), kind).cast("int")
+    return rows.where(fits).select(key, "line_no", rank.alias("rank"), "n", F.col("at").alias("pos"), trim("surface").alias("surface")).where(units("surface") >= 2)
 
 
 def extract(docs: DataFrame, key: str, names: DataFrame, text: str = "text", script: str = HAN) -> DataFrame:
@@ -81,11 +92,17 @@ def extract(docs: DataFrame, key: str, names: DataFrame, text: str = "text", scr
 
 
 def without_parts(entities: DataFrame, key: str) -> DataFrame:
-    """Entities that no longer entity of their document and type contains."""
-    longer = entities.select(key, "type", F.col("surface").alias("_l"))
-    inside = F.col("_l").contains(F.col("surface")) & (F.length("_l") > F.length("surface"))
-    parts = entities.join(longer, [key, "type"]).where(inside).select(key, "type", "surface").distinct()
-    return entities.join(parts, [key, "type", "surface"], "left_anti")
+    """Distinct entities that no longer entity of their document and type contains.
+
+    Each entity meets its own proper substrings under one key, so no group of a
+    document's entities is gathered or compared in pairs; surfaces are short.
+    """
+    n = F.length("surface")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("surface", i, k))))
+    named = F.transform(F.array_distinct(parts), lambda s: F.struct(s.alias("s"), (s == F.col("surface")).alias("own")))
+    rows = entities.select(key, "type", F.explode_outer(F.when(n > 0, named).otherwise(F.array(F.struct(F.col("surface").alias("s"), F.lit(True).alias("own"))))).alias("x"))
+    whole = rows.groupBy(key, "type", F.col("x.s").alias("surface")).agg(F.bool_and("x.own").alias("whole"))
+    return whole.where("whole").select(key, "type", "surface")
 
 
 def in_order(entities: DataFrame, locale: str = "zh_Hans_CHN") -> DataFrame:
@@ -124,17 +141,37 @@ def merge_glossary(glossary: DataFrame, entities: DataFrame) -> DataFrame:
     return both.select("term", F.when(fixed, F.col("gloss")).otherwise(F.coalesce("_g", "gloss", F.lit(""))).alias("gloss"), no("locked"), no("confirmed"))
 
 
+def locked(glossary: DataFrame, order: str = "pos") -> DataFrame:
+    """(term, gloss) of locked terms; of a term's entries the last counts."""
+    return glossary.where(F.col("locked") & ~is_blank("gloss") & ~is_blank("term")).groupBy("term").agg(F.max_by("gloss", order).alias("gloss"))
+
+
 def locked_map(glossary: DataFrame, order: str = "pos") -> DataFrame:
-    """One row with the map of locked terms to glosses; of a term's entries the last counts."""
-    g = glossary.where(F.col("locked") & ~is_blank("gloss") & ~is_blank("term")).groupBy("term").agg(F.max_by("gloss", order).alias("gloss"))
-    return g.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "gloss")))).alias("locked"))
+    """The same as one row with a map, for a caller who needs a small glossary whole."""
+    return locked(glossary, order).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "gloss")))).alias("locked"))
+
+
+def imported_json(files: DataFrame, keys: list[str], content: str = "content", most: int = 500) -> DataFrame:
+    """Glossary entries of each file that holds a JSON array of (chinese, english, locked), the form that is exported.
+
+    The first 500 count, trimmed and cut; they are locked unless they say
+    they are not, and confirmed; the last one of a term wins; what does not parse
+    gives none.
+    """
+    items = F.from_json(content, "array<struct<chinese:string,english:string,locked:boolean>>")
+    rows = files.select(*keys, F.posexplode(F.slice(items, 1, most)).alias("pos", "i"))
+    cell = lambda name, size: F.left(trim(F.coalesce(f"i.{name}", F.lit(""))), F.lit(size))
+    return _last_of_term(rows.select(*keys, "pos", cell("chinese", 200).alias("term"), cell("english", 500).alias("gloss"), F.coalesce("i.locked", F.lit(True)).alias("locked")), keys)
+
+
+def _last_of_term(rows: DataFrame, keys: list[str]) -> DataFrame:
+    last = rows.where("term <> ''").groupBy(*keys, "term").agg(F.max_by(F.struct("gloss", "locked"), "pos").alias("r"))
+    return last.select(*keys, "term", "r.gloss", "r.locked", F.lit(True).alias("confirmed"))
 
 
 def imported(lines: DataFrame, most: int = 500) -> DataFrame:
-    """Glossary entries of CSV lines (pos from 0, line): header off, the first 500, trimmed and cut; last one of a term wins."""
+    """Glossary entries of CSV lines (pos from 0, line): header off, the first 500, trimmed and cut; locked and confirmed; last one of a term wins."""
     cells = F.transform(F.split("line", ",", -1), lambda c: sub(trim(c), r"\A\"|\"\z", ""))
     rows = lines.where((F.col("pos") > 0) & (F.col("pos") <= most)).withColumn("_c", cells)
     cell = lambda i: F.coalesce(F.get("_c", F.lit(i)), F.lit(""))
-    made = rows.select("pos", F.left(trim(cell(0)), F.lit(200)).alias("term"), F.left(trim(cell(1)), F.lit(500)).alias("gloss"), (F.lower(trim(cell(2))) != "false").alias("locked"))
-    last = made.where("term <> ''").groupBy("term").agg(F.max_by(F.struct("gloss", "locked"), "pos").alias("r"))
-    return last.select("term", "r.gloss", "r.locked", F.lit(False).alias("confirmed"))
+    return _last_of_term(rows.select("pos", F.left(trim(cell(0)), F.lit(200)).alias("term"), F.left(trim(cell(1)), F.lit(500)).alias("gloss"), F.lit(True).alias("locked")), [])

@@ -28,10 +28,16 @@ def memory_key(source: Column | str, domain: Column | str, sign: Column | str) -
 
 
 def look_up(segments: DataFrame, memory: DataFrame) -> DataFrame:
-    """Segments with ``remembered`` and whether memory has them: same source, domain and glossary signature."""
-    m = memory.select(memory_source("source").alias("_s"), "domain", "signature", F.col("target").alias("remembered"))
-    keyed = segments.withColumn("_s", memory_source("source"))
-    return keyed.join(m, ["_s", "domain", "signature"], "left").withColumn("memory_hit", F.col("remembered").isNotNull()).drop("_s")
+    """Segments with ``remembered`` and whether memory has them: same source, domain and glossary signature.
+
+    Of records that agree in these the newest counts, of equally new ones the
+    largest target. A digest leads the keys, so that sorting seldom compares texts.
+    """
+    keys = ["_h", "_s", "domain", "signature"]
+    keyed = lambda df: df.withColumn("_s", memory_source("source")).withColumn("_h", F.xxhash64("_s", "domain", "signature"))
+    newest_ = F.max_by("target", F.struct("updated_at", "target")).alias("remembered")
+    m = keyed(memory).where("target is not null").groupBy(*keys).agg(newest_)
+    return keyed(segments).join(m, keys, "left").withColumn("memory_hit", F.col("remembered").isNotNull()).drop("_s", "_h")
 
 
 def upsert(memory: DataFrame, new: DataFrame) -> DataFrame:

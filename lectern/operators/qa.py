@@ -41,15 +41,29 @@ FEW_TERMS = 10_000
 
 
 def terms(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    few = glossary.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    return terms_by_broadcast(segments, glossary) if few else terms_by_grams(segments, glossary)
+    return terms_by_broadcast(segments, glossary) if is_small(glossary) else terms_by_grams(segments, glossary)
+
+
+def in_rows(rows: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Rows with the terms of a small glossary found inside them, sorted; the glossary comes as one broadcast row."""
+    g = glossary.where(~is_blank("term") & ~is_blank("gloss")).agg(F.array_sort(F.collect_list(F.struct("term", "gloss"))).alias("_g"))
+    hit = F.filter("_g", lambda t: F.col("source").contains(t["term"]))
+    judged = F.transform(hit, lambda t: F.struct(t["term"].alias("term"), t["gloss"].alias("gloss"), F.lower("target").contains(F.lower(t["gloss"])).alias("matched")))
+    return rows.crossJoin(F.broadcast(g)).withColumn("terms", judged).drop("_g")
+
+
+def is_small(glossary: DataFrame) -> bool:
+    return glossary.limit(FEW_TERMS + 1).count() <= FEW_TERMS
 
 
 def report(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """The segments with counts, facts, terms and warnings. Texts are trimmed; null texts are empty."""
     tidy = segments.withColumns({"source": trim(F.coalesce("source", F.lit(""))), "target": trim(F.coalesce("target", F.lit("")))})
-    found = terms(tidy, glossary).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("term", "gloss", "matched"))).alias("terms"))
-    return warned(with_facts(tidy, "source", "target").join(found, "segment_id", "left"))
+    checked = with_facts(tidy, "source", "target")
+    if is_small(glossary):
+        return warned(in_rows(checked, glossary))
+    found = terms_by_grams(tidy, glossary).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("term", "gloss", "matched"))).alias("terms"))
+    return warned(checked.join(found, "segment_id", "left"))
 
 
 def warned(rows: DataFrame) -> DataFrame:

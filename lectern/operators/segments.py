@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, clean_cjk, col, is_blank, normal_chunk, paragraphs_of, sub, trim, units
+from lectern.functions.text import SPACE, clean_cjk, col, is_blank, lines_of, normal_chunk, paragraphs_of, sub, trim, units
 
 #: Longest segment and longest section, in UTF-16 units.
 SEGMENT, SECTION = 1200, 12_000
 SENTENCE_END = rf"(?<=[。！？!?；;])[{SPACE}]*"
 
 
-def paragraphs(text: Column | str) -> Column:
-    """Parts between blank lines; if there is one at most, the lines."""
-    t = normal_chunk(text)
-    parts = paragraphs_of(t)
-    lines = F.filter(F.transform(F.split(t, "\n", -1), trim), lambda s: s != "")
-    return F.when(F.size(parts) > 1, parts).otherwise(lines)
+def with_paragraphs(df: DataFrame, text: Column | str, name: str = "_p") -> DataFrame:
+    """The rows with the parts of the text between blank lines; if there is one at most, its lines.
+
+    What is read twice is a column first, so that it is computed once.
+    """
+    rows = df.withColumn(name, normal_chunk(text))
+    rows = rows.withColumn("_parts", paragraphs_of(name))
+    return rows.withColumn(name, F.when(F.size("_parts") > 1, F.col("_parts")).otherwise(lines_of(name))).drop("_parts")
 
 
 def _state(done: Column, buffer: Column) -> Column:
@@ -57,7 +59,7 @@ def split_long(paragraph: Column, limit: int = SEGMENT) -> Column:
 
 def segment(docs: DataFrame, keys: list[str], text: str = "text", page: str | None = None) -> DataFrame:
     """One row per segment, numbered from 1: ``text-i``, or ``pdf-p{page}-i`` within pages."""
-    parts = docs.select(*keys, *([page] if page else []), paragraphs(F.coalesce(col(text), F.lit(""))).alias("_p"))
+    parts = with_paragraphs(docs.select(*keys, *([page] if page else []), F.coalesce(col(text), F.lit("")).alias("_t")), "_t").drop("_t")
     long = parts.withColumn("_p", F.flatten(F.transform("_p", lambda p: split_long(p))))
     rows = long.select(*keys, *([page] if page else []), F.posexplode(pack(F.col("_p"))).alias("_i", "source"))
     seq = F.col("_i") + 1
@@ -77,11 +79,12 @@ def numbered_units(docs: DataFrame, keys: list[str], units_column: str) -> DataF
 
 
 def in_range(pages: DataFrame, start: int, end: int, by: str = "doc_id") -> DataFrame:
-    """Pages of an inclusive range, clamped to each document's pages."""
-    total = F.max("page_number").over(Window.partitionBy(by))
-    first = F.least(F.greatest(F.lit(1), F.lit(start)), total)
-    last = F.greatest(first, F.least(F.lit(end), total))
-    return pages.where(F.col("page_number").between(1, 1 << 30)).withColumns({"_a": first, "_b": last}).where("page_number between _a and _b").drop("_a", "_b")
+    """Pages of an inclusive range, clamped to each document's pages; only counts are shuffled, not texts."""
+    totals = pages.groupBy(F.col(by).alias("_by")).agg(F.max("page_number").alias("_n"))
+    first = F.least(F.greatest(F.lit(1), F.lit(start)), "_n")
+    last = F.greatest(first, F.least(F.lit(end), F.col("_n")))
+    wanted = pages.where(F.col("page_number").between(1, max(1, start, end))).join(totals, F.col(by).eqNullSafe(F.col("_by")))
+    return wanted.where(F.col("page_number").between(first, last)).drop("_by", "_n")
 
 
 def availability(pages: DataFrame, by: str, text: str = "text", ocr: str = "ocr_text") -> DataFrame:

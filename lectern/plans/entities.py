@@ -70,11 +70,11 @@ def locked_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The locked map, a row for each term."""
     p = table(spark, sf_dir, "part")
     g = p.select(F.col("p_brand").alias("term"), F.col("p_type").alias("gloss"), F.col("p_partkey").alias("pos"), (F.col("p_size") % 5 == 0).alias("locked"))
-    return E.locked_map(g).select(F.explode("locked").alias("term", "gloss"))
+    return E.locked(g)
 
 
-@query("""WITH l AS (SELECT p_partkey - 1 AS pos, p_brand || '-' || (p_partkey % 90) AS term, p_name AS gloss, p_size % 4 <> 0 AS locked FROM part)
-SELECT term, arg_max(gloss, pos) AS gloss, arg_max(locked, pos) AS locked, false AS confirmed FROM l WHERE pos BETWEEN 1 AND 500 GROUP BY term""")
+@query("""WITH l AS (SELECT p_partkey - 1 AS pos, p_brand || '-' || (p_partkey % 90) AS term, p_name AS gloss FROM part)
+SELECT term, arg_max(gloss, pos) AS gloss, true AS locked, true AS confirmed FROM l WHERE pos BETWEEN 1 AND 500 GROUP BY term""")
 def imported_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary from lines of CSV: the first 500 after the header, of a term the last."""
     p = table(spark, sf_dir, "part")
@@ -82,6 +82,17 @@ def imported_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.imported(p.select((F.col("p_partkey") - 1).alias("pos"), line.alias("line")))
 
 
+@query("""WITH l AS (SELECT p_partkey, p_brand || '-' || (p_partkey % 90) AS term, p_name AS gloss, p_size % 4 <> 0 AS locked FROM part WHERE p_size % 7 <> 0)
+SELECT p_partkey AS id, term, gloss, locked, true AS confirmed FROM l""")
+def imported_json_glossaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary of one entry from a JSON file of every part; some do not parse, and entries without a term are dropped."""
+    p = table(spark, sf_dir, "part")
+    term = F.concat(F.lit(" "), "p_brand", F.lit("-"), (F.col("p_partkey") % 90).cast("string"))
+    own = F.when(F.col("p_size") % 4 == 0, F.struct(term.alias("chinese"), F.col("p_name").alias("english"), F.lit(False).alias("locked"))).otherwise(F.struct(term.alias("chinese"), F.concat("p_name", F.lit(" ")).alias("english"), F.lit(None).cast("boolean").alias("locked")))
+    body = F.to_json(F.array(own, F.struct(F.lit(" ").alias("chinese"), F.lit("x").alias("english"), F.lit(True).alias("locked"))))
+    return E.imported_json(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 == 0, "[{").otherwise(body).alias("content")), ["id"])
+
+
 @query("""SELECT p_partkey AS id, p_name AS surface, CASE WHEN p_size % 2 = 0 THEN p_brand END AS gloss, (['person','place','organization','title','term','other'])[p_size % 6 + 1] AS type FROM part WHERE p_size % 5 <> 0""")
 def entity_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities in a service's answers, made of parts; some do not parse."""

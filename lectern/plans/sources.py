@@ -58,7 +58,8 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.review_rows(p, ["doc_id"])
 
 
-@query()
+@query(f"""WITH {PAIRS}, w AS (SELECT segment_id, string_split(trim(target), ' ') AS w FROM pairs), x AS (SELECT segment_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+SELECT segment_id, string_agg(CASE WHEN i = 1 THEN '' WHEN (i - 1) % 4 = 0 THEN chr(10) WHEN regexp_matches(w[i - 1], '[A-Za-z0-9]$') AND regexp_matches(w[i], '^[A-Za-z0-9]') THEN ' ' ELSE '' END || w[i], '' ORDER BY i) AS text FROM x GROUP BY segment_id""")
 def rebuilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page text from placed words: each order's target, a word an item, four to a line."""
     words = pairs(spark, sf_dir).select("segment_id", "doc_id", F.posexplode_outer(F.split(F.trim("target"), " ")).alias("i", "str")).where("str is not null")

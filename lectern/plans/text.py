@@ -168,6 +168,6 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's paragraphs, cleaned and packed into its sections; without SQL, as cleaning needs look-behind."""
-    blocks = documents(spark, sf_dir).select("doc_id", S.paragraphs(F.coalesce("text", F.lit(""))).alias("b"))
+    blocks = S.with_paragraphs(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "t", "b")
     rows = blocks.select("doc_id", F.posexplode(S.sections(F.col("b"))).alias("i", "text"))
     return rows.select("doc_id", (F.col("i") + 1).alias("page_number"), "text", units("text").alias("chars"))

@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,7 +28,8 @@ def reassemble(events: DataFrame, seconds: int = ABANDONED) -> DataFrame:
 
     Events are request_id, seq, event, data. Deltas wait in state until ``done``
     or ``error``; a request silent for so long is given out as ``open``. What
-    comes after a request's end is dropped while its state is kept.
+    comes after a request's end is dropped while its state is kept. Data that
+    does not parse, or is no object, has no text and no message.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,26 +44,34 @@ def reassemble(events: DataFrame, seconds: int = ABANDONED) -> DataFrame:
         for r in _ordered(batches, ["seq"]).itertuples():
             if ended:
                 break
-            data = json.loads(r.data or "{}")
+            own = r.text if isinstance(r.text, str) else None
             if r.event == "delta":
-                deltas.append((int(r.seq), data.get("text") or ""))
+                deltas.append((int(r.seq), own or ""))
             elif r.event in ("done", "error"):
                 ended = True
                 text = "".join(t for _, t in sorted(deltas))
                 done = r.event == "done"
-                yield give(r.event, data.get("text") if done and data.get("text") is not None else text if done else None, None if done else data.get("message"))
+                yield give(r.event, (text if own is None else own) if done else None, r.message if not done and isinstance(r.message, str) else None)
                 deltas = []
         state.update((json.dumps(deltas), ended))
         state.setTimeoutDuration(seconds * 1000)
 
-    return events.select("request_id", "seq", "event", "data").groupBy("request_id").applyInPandasWithState(
+    parsed = events.select("request_id", "seq", "event", F.get_json_object("data", "$.text").alias("text"), F.get_json_object("data", "$.message").alias("message"))
+    return parsed.groupBy("request_id").applyInPandasWithState(
         run, "request_id long, status string, text string, message string", "deltas string, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def quota(access: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(client_key, event_id, allowed, retry_after) of every event, in windows that a client's events open."""
+def quota(access: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """(client_key, event_id, allowed, retry_after) of every event, in windows that a client's events open.
+
+    A client's state goes once its window is over for good, that is when the
+    watermark passes it; events that come later than ``late`` are dropped.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, reset = state.get if state.exists else (0, -(1 << 62))
         out = []
         for r in _ordered(batches, ["us", "event_id"]).itertuples():
@@ -75,23 +84,20 @@ def quota(access: DataFrame, limit: int, seconds: int) -> DataFrame:
             else:
                 out.append((key[0], r.event_id, False, max(1, math.ceil((reset - r.us) / 1_000_000))))
         state.update((count, reset))
+        state.setTimeoutTimestamp(max(-(-reset // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client_key", "event_id", "allowed", "retry_after"])
 
-    rows = access.select("client_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("client_key").applyInPandasWithState(run, "client_key long, event_id long, allowed boolean, retry_after long", "count long, reset long", "append", GroupStateTimeout.NoTimeout)
+    timed = access.select("client_key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    rows = timed.withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("client_key").applyInPandasWithState(run, "client_key long, event_id long, allowed boolean, retry_after long", "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def quality(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """The warnings of each finished segment as it comes; the glossary is a small table, read once per batch.
-
-    No aggregation is needed: the glossary is one row with an array, and a row's
-    terms are found inside it.
-    """
-    g = terms.where((trim("term") != "") & (trim("gloss") != "")).agg(F.array_sort(F.collect_list(F.struct("term", "gloss"))).alias("_g"))
-    tidy = segments.withColumns({"source": trim(F.coalesce("source", F.lit(""))), "target": trim(F.coalesce("target", F.lit("")))}).crossJoin(F.broadcast(g))
-    hit = F.filter("_g", lambda t: F.col("source").contains(t["term"]))
-    judged = F.transform(hit, lambda t: F.struct(t["term"].alias("term"), t["gloss"].alias("gloss"), F.lower("target").contains(F.lower(t["gloss"])).alias("matched")))
-    return qa.warned(qa.with_facts(tidy.withColumn("terms", judged).drop("_g"), "source", "target"))
+    """The warnings of each finished segment as it comes; the glossary is a table of bounded size, read once per batch."""
+    if not qa.is_small(terms):
+        raise ValueError(f"a stream's glossary has {qa.FEW_TERMS} terms at most; check with larger ones in batches")
+    tidy = segments.withColumns({"source": trim(F.coalesce("source", F.lit(""))), "target": trim(F.coalesce("target", F.lit("")))})
+    return qa.warned(qa.in_rows(qa.with_facts(tidy, "source", "target"), terms))
 
 
 def current(results: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -100,37 +106,70 @@ def current(results: DataFrame, jobs: DataFrame) -> DataFrame:
     return results.join(latest, ["doc_id", "job_id", "revision"], "left_semi")
 
 
-def into_table(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+#: Parts of a kept table by the hash of its keys, and versions of a part that are kept at least.
+BUCKETS, KEPT = 64, 3
+
+
+def into_table(path: str, keys: list[Column | str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that keeps a parquet table as versions named by batch.
 
-    A batch reads the version before it and writes its own, so a batch that is
-    run again writes the same version again; readers take the newest complete one.
+    A version holds only the parts (by the keys' hash) that its batch touches: the
+    batch reads these from the versions before it and writes them anew, so its
+    cost follows the batch, and a batch that is run again writes the same again.
+    Readers take each part's newest complete version; older ones go in time.
     """
+    part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = newest(batch, path, batch_id)
-        merge(before, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        touched = [r[0] for r in batch.select(part).distinct().collect()]
+        if touched:
+            before = newest(batch, path, batch_id, touched)
+            merged = merge(before, batch).withColumn("part", part)
+            merged.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+            _forget(batch.sparkSession, path)
 
     return write
 
 
-def newest(any_frame: DataFrame, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version (before a batch) of a table written by into_table, or None."""
-    spark = any_frame.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(hadoop):
-        return None
-    done = [s.getPath() for s in store.listStatus(hadoop) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = sorted(p.toString() for p in done if below is None or int(p.getName().rpartition("=")[2]) < below)
-    return spark.read.parquet(versions[-1]) if versions else None
+def _store(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, dict[int, str]]:
+    """Folders of the parts of each complete version."""
+    store, at = _store(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    number = lambda p: int(p.getName().rpartition("=")[2])
+    if not store.exists(at(path)):
+        return {}
+    whole = [s.getPath() for s in store.listStatus(at(path)) if store.exists(at(s.getPath(), "_SUCCESS"))]
+    return {number(v): {number(s.getPath()): s.getPath().toString() for s in store.listStatus(v) if s.isDirectory()} for v in whole}
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove parts that a version before the last few has already replaced."""
+    store, at, versions = _store(spark, path), spark._jvm.org.apache.hadoop.fs.Path, _versions(spark, path)
+    settled, seen = sorted(versions)[: 1 - KEPT] if len(versions) >= KEPT else [], set()
+    for v in reversed(settled):
+        for part, folder in versions[v].items():
+            if part in seen:
+                store.delete(at(folder), True)
+        seen.update(versions[v])
+
+
+def newest(any_frame: DataFrame, path: str, below: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
+    """The newest complete state (before a batch, and of some parts) of a table written by into_table, or None."""
+    spark, found = any_frame.sparkSession, {}
+    for v, folders in sorted(_versions(spark, path).items()):
+        if below is None or v < below:
+            found |= {part: folder for part, folder in folders.items() if parts is None or part in parts}
+    return spark.read.parquet(*sorted(found.values())) if found else None
 
 
 def memory_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Keeps translation memory: of each key the last non-blank result."""
-    return into_table(path, lambda before, batch: memory.upsert(batch.limit(0) if before is None else before, batch))
+    return into_table(path, [memory.memory_source("source"), "domain", "signature"], lambda before, batch: memory.upsert(batch.limit(0) if before is None else before, batch))
 
 
 def history_writer(path: str, by: list[str], keep: int = memory.KEEP) -> Callable[[DataFrame, int], None]:
     """Keeps history: of each id the newest entry, and the newest so many."""
-    return into_table(path, lambda before, batch: memory.newest(batch if before is None else before.unionByName(batch), by, keep))
+    return into_table(path, by, lambda before, batch: memory.newest(batch if before is None else before.unionByName(batch), by, keep))

@@ -79,9 +79,19 @@ def item(s, x, y, **k):
     return {"str": s, "x": x, "y": y, "width": 10.0, "height": 10.0, "has_eol": False} | k
 
 
-def test_placed_text():
-    assert files.rebuilt_text([item("b", 100, 50), item("a", 0, 50.5), item("word", 0, 38), item("gap", 14, 38), item("far", 0, 10)]) == "a\tb\nword gap\n\nfar\n"
-    assert files.rebuilt_text([item("a", None, 1), item("b", None, 1, has_eol=True)]) == "a b\n"
+def test_placed_text(spark):
+    pages = {
+        1: [item("b", 100, 50), item("a", 0, 50.5), item("word", 0, 38), item("gap", 14, 38), item("far", 0, 10)],
+        2: [item("a", None, 1), item("b", None, 1, has_eol=True)],
+        # a tall item widens its line; equal places keep their order; no width and no height have defaults
+        3: [item("T", 0, 100, height=40.0), item("low", 20, 84, height=40.0), item("x", 0, 60, width=None, height=None), item("y", 0, 60), item(" ", 5, 60), item("nan", float("nan"), 60), item("z.", 12, 60), item("end", 16, 60)],
+    }
+    schema = "page int, item_no int, str string, has_eol boolean, x double, y double, width double, height double"
+    number = lambda v: None if v is None else float(v)
+    rows = [(p, i, r["str"], r["has_eol"], *(number(r[k]) for k in ("x", "y", "width", "height"))) for p, items in pages.items() for i, r in enumerate(items)]
+    got = {r.page: r.text for r in files.placed_texts(spark.createDataFrame(rows, schema), ["page"]).collect()}
+    assert got == {1: "a\tb\nword gap\n\nfar\n", 2: "a b\n", 3: "T low\n\nxyz.end\n"}
+    assert files.page_texts(spark.createDataFrame(rows, schema), ["page"]).where("page = 1").first().text == "a\tb\nword gap\n\nfar"
 
 
 def zipped(**parts):
@@ -98,12 +108,14 @@ def test_office_files(spark):
     epub = zipped(**{"META-INF/container.xml": '<c><rootfile full-path="o/p.opf"/></c>', "o/p.opf": '<p><item id="b" href="b.x"/><item id="a" href="../a.x"/><itemref idref="a"/><itemref idref="b"/></p>', "a.x": "<html><body><p>first</p></body></html>", "o/b.x": "<body>second</body>"})
     slide = lambda t: f'<s xmlns:a="a"><a:p><a:pPr><a:buChar/></a:pPr><a:t>{t}</a:t></a:p></s>'
     pptx = zipped(**{"ppt/presentation.xml": '<p xmlns:r="r"><sldId r:id="x"/><sldId r:id="y"/></p>', "ppt/_rels/presentation.xml.rels": '<R><Relationship Id="x" Target="s1.xml"/><Relationship Id="y" Target="s2.xml"/></R>', "ppt/s1.xml": slide(""), "ppt/s2.xml": slide("z")})
-    rows = [("d", "docx", docx), ("e", "epub", epub), ("p", "pptx", pptx), ("bad", "docx", b"no"), ("empty", "pptx", zipped(x="y"))]
+    damaged = bytearray(docx)
+    damaged[40:60] = bytes(20)
+    rows = [("d", "docx", docx), ("e", "epub", epub), ("p", "pptx", pptx), ("bad", "docx", b"no"), ("empty", "pptx", zipped(x="y")), ("new", "pdf", b"%PDF-"), ("none", None, b""), ("cut", "docx", bytes(damaged))]
     units = files.office_units(spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "path string, format string, content binary")).cache()
     pages = {(r.path, r.page_number): r.text for r in files.office_pages(units).collect()}
     assert pages == {("d", 1): "## T\n\n- i\n\n1\t2", ("e", 1): "first", ("e", 2): "second", ("p", 2): "- z"}
     errors = {r.path: r.error for r in units.where("error is not null").collect()}
-    assert set(errors) == {"bad", "empty"} and units.where("path = 'p'").first().total == 2
+    assert set(errors) == {"bad", "empty", "new", "none", "cut"} and errors["new"] == errors["none"] == files.UNKNOWN and errors["cut"] == files.DAMAGED and units.where("path = 'p'").first().total == 2
 
 
 def test_entities(spark):
