@@ -245,7 +245,7 @@ class Coder:
         odd = pc.or_(pc.match_substring_regex(texts, UNEVEN), pc.match_substring(texts, "<|")).to_numpy(zero_copy_only=False).astype(bool)
         split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         words = split.flatten().dictionary_encode()
-        chunks, at = [" " + w for w in words.dictionary.to_pylist()], words.indices.to_numpy().astype(np.int64)
+        chunks, at = [" " + w for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()], words.indices.to_numpy().astype(np.int64)
         more: dict = {}
         begins = split.offsets.to_numpy().astype(np.int64)
         begins -= begins[0]

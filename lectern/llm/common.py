@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step of a task works on.
 SLICE_CHARS = 2_000_000
+#: Full cells that are broadcast to the rows; more are joined.
+FEW_CELLS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own.
+    """The folder all executors share: spark.checkpoint.dir.
 
-    Only a local session, where driver and executors are one process, gets a
-    temporary folder; a cluster without the setting uses its warehouse.
+    Only a local session without it, where driver and executors are one process,
+    gets a temporary folder, which goes when the process ends.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if found:
         return found
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -84,7 +90,9 @@ def deal(rows: DataFrame, limit: int, key: str) -> DataFrame:
     block i goes to all pairs (i, j), so any two rows of a cell meet in exactly
     one pair if their blocks differ, and in k pairs if not.
     """
-    hot = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cell", F.ceil(F.col("n") / limit).cast("int").alias("k"))
+    hot = cut(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cell", F.ceil(F.col("n") / limit).cast("int").alias("k")))
+    if hot.count() <= FEW_CELLS:
+        hot = F.broadcast(hot)
     dealt = rows.join(hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(key), F.col("k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least("block", j) * F.col("k") + F.greatest("block", j))
     spread = dealt.withColumn("pair", F.explode(pairs)).drop("k")
@@ -95,26 +103,28 @@ class WordTable:
     """Rows of numbers by word, computed once for each word a worker meets.
 
     ``fill`` gets the new words and returns their rows. The table starts anew
-    once it holds ``limit`` words, so a worker's memory stays bounded.
+    once it holds ``limit`` words or ``chars`` characters of them, so a worker's
+    memory stays bounded, by one slice's words beyond that.
     """
 
-    def __init__(self, fill: Callable[[list], np.ndarray], limit: int = 400_000):
-        self.fill, self.limit = fill, limit
+    def __init__(self, fill: Callable[[list], np.ndarray], limit: int = 250_000, chars: int = 20_000_000):
+        self.fill, self.limit, self.chars = fill, limit, chars
         self._reset()
 
     def _reset(self) -> None:
         self.index = defaultdict()
         self.index.default_factory = self.index.__len__
         self.rows = self.fill([])
-        self.used = 0
+        self.used = self.held = 0
 
     def look_up(self, words: list) -> np.ndarray:
         """Row numbers, valid until the next call."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.held > self.chars:
             self._reset()
         found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if (n := len(self.index)) > self.used:
             new = list(self.index)[self.used :] if self.used == 0 else _last(self.index, n - self.used)
+            self.held += sum(map(len, new))
             rows = self.fill(new)
             if n > len(self.rows):
                 grown = np.empty((max(n, 2 * len(self.rows)), *self.rows.shape[1:]), self.rows.dtype)

@@ -147,10 +147,10 @@ def fit(docs: DataFrame) -> Coder:
         counts[np.searchsorted(langs, found.lang), found.bucket] = found.n
     coder = Coder(langs, counts)
     if langs:
-        # the hash of the last row wanted comes first, so that no task sends texts that are not used
-        known = docs.where("lang is not null").withColumn("h", F.xxhash64("doc_id"))
+        # the hash of the last row wanted comes first, so that no task sends texts that are not used; equal rows count once
+        known = docs.where("lang is not null").where(F.length("text") <= CALIBRATION_CHARS).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
         hashes = known.select("h").orderBy("h").limit(CALIBRATION_ROWS).collect()
-        few = known.where((F.col("h") <= hashes[-1].h) & (F.length("text") <= CALIBRATION_CHARS)).select("text", "lang").limit(CALIBRATION_ROWS).collect() if hashes else []
+        few = known.where(F.col("h") <= hashes[-1].h).dropDuplicates(["h"]).orderBy("h").collect() if hashes else []
         few = [r for r in few if r.lang in langs]
         coder.calibrate([r.text for r in few], [r.lang for r in few])
     return coder

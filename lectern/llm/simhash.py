@@ -17,6 +17,7 @@ and kept by the pipeline stage.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lectern.llm.common import cut, deal, slices, unused
+from lectern.llm.common import cut, deal, slices
 from lectern.llm.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 3
@@ -59,13 +61,12 @@ def fingerprint(texts: list) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
     """The rows with their fingerprint as a further column."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             yield part.append_column(name, pa.array(fingerprint(texts)))
 
-    return docs.mapInArrow(run, f"{fields}, `{name}` long")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, LongType())]))
 
 
 def _half(fp: Column, upper: bool) -> Column:
@@ -147,30 +148,35 @@ def links(distinct: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def component_ids(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, keeper) for each distinct fingerprint of the rows (doc_id, fp).
+    """(fp, best) for each distinct fingerprint of the rows (doc_id, h, fp).
 
-    keeper is the fingerprint of the row that stands for the component: the one
-    with the smallest doc_id, nulls last.
+    best is the row that stands for the component: none, id and h of the one with
+    the smallest doc_id, nulls last, then the smallest h.
     """
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")).alias("first"))
     roots = components(links(first.select("fp")))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))
-    whole = named.groupBy("root").agg(F.min(best).alias("best"))
-    return named.join(whole, "root").select("fp", F.col("best.first").alias("component_id"), F.col("best.fp").alias("keeper"))
+    whole = named.groupBy("root").agg(F.min("first").alias("best"))
+    return named.join(whole, "root").select("fp", "best")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
-    prints = cut(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "fp"))
-    return prints.join(component_ids(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = cut(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("h"), "text"), "fp").drop("text"))
+    return prints.join(component_ids(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id, all columns kept."""
-    fp = unused(docs, "_fp")
-    own = with_fingerprint(docs, fp)
-    prints = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")))
-    keep = component_ids(prints).where("fp = keeper").select(F.col("fp").alias("_keep"), F.col("component_id").alias("_id"))
-    kept = own.join(keep, (own[fp] == keep["_keep"]) & own["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates([fp, "doc_id"]).select(*docs.columns)
+    """Pipeline stage: of each component the row with the smallest doc_id (nulls last), all columns kept.
+
+    Of rows with that id the one whose text has the smallest hash stays, and of
+    rows with that text too the one whose other columns have the smallest hash
+    (maps and variants, which have none, don't count).
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    keep = component_ids(cut(with_fingerprint(found).drop("text"))).select("best.*").distinct()
+    others = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    whole = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(*map(quoted, others)).alias("order"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    one = whole.groupBy("none", "id", "h").agg(F.min_by("row", "order").alias("row"))
+    return one.join(keep.withColumn("id", F.coalesce("id", F.lit(0))), ["none", "id", "h"], "left_semi").select("row.*")

@@ -212,9 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> Fi
             rows = [np.array([model.value.get(normal(w), 0) for w in (t or "").split()], np.int32).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], names=["label", "tokens"])
 
-    order = F.xxhash64("text")
-    some = few.where("label = 0").orderBy(order, "text").limit(SEQUENCES).union(few.where("label = 1").orderBy(order, "text").limit(SEQUENCES))
-    rows = sorted(some.mapInArrow(number, "label int, tokens binary").collect(), key=lambda r: (r.label, bytes(r.tokens)))
+    # hashes come first, so that no task gathers texts: of each class those up to the last hash wanted
+    hashed = few.withColumn("h", F.xxhash64("text"))
+    order = [(r.label, r.h) for r in hashed.select("label", "h").orderBy("label", "h").collect()]
+    last = {label: [h for own, h in order if own == label][:SEQUENCES][-1] for label in (0, 1)}
+    some = hashed.where(F.col("h") <= F.when(F.col("label") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
+    rows = sorted(some.select("label", "text").mapInArrow(number, "label int, tokens binary").collect(), key=lambda r: (r.label, bytes(r.tokens)))
     tokens = np.frombuffer(b"".join(bytes(r.tokens) for r in rows), np.int32)
     lengths = np.array([len(r.tokens) // 4 for r in rows], np.int64)
     truth = np.array([r.label for r in rows])
