@@ -95,51 +95,51 @@ class Encoder:
     @staticmethod
     def pieces(word: str) -> list[str] | None:
         """The vocabulary's pieces of a plain word; None for any other."""
-        if word.isascii():
-            low = word.lower()
-            return [low] if low.isalpha() else None if "<|" in word or not PLAIN.fullmatch(low) else PIECES.findall(low)
-        if PLAIN.fullmatch(word) and PLAIN.fullmatch(low := word.lower()) and "<|" not in word:
-            return PIECES.findall(low)
-        return None
-
-    def _remember(self, words: list[str], ids: list[bytes]) -> None:
-        for w, x in zip(words, ids):
-            if len(w) <= LONGEST:
-                self.known[w] = x
-                self.held += len(w) + len(x)
-
-    def _find(self, words: list[str], ask: Callable) -> dict[str, bytes]:
-        """Ids of distinct words: from what is known, else asked for."""
-        found, known, older = {}, self.known, self.older
-        new = []
-        for w in words:
-            x = known.get(w)
-            if x is None and (x := older.get(w)) is not None:
-                self._remember([w], [x])
-            if x is None:
-                new.append(w)
-            else:
-                found[w] = x
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = ask(part)
-            self._remember(part, ids)
-            found.update(zip(part, ids))
+        low = word.lower()
+        return None if "<|" in word or not PLAIN.fullmatch(word) or not PLAIN.fullmatch(low) else PIECES.findall(low)
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        if max(map(len, found), default=0) > LONGEST:
+            found = {w: x for w, x in found.items() if len(w) <= LONGEST}
+        self.known.update(found)
+        self.held += ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
+    def _new(self, words: list[str], ask: Callable) -> dict[str, bytes]:
+        """Ids of distinct words that no worker's table holds."""
+        found = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            found.update(zip(part, ask(part)))
         return found
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words not met before: of pieces met before, or asked for now."""
+        known, older = self.known, self.older
+        split = {w: self.pieces(w) for w in words if not (w.isascii() and w.isalpha() and w.islower())}
+        whole = [w for w, p in split.items() if p is None]
+        # a word that is one piece is asked for like the pieces of others
+        wanted = {x for p in split.values() if p for x in p}
+        own = {x: i for x in wanted if (i := known.get(x) or older.get(x)) is not None}
+        wanted.difference_update(own)
+        wanted.update(w for w in words if w not in split)
+        new = self._new(list(wanted), self._ask) | self._new(whole, self._whole)
+        own |= new
+        for w, p in split.items():
+            if p is not None:
+                own[w] = own[p[0]] if len(p) == 1 else b"".join([own[x] for x in p])
+        self._remember(own)
+        return own
+
     def _rows(self, words: list[str]) -> list[bytes]:
         """Ids of the distinct words of a slice."""
-        if self.held + ENTRY * len(self.known) > HELD_BYTES:
+        if self.held > HELD_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
         out = list(map(self.known.get, words))
         new = [i for i, x in enumerate(out) if x is None]
         if new:
-            split = {words[i]: self.pieces(words[i]) for i in new}
-            found = self._find([w for w, p in split.items() if p is None], self._whole)
-            pieces = self._find(list({x for p in split.values() if p for x in p}), self._ask)
-            composed = {w: pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p]) for w, p in split.items() if p is not None}
-            self._remember([w for w in composed if w not in self.known], [x for w, x in composed.items() if w not in self.known])
-            found |= composed
+            again = {w: x for w in map(words.__getitem__, new) if (x := self.older.get(w)) is not None}
+            self._remember(again)
+            found = self._learn([w for w in map(words.__getitem__, new) if w not in again]) | again
             for i in new:
                 out[i] = found[words[i]]
         return out
@@ -150,7 +150,7 @@ class Encoder:
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        rows = self._rows(words.dictionary.to_pylist())
+        rows = self._rows(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(rows), "<u4")))
         ids = table.take(words.indices).flatten().to_numpy()
