@@ -48,12 +48,19 @@ TABLE_BITS, FREQUENT_RUNS, FREQUENT = 21, 1 << 20, 120_000
 FLUSH = 400_000
 WEIGHTS = 256 * INPUTS + LEVELS * INPUTS
 PARAMETERS = WEIGHTS + 2 * 256 * STEPS
+#: Costs are whole numbers of this part of a decimal digit, so that sums do not depend on their order.
+UNIT = 1e-8
+#: Bytes of one text that are looked at together.
+TEXT_BYTES = 4_000_000
 
 
 def runs(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Every byte of the texts, and of their ends, with the bytes before it as one number, the nearest foremost; and counts by text."""
-    before = bytes(DEPTH)
-    raw = [before + t.encode("utf-8", "replace") + b"\0" if t else before + b"\0" for t in texts]
+    return _keys([bytes(DEPTH) + (t or "").encode("utf-8", "replace") + b"\0" for t in texts])
+
+
+def _keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of pieces that begin with their context."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     key = data[DEPTH:].copy()
@@ -61,11 +68,26 @@ def runs(texts: list) -> tuple[np.ndarray, np.ndarray]:
         key |= data[DEPTH - back : len(data) - back] << np.uint64(8 * (DEPTH + 1 - back))
     keep = np.ones(len(key), bool)
     starts = np.cumsum(sizes)[:-1]
-    for k in range(DEPTH):  # the zeros before a text are context only
+    for k in range(DEPTH):  # what stands before a piece is context only
         keep[starts + k - DEPTH] = False
     return key[keep], sizes - DEPTH
 
 
+def run_parts(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """runs() of the texts, long ones in parts: runs, counts, and which text each count belongs to."""
+    short, own = [], []
+    for i, t in enumerate(texts):
+        raw = bytes(DEPTH) + (t or "").encode("utf-8", "replace") + b"\0"
+        if len(raw) <= TEXT_BYTES:
+            short.append(raw)
+            own.append(i)
+        else:
+            for at in range(DEPTH, len(raw), TEXT_BYTES):
+                yield *_keys([raw[at - DEPTH : at + TEXT_BYTES]]), [i]
+    if short:
+        yield *_keys(short), own
+
+
 def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their numbers."""
     out, at = np.unique(keys, return_inverse=True)
@@ -176,24 +198,25 @@ def run_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, m = np.empty(0, np.uint64), np.empty(0), np.empty(0)
         for part, texts in slices(batches, "text"):
-            new, sizes = runs(texts)
-            train = np.repeat(~np.asarray(part.column("held_out").to_pylist(), bool), sizes)
-            own, at = np.unique(new, return_inverse=True)
-            both = np.concatenate([keys, own])
-            n = np.concatenate([n, np.bincount(at, weights=train, minlength=len(own))])
-            m = np.concatenate([m, np.bincount(at, minlength=len(own))])
-            keys, at = np.unique(both, return_inverse=True)
-            n, m = np.bincount(at, weights=n), np.bincount(at, weights=m)
-            if len(keys) > FLUSH:
-                yield _table(k=keys, n=n, m=m)
-                keys, n, m = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+            learned = ~np.asarray(part.column("held_out").to_pylist(), bool)
+            for new, sizes, which in run_parts(texts):
+                train = np.repeat(learned[which], sizes)
+                own, at = np.unique(new, return_inverse=True)
+                both = np.concatenate([keys, own])
+                n = np.concatenate([n, np.bincount(at, weights=train, minlength=len(own))])
+                m = np.concatenate([m, np.bincount(at, minlength=len(own))])
+                keys, at = np.unique(both, return_inverse=True)
+                n, m = np.bincount(at, weights=n), np.bincount(at, weights=m)
+                if len(keys) > FLUSH:
+                    yield _table(k=keys, n=n, m=m)
+                    keys, n, m = np.empty(0, np.uint64), np.empty(0), np.empty(0)
         yield _table(k=keys, n=n, m=m)
 
     return rows.mapInArrow(run, "k long, n long, m long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _table(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({c: pa.array(v if v.dtype == np.float64 and c == "cost" else v.astype(np.int64)) for c, v in columns.items()})
+    return pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -215,7 +238,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def priced(counts: DataFrame) -> DataFrame:
-    """(k, m, cost) of every run: the weights are fitted by part of the table, averaged, then used unchanged."""
+    """(k, m, cost) of every run, costs in units: the weights are fitted by part of the table, averaged, then used unchanged."""
     byte = F.col("k").bitwiseAND(255)
     rows = counts.where("n > 0").groupBy(F.shiftright("k", 32).alias("c"), byte.alias("b")).agg(F.sum("n").alias("n")).select((F.col("c") * 256 + F.col("b")).alias("k"), "n").orderBy("k").collect()
     first = np.array([r.k for r in rows], np.uint64), np.array([r.n for r in rows], np.float64)
@@ -241,9 +264,9 @@ def priced(counts: DataFrame) -> DataFrame:
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, n, m in groups(batches):
-            yield _table(k=k, m=m, cost=mixer.cost(k, Counts(k, n, first)))
+            yield _table(k=k, m=m, cost=np.rint(mixer.cost(k, Counts(k, n, first)) / UNIT))
 
-    return parts.mapInArrow(price, "k long, m long, cost double")
+    return parts.mapInArrow(price, "k long, m long, cost long")
 
 
 def frequent_runs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +279,7 @@ def frequent_runs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least, held = s, held + sizes[s]
     if not held:
-        return np.empty(0, np.uint64), np.empty(0)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     t = costs.where(step >= least).select("k", "cost").toArrow()
     k, cost = t.column("k").to_numpy().astype(np.uint64), t.column("cost").to_numpy()
     order = np.argsort(k)
@@ -264,11 +287,11 @@ def frequent_runs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Costs:
-    """Costs of frequent runs, in a table that runs overwrite; nan for runs that must be joined."""
+    """Costs of frequent runs, in a table that runs overwrite; -1 for runs that must be joined."""
 
     def __init__(self, known: np.ndarray, cost: np.ndarray):
         self.known, self.cost = known, cost
-        self.keys, self.costs = np.full(1 << TABLE_BITS, np.uint64(2**64 - 1)), np.zeros(1 << TABLE_BITS)
+        self.keys, self.costs = np.full(1 << TABLE_BITS, np.uint64(2**64 - 1)), np.zeros(1 << TABLE_BITS, np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = (keys * PRIME) >> np.uint64(64 - TABLE_BITS)
@@ -276,10 +299,10 @@ class Costs:
         miss = np.flatnonzero(self.keys[at] != keys)
         if len(miss):
             new, back = np.unique(keys[miss], return_inverse=True)
-            cost = np.full(len(new), np.nan)
+            cost = np.full(len(new), -1)
             if len(self.known):
                 spot = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
-                cost = np.where(self.known[spot] == new, self.cost[spot], np.nan)
+                cost = np.where(self.known[spot] == new, self.cost[spot], -1)
             out[miss] = cost[back]
             at = (new * PRIME) >> np.uint64(64 - TABLE_BITS)
             self.keys[at], self.costs[at] = new, cost
@@ -323,7 +346,7 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
-    """doc_id, held_out, token counts, word-frequency score and model score of every row."""
+    """doc_id, held_out, token counts, word-frequency score, model score and bits a byte (the end is one) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == fold).alias("held_out"), "text")
     training = rows.where("not held_out").select("text")
     counts = cut(word_counts(training))
@@ -336,12 +359,18 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, get = Costs(*often_run.value), known.value.get
         for part, texts in slices(batches, "text"):
-            keys, sizes = runs(texts)
-            cost = costs(keys)
-            apart = np.isnan(cost)
-            far = np.concatenate([[0], np.cumsum(sums(apart, sizes))]).astype(np.int32)
-            far = pa.ListArray.from_arrays(pa.array(far), pa.array(keys[apart].astype(np.int64)))
-            model = -sums(np.where(apart, 0, cost), sizes)
+            model, size, far = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [[] for _ in texts]
+            for keys, sizes, which in run_parts(texts):
+                cost = costs(keys)
+                apart, starts = cost < 0, np.cumsum(sizes) - sizes
+                model[which] += np.add.reduceat(np.where(apart, 0, cost), starts)
+                size[which] += sizes
+                for i, own in zip(which, np.split(keys[apart], np.cumsum(np.add.reduceat(apart, starts, dtype=np.int64))[:-1])):
+                    if len(own):
+                        far[i].append(own)
+            counts_ = np.array([sum(map(len, f)) for f in far])
+            flat = np.concatenate([x for f in far for x in f] or [np.empty(0, np.uint64)])
+            far = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts_)]).astype(np.int32)), pa.array(flat.astype(np.int64)))
             total, sure, base, rare, often = [], [], [], [], []
             for t in texts:
                 words = [*tokens(t), b""]
@@ -355,17 +384,18 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 often.append(list(other.values()))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("held_out"), pa.array(total, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(model), pa.array([b" ".join(r) if r else None for r in rare], pa.binary()), pa.array(often, pa.list_(pa.int32())), far,
-            ], names=["doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "often", "far"])
+                pa.array(model), pa.array(size), pa.array([b" ".join(r) if r else None for r in rare], pa.binary()), pa.array(often, pa.list_(pa.int32())), far,
+            ], names=["doc_id", "held_out", "n_tokens", "sure", "base", "cost", "bytes", "rare", "often", "far"])
 
-    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare binary, often array<int>, far array<long>")
+    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, sure long, base double, cost long, bytes long, rare binary, often array<int>, far array<long>")
     first = cut(first.withColumn("row", F.monotonically_increasing_id()))
     words = F.arrays_zip(F.split(F.col("rare").cast("string"), " ", -1).alias("w"), F.col("often").alias("k"))
     apart = first.where("rare is not null").select("row", F.explode(words).alias("x")).select("row", F.col("x.w").cast("binary").alias("word"), F.col("x.k").alias("k"))
     found = apart.join(counts, "word").groupBy("row").agg(F.sum("k").cast("long").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
-    more = first.select("row", F.explode("far").alias("k")).groupBy("row", "k").count().join(priced_runs, "k").groupBy("row").agg(F.sum(F.col("count") * F.col("cost")).alias("cost"))
+    more = first.select("row", F.explode("far").alias("k")).groupBy("row", "k").count().join(priced_runs, "k").groupBy("row").agg(F.sum(F.col("count") * F.col("cost")).alias("far_cost"))
     zero = F.lit(0).cast("long")
+    model = -(F.col("cost") + F.coalesce("far_cost", zero)) * UNIT
     return first.join(found, "row", "left").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("more", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), (F.col("score") - F.coalesce("cost", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), model.alias("score"), (-model / math.log10(2) / F.col("bytes")).alias("bits_per_byte"),
     )
