@@ -38,7 +38,7 @@ REJECT = 0.3
 BLOCK = 256
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 TOKEN = re.compile(r"\S+")
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
+SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans string"
 
 
 def normal(token: str) -> str:
@@ -149,6 +149,15 @@ class Field:
         at = table.look_up(list(chain.from_iterable(words)))
         return words, lengths, marginals(table.rows[at], lengths, np.exp(self.moves))
 
+    @staticmethod
+    def offending(texts: list, lengths: np.ndarray, p: np.ndarray) -> list[list]:
+        """Of each text, the tokens with a marginal of one half or more: match and marginal."""
+        ends, hot, out = np.cumsum(lengths), np.concatenate([[0], np.cumsum(p >= 0.5)]), []
+        for text, end, n in zip(texts, ends.tolist(), lengths.tolist()):
+            own = p[end - n : end] if hot[end] > hot[end - n] else ()
+            out.append([(m, float(x)) for m, x in zip(TOKEN.finditer(text), own) if x >= 0.5] if len(own) else [])
+        return out
+
     @staticmethod
     def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Document features: expected toxic tokens, largest marginal, density."""
@@ -228,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> Fi
 
 
 def score(docs: DataFrame, field: Field, folds: int = 4, fold: int = 2) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row."""
+    """doc_id, held_out, score, predicted and the offending offsets (start:end by code points, end exclusive) for every row."""
     model = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +245,8 @@ def score(docs: DataFrame, field: Field, folds: int = 4, fold: int = 2) -> DataF
         for part, texts in slices(batches, "text"):
             _, lengths, p = model.value.tag(texts, table)
             s = model.value.scores(p, lengths)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= REJECT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            at = [",".join(f"{m.start()}:{m.end()}" for m, _ in found) for found in model.value.offending(texts, lengths, p)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= REJECT).astype(np.int32)), pa.array(at, pa.string())], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == fold).alias("held_out"), "text")
     return rows.mapInArrow(run, SCHEMA)
@@ -250,11 +260,7 @@ def spans(docs: DataFrame, field: Field) -> DataFrame:
         table = model.value.table()
         for part, texts in slices(batches, "text"):
             _, lengths, p = model.value.tag(texts, table)
-            ends, out = np.cumsum(lengths), []
-            for i, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts)):
-                own = p[ends[i] - lengths[i] : ends[i]]
-                if (own >= 0.5).any():
-                    out += [(doc, *m.span(), m.group(), float(x)) for m, x in zip(TOKEN.finditer(text), own) if x >= 0.5]
+            out = [(doc, *m.span(), m.group(), x) for doc, found in zip(part.column("doc_id").to_pylist(), model.value.offending(texts, lengths, p)) for m, x in found]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], names=["doc_id", "start", "end", "token", "marginal"])
 
