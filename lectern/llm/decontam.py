@@ -3,8 +3,13 @@
 Benchmark windows are the patterns. A shift table over blocks of two words says
 how far the search may move on; where it says zero, the block ends some pattern
 and the bucket of its suffix hash names the patterns to compare word by word.
-Texts are mapped to word numbers once and the tables are read for whole slices
-of a task's texts at a time.
+Texts are mapped to word numbers once. A slice of a task's texts is cut in lanes,
+each with a cursor; all cursors look up their block at once and each moves on by
+its own shift, so most positions are never looked at.
+
+A benchmark over the size of one broadcast is searched in blocks, one after the
+other: each writes the documents it occurs in to the shared folder, and its
+broadcast is dropped before the next is made.
 
 Defined cases: a null or wordless text has no words and is clean; wordless items
 have no window; repeated items count by their item_id once; repeated documents
@@ -15,20 +20,27 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lectern.llm.common import slices
+from lectern.llm.common import cut, shared_folder, slices
 
 WINDOW = 10
 #: Characters of benchmark text that one broadcast may hold; larger sets are searched block by block.
 BLOCK_CHARS = 8_000_000
+#: Characters of a piece of one item, at most.
+PIECE_CHARS = 1_000_000
 HASH = 1 << 20
+#: Words of text that one cursor of the search passes.
+LANE = 256
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -56,17 +68,24 @@ class Patterns:
         b = block[..., -1].astype(np.uint64) if self.block == 2 else np.uint64(0)
         return ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
 
-    def find(self, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, pattern) of every occurrence; known: running count of words that the patterns hold."""
-        n = len(ids)
-        if n < self.length:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """Positions at which a pattern may end: those where a cursor met a shift of zero."""
+        cursor = np.arange(self.length - 1, len(ids), LANE)
+        stop, found, self.looked = np.minimum(cursor + LANE, len(ids)), [], 0
+        while len(cursor):
+            shift = self.shift[self.key(np.stack([ids[cursor - self.block + 1], ids[cursor]], axis=-1))]
+            self.looked += len(cursor)
+            found.append(cursor[shift == 0])
+            cursor = cursor + np.maximum(shift, 1)
+            live = cursor < stop
+            cursor, stop = cursor[live], stop[live]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, pattern) of every occurrence."""
         first = self.length - 1
-        # a window needs known words only: one look at the running count rules most positions out
-        ends = np.flatnonzero(known[self.length :] - known[: n - self.length + 1] == self.length) + first
+        ends = self.ends(ids)
         keys = self.key(np.stack([ids[ends - self.block + 1], ids[ends]], axis=-1))
-        stop = self.shift[keys] == 0
-        ends, keys = ends[stop], keys[stop]
         low, high = np.searchsorted(self.suffix, keys, "left"), np.searchsorted(self.suffix, keys, "right")
         starts, found = [], []
         many = np.cumsum(high - low)
@@ -96,7 +115,7 @@ class Matcher:
             w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
             size = min(window, len(w))
             for i in range(len(w) - size + 1 if w else 0):
-                owners.setdefault(tuple(w[i : i + size]), set()).add(str(item) if item is not None else "null")
+                owners.setdefault(tuple(w[i : i + size]), set()).add(item)
         by_length: dict[int, list] = {}
         for k in sorted(owners):
             by_length.setdefault(len(k), []).append(k)
@@ -109,10 +128,9 @@ class Matcher:
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         ids = np.fromiter(chain.from_iterable(chain(e, (0,)) for e in each), np.int64, int(sizes.sum()) + len(each))
         begin = np.cumsum(sizes + 1) - sizes - 1
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
         ranges, items = [[] for _ in texts], [set() for _ in texts]
         for patterns, owners in self.groups:
-            at, found = patterns.find(ids, known)
+            at, found = patterns.find(ids)
             doc = np.searchsorted(begin, at, "right") - 1
             for d, start in zip(doc.tolist(), (at - begin[doc]).tolist()):
                 ranges[d] += (start, start + patterns.length)
@@ -121,41 +139,85 @@ class Matcher:
         return sizes, ranges, items
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Matcher]:
-    """Matchers over the items, each of bounded size."""
-    rows = benchmark.select("item_id", "text").where("text is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    k = -(-total // chars) or 1
-    k = k if k == 1 else 2 * k
-    for i in range(k):
-        part = rows if k == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i)
-        yield Matcher([(r.item_id, r.text) for r in part.collect()])
+def pieces(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text): the items, long ones in pieces that overlap by a window less one word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            ids, out = [], []
+            for item, text in zip(part.column("item").to_pylist(), texts):
+                if len(text) <= PIECE_CHARS:
+                    own = [text]
+                else:
+                    w = [x.decode() for x in words(text)]
+                    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum([len(x) + 1 for x in w]) // PIECE_CHARS)) + 1).tolist(), len(w)]
+                    own = [" ".join(w[min(a, max(0, len(w) - WINDOW)) : b + WINDOW - 1]) for a, b in zip(cuts, cuts[1:])]
+                ids += [item] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["item", "text"])
+
+    return benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").mapInArrow(run, "item string, text string")
 
-def search(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
-    """Every row with n_words, hit_ranges and items: what of the benchmark occurs in it."""
-    names = [c for c in docs.columns if c not in ("n_words", "hit_ranges", "items")]
-    out = docs.select(*names, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit_ranges"), F.array().cast("array<string>").alias("items"))
-    for matcher in blocks(benchmark, chars):
-        out = _with(out, docs.sparkSession.sparkContext.broadcast(matcher), len(names))
-    return out
 
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Matcher]:
+    """Matchers over the items, made one at a time, each of bounded size."""
+    rows = cut(pieces(benchmark).distinct())
+    k = 1
+    while True:  # more blocks until the fullest fits
+        sizes = rows.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(k)).alias("block")).agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("pieces")).collect()
+        if all(r.n <= chars or r.pieces == 1 for r in sizes):
+            break
+        k *= 2
+    for block in sorted(r.block for r in sizes):
+        yield Matcher([(r.item, r.text) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(k)) == block).collect()])
+
+
+def _with(docs: DataFrame, model: Broadcast) -> DataFrame:
+    """The rows (doc_id, text, ...) with n_words, hit_ranges and items in place of the text."""
+    rest = docs.drop("text")
+    names = rest.columns
 
-def _with(rows: DataFrame, model, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             sizes, ranges, items = model.value.scan(texts)
-            ranges = [a + b for a, b in zip(part.column(width + 1).to_pylist(), ranges)]
-            items = [sorted(b.union(a)) for a, b in zip(part.column(width + 2).to_pylist(), items)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(sizes), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=part.schema.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sizes), pa.array(ranges, pa.list_(pa.int64())), pa.array(list(map(sorted, items)), pa.list_(pa.string()))], names=[*names, "n_words", "hit_ranges", "items"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return docs.mapInArrow(run, StructType([*rest.schema, StructField("n_words", LongType()), StructField("hit_ranges", ArrayType(LongType())), StructField("items", ArrayType(StringType()))]))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, n_words, hit_ranges, items) of every row: what of the benchmark occurs in it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = blocks(benchmark, chars)
+    matcher, second = next(each, Matcher([])), next(each, None)
+    send = docs.sparkSession.sparkContext.broadcast
+    if second is None:
+        return _with(rows, send(matcher))
+    hits = _hits(rows, chain([matcher, second], each))
+    counted = _with(rows.withColumn("h", F.xxhash64("text")), send(Matcher([]))).drop("hit_ranges", "items")
+    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), "h"]
+    found = hits.groupBy(*key).agg(F.flatten(F.collect_list("hit_ranges")).alias("hit_ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = counted.select("doc_id", "n_words", *key).join(found, ["id", "none", "h"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("hit_ranges", F.array().cast("array<long>")).alias("hit_ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _hits(rows: DataFrame, matchers: Iterable[Matcher]) -> DataFrame:
+    """(doc_id, h, block, hit_ranges, items) of the different texts each block occurs in, from a written table.
+
+    Equal rows have equal results, so a row is known by its doc_id and its text's hash.
+    """
+    spark, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession).rstrip('/')}/benchmark-hits-{uuid.uuid4().hex}"
+    for block, matcher in enumerate(matchers):
+        model = spark.sparkContext.broadcast(matcher)
+        found = _with(rows.withColumn("h", F.xxhash64("text")), model).where(F.size("items") > 0).drop("n_words")
+        found.dropDuplicates(["doc_id", "h"]).withColumn("block", F.lit(block)).write.mode("append").parquet(folder)
+        model.unpersist()
+    return spark.read.parquet(folder)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document: its words, hit words, items, and whether it is contaminated."""
-    found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, chars)
-
+    found = search(docs, benchmark, chars)
     none = hashlib.sha256(b"").hexdigest()
     some = F.size("items") > 0
     digest = F.when(some, F.sha2(F.array_join(F.array_sort("items"), ","), 256)).otherwise(F.lit(none))
@@ -170,14 +232,19 @@ def hit_words(ranges: str):
     return F.when(F.size(ranges) > 0, F.aggregate(pairs, zero, step, lambda a: a["n"])).otherwise(F.lit(0).cast("long"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
     """Pipeline stage: rows in which no benchmark window occurs, all columns kept."""
-    matchers = [docs.sparkSession.sparkContext.broadcast(m) for m in blocks(benchmark)]
-    for model in matchers:
+    each = blocks(benchmark, chars)
+    matcher, second = next(each, Matcher([])), next(each, None)
+    if second is not None:
+        keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull()]
+        hits = _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chain([matcher, second], each))
+        bad = hits.select(keys[0].alias("_id"), keys[1].alias("_none"), F.col("h").alias("_h")).distinct()
+        return docs.join(bad, (keys[0] == bad["_id"]) & (keys[1] == bad["_none"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
+    model = docs.sparkSession.sparkContext.broadcast(matcher)
 
-        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            for part, texts in slices(batches, "text"):
-                yield part.filter(pa.array([not x for x in model.value.scan(texts)[2]]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            yield part.filter(pa.array([not x for x in model.value.scan(texts)[2]], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
