@@ -55,5 +55,12 @@ def write_texts(texts: DataFrame, path: str, by: str) -> None:
     texts.select(by, "text").write.partitionBy(by).mode("overwrite").text(path)
 
 
-def write_glossary(glossary: DataFrame, path: str) -> None:
-    glossary.write.mode("overwrite").json(path)
+def glossary_files(glossary: DataFrame, by: list[str]) -> DataFrame:
+    """(by, content): each glossary as the JSON array that imports take, sorted by term; a glossary is one file, so it is small."""
+    entry = F.struct(F.col("term").alias("chinese"), F.col("gloss").alias("english"), "locked", "confirmed")
+    return glossary.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("content"))
+
+
+def write_glossaries(glossary: DataFrame, path: str, by: str) -> None:
+    """One folder with a JSON array for each glossary."""
+    glossary_files(glossary, [by]).write.partitionBy(by).mode("overwrite").text(path)

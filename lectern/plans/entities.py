@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import entities as E
 from lectern.operators import memory as M
+from lectern.operators import outcomes
 from lectern.operators import search as S
 from lectern.plans.base import query, table
 from lectern.plans.qa import PAIRS, pairs
@@ -32,38 +33,12 @@ def chinese_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.extract(han_pages(spark, sf_dir), "doc_id", names)
 
 
-def part_entities(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % every == 0)
+def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
     kinds = F.array(*map(F.lit, E.KINDS))
     return p.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("surface"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("gloss"), F.get(kinds, F.col("p_size") % 6).alias("type"))
 
 
-KNOWN = "kn AS (SELECT 'part ' || p_partkey AS surface, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS gloss, (['person','organization','place','title','term','other'])[p_size % 6 + 1] AS type FROM part WHERE p_partkey % 2 = 0)"
-FRESH = "fr AS (SELECT 'part ' || p_partkey AS surface, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS gloss, 'term' AS type FROM part WHERE p_partkey % 3 = 0)"
-
-
-def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 == 0)
-    return p.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("surface"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")).alias("gloss"), F.lit("term").alias("type"))
-
-
-@query(f"WITH {KNOWN}, {FRESH} SELECT coalesce(kn.surface, fr.surface) AS surface, coalesce(nullif(fr.gloss, ''), kn.gloss) AS gloss, coalesce(kn.type, fr.type) AS type FROM kn FULL JOIN fr ON kn.surface = fr.surface")
-def merged_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known entities with a service's new glosses."""
-    return E.merge_glosses(part_entities(spark, sf_dir, 2), fresh(spark, sf_dir))
-
-
-GLOSS = "gl AS (SELECT 'part ' || p_partkey AS term, p_type AS gloss, p_size % 5 = 0 AS locked, p_size % 7 = 0 AS confirmed FROM part WHERE p_partkey % 4 = 0)"
-
-
-@query(f"WITH {GLOSS}, {FRESH} SELECT coalesce(gl.term, fr.surface) AS term, CASE WHEN coalesce(locked OR confirmed, false) THEN gl.gloss ELSE coalesce(nullif(fr.gloss, ''), gl.gloss, '') END AS gloss, coalesce(locked, false) AS locked, coalesce(confirmed, false) AS confirmed FROM gl FULL JOIN fr ON gl.term = fr.surface")
-def merged_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A glossary with the entities' glosses where nobody fixed one."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
-    g = p.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("term"), F.col("p_type").alias("gloss"), (F.col("p_size") % 5 == 0).alias("locked"), (F.col("p_size") % 7 == 0).alias("confirmed"))
-    return E.merge_glossary(g, fresh(spark, sf_dir))
-
-
 @query("""WITH g AS (SELECT p_brand AS term, p_type AS gloss, p_partkey AS pos, p_size % 5 = 0 AS locked FROM part), l AS (SELECT term, arg_max(gloss, pos) AS gloss FROM g WHERE locked AND trim(gloss) <> '' GROUP BY term)
 SELECT term, gloss FROM l""")
 def locked_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +108,6 @@ def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", S.highlight("text", " the ").alias("text"))
 
 
-@query(f"WITH {KNOWN} SELECT surface, type FROM kn")
-def ordered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities as they are shown."""
-    return E.in_order(part_entities(spark, sf_dir, 2)).select("surface", "type")
-
-
 KINDS_OF = "(['person','organization','place','title','term','other'])[p_size % 6 + 1]"
 #: All parts on both sides; the new ones are named by twice their number, so that only some meet.
 ALL_KNOWN = f"kn AS (SELECT 'part ' || p_partkey AS surface, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS gloss, {KINDS_OF} AS type FROM part)"
@@ -153,13 +122,13 @@ def all_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ALL_KNOWN} SELECT surface, type FROM kn")
 def all_ordered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of all parts as they are shown."""
-    return E.in_order(part_entities(spark, sf_dir, 1)).select("surface", "type")
+    return E.in_order(part_entities(spark, sf_dir)).select("surface", "type")
 
 
 @query(f"WITH {ALL_KNOWN}, {ALL_FRESH} SELECT coalesce(kn.surface, fr.surface) AS surface, coalesce(nullif(fr.gloss, ''), kn.gloss) AS gloss, coalesce(kn.type, fr.type) AS type FROM kn FULL JOIN fr ON kn.surface = fr.surface")
 def all_merged_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known entities of all parts with a service's new glosses."""
-    return E.merge_glosses(part_entities(spark, sf_dir, 1), all_fresh(spark, sf_dir))
+    return E.merge_glosses(part_entities(spark, sf_dir), all_fresh(spark, sf_dir))
 
 
 @query(f"WITH gl AS (SELECT 'part ' || p_partkey AS term, p_type AS gloss, p_size % 5 = 0 AS locked, p_size % 7 = 0 AS confirmed FROM part), {ALL_FRESH} SELECT coalesce(gl.term, fr.surface) AS term, CASE WHEN coalesce(locked OR confirmed, false) THEN gl.gloss ELSE coalesce(nullif(fr.gloss, ''), gl.gloss, '') END AS gloss, coalesce(locked, false) AS locked, coalesce(confirmed, false) AS confirmed FROM gl FULL JOIN fr ON gl.term = fr.surface")
@@ -168,3 +137,12 @@ def all_merged_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     g = p.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("term"), F.col("p_type").alias("gloss"), (F.col("p_size") % 5 == 0).alias("locked"), (F.col("p_size") % 7 == 0).alias("confirmed"))
     return E.merge_glossary(g, all_fresh(spark, sf_dir))
+
+
+@query("""WITH g AS (SELECT p_brand AS brand, p_size AS size, p_name AS term, max(p_partkey) AS pos FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY brand, size ORDER BY term) AS k FROM g)
+SELECT brand, size, term, 'part ' || pos AS gloss, pos % 3 <> 0 AS locked, true AS confirmed FROM r WHERE k <= 500""")
+def glossary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary of each brand and size, exported and imported again; imports take the first 500 entries."""
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_name").alias("term")).agg(F.max("p_partkey").alias("pos"))
+    own = g.select("brand", "size", "term", F.concat(F.lit("part "), F.col("pos").cast("string")).alias("gloss"), (F.col("pos") % 3 != 0).alias("locked"), F.lit(False).alias("confirmed"))
+    return E.imported_json(outcomes.glossary_files(own, ["brand", "size"]), ["brand", "size"])

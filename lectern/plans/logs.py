@@ -60,6 +60,16 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(G.error_class(status, message).alias("class")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'password' WHEN event_id % 7 = 1 OR event_id % 5 IN (0, 1) THEN 'damaged' WHEN event_id % 5 IN (2, 3) THEN 'reader' WHEN event_id % 3 = 0 THEN 'pages' ELSE 'unknown' END AS class FROM events) GROUP BY class""")
+def pdf_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of reading PDFs by kind: name first, then what the message holds."""
+    i = F.col("event_id")
+    name = F.when(i % 7 == 0, "PasswordException").when(i % 7 == 1, "InvalidPDFException")
+    by_five = F.when(i % 5 == 0, "Invalid PDF structure").when(i % 5 == 1, "no PDF header").when(i % 5 == 2, "fake Worker").when(i % 5 == 3, "dynamically imported module")
+    message = F.when(i % 11 == 0, "needs a Password").otherwise(F.coalesce(by_five, F.when(i % 3 == 0, "All pages failed")))
+    return table(spark, sf_dir, "events").groupBy(G.pdf_error_class(name, message).alias("class")).agg(F.count("*").alias("n"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id AS client_key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT client_key, event_id, k, CAST(1 AS BIGINT) AS c, us + 864000000000 AS reset_, true AS allowed, us FROM e WHERE k = 1
   UNION ALL SELECT e.client_key, e.event_id, e.k, CASE WHEN f.reset_ <= e.us THEN 1 WHEN f.c < 5 THEN f.c + 1 ELSE f.c END, CASE WHEN f.reset_ <= e.us THEN e.us + 864000000000 ELSE f.reset_ END, f.reset_ <= e.us OR f.c < 5, e.us FROM f JOIN e ON e.client_key = f.client_key AND e.k = f.k + 1)

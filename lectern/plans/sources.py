@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lectern.operators import outcomes
 from lectern.plans.base import query, table
 from lectern.plans.qa import PAIRS, pairs
 from lectern.sources import files as S
+from lectern.sources.shared import shared_folder
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'image' WHEN p_size % 6 = 1 THEN 'pdf' WHEN p_size % 6 = 2 THEN 'docx' WHEN p_size % 6 = 3 THEN 'text' END AS route,
@@ -22,6 +25,17 @@ def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.routed(table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), mime.alias("mime"), size.alias("bytes"))).select("p_partkey", "route", "reject_reason")
 
 
+@query("SELECT p_brand AS brand, regexp_replace(string_agg(p_name, chr(10) ORDER BY p_partkey), '^\\s+|\\s+$', '', 'g') AS text FROM part GROUP BY p_brand")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part names of each brand, written as text files between blank lines and read back as plain text."""
+    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
+    texts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.concat(F.lit("\n　"), F.array_join(rows["p_name"], "\n"), F.lit(" \n")).alias("text"))
+    folder = f"{shared_folder(spark).rstrip('/')}/text-files-{uuid.uuid4().hex}"
+    outcomes.write_texts(texts, folder, "brand")
+    brand = F.regexp_extract(F.url_decode(F.url_decode("path")), "brand=([^/]*)/", 1)
+    return S.plain_text(spark, f"{folder}/brand=*").select(brand.alias("brand"), "text")
+
+
 @query()
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of every web page."""

@@ -151,23 +151,21 @@ def rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rolling_context(talk(spark, sf_dir), "conv_id", ["turn"]).select("conv_id", "turn", "context")
 
 
-@query(r"""WITH RECURSIVE b AS (SELECT source AS doc, doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM documents WHERE length(text) < 4000),
-k AS (SELECT doc, p, row_number() OVER (PARTITION BY doc ORDER BY doc_id) AS k FROM b WHERE p <> ''),
-j AS (SELECT doc, k, p AS buf, 1 AS n FROM k WHERE k = 1 UNION ALL
-  SELECT k.doc, k.k, CASE WHEN length(j.buf) + length(k.p) + 2 <= 12000 THEN j.buf || chr(10) || chr(10) || k.p ELSE k.p END, CASE WHEN length(j.buf) + length(k.p) + 2 <= 12000 THEN j.n ELSE j.n + 1 END FROM j JOIN k ON j.doc = k.doc AND k.k = j.k + 1)
-SELECT doc, CAST(n AS INTEGER) AS page_number, CAST(length(arg_max(buf, k)) AS INTEGER) AS chars FROM j GROUP BY doc, n""")
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short documents of a source, white space folded, packed into sections of at most 12 000 units."""
-    d = documents(spark, sf_dir).where("length(text) < 4000").select(F.col("source").alias("doc"), "doc_id", F.trim(F.regexp_replace("text", r"[\s]+", " ")).alias("p"))
-    # spaces around punctuation and digits are kept here: only the packing is compared
-    blocks = d.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("b"))
-    packed = blocks.select("doc", S.pack(F.filter(F.col("b.p"), lambda s: s != ""), S.SECTION).alias("s"))
-    return packed.select("doc", F.posexplode("s").alias("i", "text")).select("doc", (F.col("i") + 1).alias("page_number"), F.length("text").alias("chars"))
-
-
 @query()
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's paragraphs, cleaned and packed into its sections; without SQL, as cleaning needs look-behind."""
     blocks = S.with_paragraphs(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "t", "b")
     rows = blocks.select("doc_id", F.posexplode(S.sections(F.col("b"))).alias("i", "text"))
     return rows.select("doc_id", (F.col("i") + 1).alias("page_number"), "text", units("text").alias("chars"))
+
+
+#: Cleaning of a line without Chinese text; digits two by two, so that each gap is seen.
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([0-9]) +([0-9])', '\1\2', 'g'), '([0-9]) +([0-9])', '\1\2', 'g'), ' +([，。！？；：、,.!?;:）】》〉」』])', '\1', 'g'), '([（【《〈「『]) +', '\1', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH u AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS u FROM documents), n AS (SELECT doc_id, unnest(u) AS t, unnest(range(1, len(u) + 1)) AS page_number FROM u)
+SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, {CLEAN.format('t')} AS text FROM n WHERE {CLEAN.format('t')} <> ''""")
+def numbered_document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines as its units: numbered, then cleaned, blank ones dropped."""
+    d = documents(spark, sf_dir).select("doc_id", F.split(T.unix_lines("text"), "\n", -1).alias("u"))
+    return S.numbered_units(d, ["doc_id"], "u")
