@@ -74,8 +74,10 @@ def marked(lines: DataFrame, key: str, names: DataFrame, script: str = HAN) -> D
     start = F.greatest(F.lit(1), F.col("at") - by_kind(0))
     part = trim(F.substring(F.col("line"), start, F.col("at") + F.length(word) + by_kind(1) - start))
     bare = F.when(kind == "place", sub(sub(part, rf"\A{EDGES}", ""), rf"{EDGES}\z", "")).when(kind == "title", sub(part, rf"\A(?:(?!{script}).)+", "")).otherwise(part)
-    rows = hits.withColumn("_p", bare).where((F.regexp_count("_p", F.lit(script)) >= F.when(kind == "title", 1).otherwise(2)) & (units("_p") <= by_kind(2)))
-    rows = rows.withColumn("surface", F.when((kind != "title") & F.col("_p").contains(word), _around(F.col("_p"), word, script)).otherwise(F.col("_p")))
+    # explode_outer: filters on a plain column would compute it once for each
+    rows = hits.withColumn("_p", F.explode_outer(F.array(bare))).where((F.regexp_count("_p", F.lit(script)) >= F.when(kind == "title", 1).otherwise(2)) & (units("_p") <= by_kind(2)))
+    around = F.when((kind != "title") & F.col("_p").contains(word), _around(F.col("_p"), word, script)).otherwise(F.col("_p"))
+    rows = rows.withColumn("surface", F.explode_outer(F.array(around)))
     size = units("surface")
     fits = F.when(kind == "title", F.col("_p").rlike(rf"\A{script}+\z")).when(kind == "organization", size.between(2, 18)).otherwise((size >= 3) & ~F.col("surface").isin(*GENERAL))
     rank = F.array_position(F.array(*map(F.lit, WINDOW)), kind).cast("int")
@@ -88,19 +90,19 @@ def extract(docs: DataFrame, key: str, names: DataFrame, text: str = "text", scr
     found = people(lines, key, names, script).unionByName(marked(lines, key, names, script))
     kinds = F.array(*map(F.lit, KINDS))
     first = found.groupBy(key, "surface").agg(F.min(F.struct("line_no", "rank", "n", "pos")).alias("f"))
-    return without_parts(first.select(key, "surface", F.get(kinds, F.col("f.rank")).alias("type")), key)
+    return without_parts(first.select(key, "surface", F.get(kinds, F.col("f.rank")).alias("type")), key, least=2)
 
 
-def without_parts(entities: DataFrame, key: str) -> DataFrame:
-    """Distinct entities that no longer entity of their document and type contains.
+def without_parts(entities: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """Distinct entities (of so many characters at least) that no longer entity of their document and type contains.
 
     Each entity meets its own proper substrings under one key, so no group of a
     document's entities is gathered or compared in pairs; surfaces are short.
     """
     n = F.length("surface")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("surface", i, k))))
-    named = F.transform(F.array_distinct(parts), lambda s: F.struct(s.alias("s"), (s == F.col("surface")).alias("own")))
-    rows = entities.select(key, "type", F.explode_outer(F.when(n > 0, named).otherwise(F.array(F.struct(F.col("surface").alias("s"), F.lit(True).alias("own"))))).alias("x"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring("surface", i, k))))
+    named = F.transform(parts, lambda s: F.struct(s.alias("s"), (s == F.col("surface")).alias("own")))
+    rows = entities.select(key, "type", F.explode_outer(F.when(n >= least, named).otherwise(F.array(F.struct(F.col("surface").alias("s"), F.lit(True).alias("own"))))).alias("x"))
     whole = rows.groupBy(key, "type", F.col("x.s").alias("surface")).agg(F.bool_and("x.own").alias("whole"))
     return whole.where("whole").select(key, "type", "surface")
 
