@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField
 
-from lectern.llm.common import parts
+from lectern.llm.common import map_rows, parts
 
 # Fixed value: how the vocabulary's authors split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -320,7 +320,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     """
     docs = docs.drop("n_tokens", "token_ids", "round_trip")
     model, width = docs.sparkSession.sparkContext.broadcast(Vocabulary(path)), len(docs.columns)
-    schema = StructType([*docs.schema, StructField("n_tokens", LongType()), StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+    more = [StructField("n_tokens", LongType()), StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(model.value, PIPELINE_BYTES)
@@ -331,4 +331,4 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(np.diff(ends)), lists, pa.array(same, pa.bool_())], names=[*part.schema.names, "n_tokens", "token_ids", "round_trip"])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, more)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lectern.sources.shared import shared_folder
 
@@ -59,11 +60,11 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator
             begin = end
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """The name, with underscores added until no column has it."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: Iterable[StructField] = ()) -> DataFrame:
+    """mapInArrow for rows that keep all their columns, whatever these are called, and get more; run sees ``text`` by name."""
+    fields = [StructField(f.name if f.name == "text" else f"_{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema)]
+    rows = df.toDF(*(f.name for f in fields)).mapInArrow(run, StructType([*fields, *more]))
+    return rows.toDF(*df.columns, *(f.name for f in more))
 
 
 def deal(rows: DataFrame, limit: int, key: str) -> DataFrame:

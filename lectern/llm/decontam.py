@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lectern.llm.common import cut, shared_folder, slices
+from lectern.llm.common import cut, map_rows, shared_folder, slices
 
 WINDOW = 10
 #: Characters of benchmark text that one broadcast may hold; larger sets are searched block by block.
@@ -247,4 +247,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Da
         for part, texts in slices(batches, "text"):
             yield part.filter(pa.array([not x for x in model.value.scan(texts)[2]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

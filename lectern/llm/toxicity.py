@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordTable, crc_mod, cut, sigmoid, slices, sums
+from lectern.llm.common import WordTable, crc_mod, cut, map_rows, sigmoid, slices, sums
 from lectern.llm.labelled import sample
 
 #: Labelled rows the field is fitted on, by class, and the longest of them.
@@ -276,6 +276,6 @@ def keep(docs: DataFrame, field: Field) -> DataFrame:
         table = model.value.table()
         for part, texts in slices(batches, "text"):
             _, lengths, p = model.value.tag(texts, table)
-            yield part.filter(pa.array(model.value.scores(p, lengths) < REJECT))
+            yield part.filter(pa.array(model.value.scores(p, lengths) < REJECT, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
