@@ -74,13 +74,13 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets with notes after a heading, as last paragraphs, or none."""
-    p = pairs(spark, sf_dir).where("trim(target) <> ''")
+    p = pairs(spark, sf_dir)
     k, s, t = F.col("segment_id") % 3, F.col("segment_id").cast("string"), F.trim("target")
     text = F.when(k == 0, F.concat(t, F.lit("\n\nFootnotes:\nx\n\nFootnotes \n[1] first "), s, F.lit("\ngoes on\n2. second"))).when(k == 1, F.concat(t, F.lit("\n\nmore\n\n(1) first "), s, F.lit("\n\n* second\n\ngoes on"))).otherwise(F.concat(t, F.lit("\n\n1. only one")))
     return p.select("segment_id", text.alias("text"))
 
 
-NOTED = "nt AS (SELECT segment_id, trim(target) AS t FROM pairs WHERE trim(target) <> '')"
+NOTED = "nt AS (SELECT segment_id, trim(target) AS t FROM pairs)"
 
 
 @query(f"""WITH {PAIRS}, {NOTED}, n AS (SELECT segment_id, 1 AS note_no, CASE segment_id % 3 WHEN 0 THEN '[1]' ELSE '(1)' END AS marker, 'first ' || segment_id || CASE segment_id % 3 WHEN 0 THEN ' goes on' ELSE '' END AS content FROM nt WHERE segment_id % 3 < 2
@@ -90,8 +90,8 @@ def english_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_notes(noted(spark, sf_dir), "segment_id").select("segment_id", F.explode_outer("notes").alias("n")).where("n is not null").select("segment_id", "n.*")
 
 
-@query(f"""WITH {PAIRS}, {NOTED} SELECT segment_id, t || CASE segment_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'Footnotes:' || chr(10) || 'x' || chr(10) || chr(10) || 'Footnotes' || chr(10) || '[1] first ' || segment_id || ' goes on' || chr(10) || '2. second'
-  WHEN 1 THEN chr(10) || chr(10) || 'more' || chr(10) || chr(10) || 'Footnotes' || chr(10) || '(1) first ' || segment_id || chr(10) || '* second goes on' ELSE chr(10) || chr(10) || '1. only one' END AS text FROM nt""")
+@query(f"""WITH {PAIRS}, {NOTED} SELECT segment_id, regexp_replace(t || CASE segment_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'Footnotes:' || chr(10) || 'x' || chr(10) || chr(10) || 'Footnotes' || chr(10) || '[1] first ' || segment_id || ' goes on' || chr(10) || '2. second'
+  WHEN 1 THEN chr(10) || chr(10) || 'more' || chr(10) || chr(10) || 'Footnotes' || chr(10) || '(1) first ' || segment_id || chr(10) || '* second goes on' ELSE chr(10) || chr(10) || '1. only one' END, '^\\n+', '') AS text FROM nt""")
 def normal_note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets with their notes put under one heading."""
     return L.normal_note_text(L.split_notes(noted(spark, sf_dir), "segment_id"), "segment_id")

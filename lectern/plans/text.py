@@ -91,18 +91,19 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.line_kind("text").alias("kind"))
 
 
-PAGED = "pages_ AS (SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_number, text, doc_id FROM documents)"
+PAGED = "blocks_ AS (SELECT source || '-' || (doc_id // 250) AS doc, text, doc_id FROM documents), pages_ AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY doc_id) AS INTEGER) AS page_number, text, doc_id FROM blocks_)"
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the pages of their source."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return documents(spark, sf_dir).select(F.col("source").alias("doc"), n.alias("page_number"), "text", "doc_id")
+    """Documents as pages, each file those of one source among 250 ids, so that no file is large."""
+    doc = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 250).cast("string"))
+    n = F.row_number().over(Window.partitionBy("doc").orderBy("doc_id"))
+    return documents(spark, sf_dir).select(doc.alias("doc"), "text", "doc_id").select("doc", n.alias("page_number"), "text", "doc_id")
 
 
 @query(f"WITH {PAGED}, t AS (SELECT *, max(page_number) OVER (PARTITION BY doc) AS n FROM pages_) SELECT doc, page_number, doc_id FROM t WHERE page_number BETWEEN least(3, n) AND greatest(least(3, n), least(9, n))")
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages 3 to 9 of every source."""
+    """Pages 3 to 9 of every file."""
     return S.in_range(paged(spark, sf_dir), 3, 9, "doc").select("doc", "page_number", "doc_id")
 
 
@@ -110,7 +111,7 @@ def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc, CAST(sum(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS selectable, CAST(sum(CASE WHEN trim(text) = '' AND trim(coalesce(ocr, '')) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS recognised,
   CAST(sum(CASE WHEN trim(text) = '' AND trim(coalesce(ocr, '')) = '' THEN 1 ELSE 0 END) AS BIGINT) AS unavailable FROM x GROUP BY doc""")
 def page_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with text of their own, with recognised text, with neither, by source."""
+    """Pages with text of their own, with recognised text, with neither, by file."""
     p = paged(spark, sf_dir)
     p = p.withColumns({"ocr_text": F.when(F.col("page_number") % 8 == 0, None).otherwise(F.col("text")), "text": F.when(F.col("page_number") % 4 == 0, " ").otherwise(F.col("text"))})
     return S.availability(p, "doc")
