@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.operators import outcomes
 from lectern.plans.base import query, table
 from lectern.plans.qa import PAIRS, pairs
+from lectern.plans.text import CLEAN_LINES
 from lectern.sources import files as S
 from lectern.sources.shared import shared_folder
 
@@ -36,7 +37,11 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.plain_text(spark, f"{folder}/brand=*").select(brand.alias("brand"), "text")
 
 
-@query()
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|svg)[^>]*>.*?</(script|style|svg)>', '', 'g'), '(?s)<!--.*?-->|<![A-Za-z][^>]*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<h1[^>]*>', chr(10) || '# ', 'g'), '<li[^>]*>', chr(10) || '- ', 'g'), '<[bh]r[^>]*>', chr(10) || chr(10), 'g'), '</?(p|nav|div|article|footer|h1|li)(>|\s[^>]*>)', chr(10), 'g'), '<[/A-Za-z][^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(160), ' ') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM c)
+SELECT page_id, {CLEAN_LINES.format('t')} AS text FROM d""")
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of every web page."""
     return S.html_pages(table(spark, sf_dir, "pages"), ["page_id"])

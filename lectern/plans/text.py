@@ -152,18 +152,23 @@ def rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rolling_context(talk(spark, sf_dir), "conv_id", ["turn"]).select("conv_id", "turn", "context")
 
 
-@query()
+#: Cleaning of text without Chinese characters, outer white space aside; digits two by two, so that each gap is seen.
+LOOSE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([0-9]) +([0-9])', '\1\2', 'g'), '([0-9]) +([0-9])', '\1\2', 'g'), ' +([，。！？；：、,.!?;:）】》〉」』])', '\1', 'g'), '([（【《〈「『]) +', '\1', 'g')"
+CLEAN = TRIM.format(LOOSE)
+CLEAN_LINES = TRIM.format("regexp_replace(array_to_string(list_transform(string_split(" + LOOSE + r", chr(10)), lambda x: " + TRIM.format("x") + r"), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(rf"""WITH RECURSIVE {SEGMENTS}, cp AS (SELECT doc_id, pi, {CLEAN_LINES.format('p')} AS p FROM para), k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY pi) AS k FROM cp WHERE p <> ''),
+j AS (SELECT doc_id, k, p AS buf, 1 AS n FROM k WHERE k = 1 UNION ALL
+  SELECT k.doc_id, k.k, CASE WHEN length(j.buf) + length(k.p) + 2 <= 12000 THEN j.buf || chr(10) || chr(10) || k.p ELSE k.p END, CASE WHEN length(j.buf) + length(k.p) + 2 <= 12000 THEN j.n ELSE j.n + 1 END FROM j JOIN k ON j.doc_id = k.doc_id AND k.k = j.k + 1)
+SELECT doc_id, CAST(n AS INTEGER) AS page_number, arg_max(buf, k) AS text, CAST(length(arg_max(buf, k)) AS INTEGER) AS chars FROM j GROUP BY doc_id, n""")
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's paragraphs, cleaned and packed into its sections; without SQL, as cleaning needs look-behind."""
+    """Every document's paragraphs, cleaned and packed into its sections."""
     blocks = S.with_paragraphs(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "t", "b")
     rows = blocks.select("doc_id", F.posexplode(S.sections(F.col("b"))).alias("i", "text"))
     return rows.select("doc_id", (F.col("i") + 1).alias("page_number"), "text", units("text").alias("chars"))
 
 
-#: Cleaning of a line without Chinese text; digits two by two, so that each gap is seen.
-CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([0-9]) +([0-9])', '\1\2', 'g'), '([0-9]) +([0-9])', '\1\2', 'g'), ' +([，。！？；：、,.!?;:）】》〉」』])', '\1', 'g'), '([（【《〈「『]) +', '\1', 'g'), '^\s+|\s+$', '', 'g')"
-
-
 @query(rf"""WITH u AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS u FROM documents), n AS (SELECT doc_id, unnest(u) AS t, unnest(range(1, len(u) + 1)) AS page_number FROM u)
 SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, {CLEAN.format('t')} AS text FROM n WHERE {CLEAN.format('t')} <> ''""")
 def numbered_document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
