@@ -17,16 +17,16 @@ NUMBER = r"[-+]?[0-9]+(?:[,.][0-9]+)*"
 UNITS = "元|圓|圆|人民幣|人民币|美元|港元|新台幣|新台币|RMB|CNY|USD|HKD|TWD"
 S = f"[{SPACE}]"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-#: Each date pattern with the groups of year, month and day.
+#: Each date pattern with the groups of year, month and day; a look at the first letter skips most places quickly.
 DATES = (
     (rf"([0-9]{{4}}){S}*年{S}*([0-9]{{1,2}}){S}*月{S}*([0-9]{{1,2}}){S}*[日號号]?", (1, 2, 3)),
     (rf"{LEFT}([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}}){RIGHT}", (1, 2, 3)),
     (rf"{LEFT}([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}}){RIGHT}", (3, 1, 2)),
-    (rf"(?i){LEFT}({MONTHS})\.?{S}+([0-9]{{1,2}})(?:st|nd|rd|th)?,?{S}+([0-9]{{4}}){RIGHT}", (3, 1, 2)),
+    (rf"(?i)(?=[adfjmnos]){LEFT}({MONTHS})\.?{S}+([0-9]{{1,2}})(?:st|nd|rd|th)?,?{S}+([0-9]{{4}}){RIGHT}", (3, 1, 2)),
     (rf"(?i){LEFT}([0-9]{{1,2}})(?:st|nd|rd|th)?{S}+({MONTHS})\.?{S}+([0-9]{{4}}){RIGHT}", (3, 2, 1)),
 )
 PERCENT = rf"{NUMBER}{S}*%"
-AMOUNT = rf"(?i)(?:[$¥￥€£]{S}*{NUMBER}|{NUMBER}{S}*(?:{UNITS}))"
+AMOUNT = rf"(?i)(?=[-+0-9$¥￥€£])(?:[$¥￥€£]{S}*{NUMBER}|{NUMBER}{S}*(?:{UNITS}))"
 
 
 def _all(x: Column, pattern: str, group: int = 0) -> Column:
