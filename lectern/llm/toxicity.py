@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> Fi
 
     # hashes come first, so that no task gathers texts: of each class those up to the last hash wanted
     hashed = few.withColumn("h", F.xxhash64("text"))
-    order = [(r.label, r.h) for r in hashed.select("label", "h").orderBy("label", "h").collect()]
+    order = sorted((r.label, r.h) for r in hashed.select("label", "h").collect())
     last = {label: [h for own, h in order if own == label][:SEQUENCES][-1] for label in (0, 1)}
     some = hashed.where(F.col("h") <= F.when(F.col("label") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
     rows = sorted(some.select("label", "text").mapInArrow(number, "label int, tokens binary").collect(), key=lambda r: (r.label, bytes(r.tokens)))
