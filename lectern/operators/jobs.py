@@ -90,7 +90,7 @@ def validated(raw: DataFrame, domains: list[str], body: str = "body") -> DataFra
     no = lambda x: ~F.coalesce(x, F.lit(False))
     bad_pair = F.exists(F.map_entries(g), lambda e: is_blank(e["key"]) | (units(e["key"]) > 200) | is_blank(e["value"]) | (units(e["value"]) > 500))
     rules = (
-        (F.col("r").isNull(), "Invalid request body."),
+        (no(F.startswith(F.schema_of_variant(F.try_parse_json(body)), F.lit("OBJECT"))), "Invalid request body."),
         (c.isNull() == i.isNull(), "Provide exactly one text segment or image task."),
         (c.isNotNull() & no(~is_blank(c["id"]) & (units(c["id"]) <= 160)), "Segment id is invalid."),
         (c.isNotNull() & no(whole(c["pageNumber"])), "Segment page is invalid."),
