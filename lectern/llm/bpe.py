@@ -38,9 +38,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 UNEVEN = r" ([\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
 #: Bytes of chunks a worker remembers, twice at most, and as many of words; the same in a pipeline, whose workers
 #: also hold other stages' tables; what an entry takes besides; longer ones are not remembered; pairs of neighbours.
-HELD_BYTES, PIPELINE_BYTES, ENTRY, LONGEST, PAIRS = 120_000_000, 50_000_000, 200, 64, 300_000
-#: Bytes of text encoded at once.
-AT_ONCE = 16_000_000
+HELD_BYTES, PIPELINE_BYTES, ENTRY, LONGEST, PAIRS = 120_000_000, 24_000_000, 200, 64, 300_000
+#: Bytes of text encoded at once, and in a pipeline.
+AT_ONCE, PIPELINE_AT_ONCE = 16_000_000, 4_000_000
 #: A pair's rank and its token in one number; pairs that never merge come after all others.
 MASK, NEVER = (1 << 24) - 1, 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -324,7 +324,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(model.value, PIPELINE_BYTES)
-        for part in parts(batches, "text", AT_ONCE):
+        for part in parts(batches, "text", PIPELINE_AT_ONCE):
             text = part.column("text")
             ids, ends, _ = coder.encode(text)
             same = [a == (b or "") for a, b in zip(coder.decode(ids, ends), text.to_pylist())]

@@ -14,8 +14,8 @@ from pyspark.sql.types import StructField, StructType
 
 from lectern.sources.shared import shared_folder
 
-#: Characters of text that one vectorised step of a task works on.
-SLICE_CHARS = 2_000_000
+#: Bytes of text that one vectorised step of a task works on.
+SLICE_BYTES = 2_000_000
 #: Full cells that are broadcast to the rows; more are joined.
 FEW_CELLS = 100_000
 
@@ -37,16 +37,10 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of Arrow batches that hold about so many characters of whole texts, with the texts."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        begin = held = 0
-        for i, text in enumerate(texts):
-            held += len(text or "")
-            if held >= chars or i + 1 == len(texts):
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, held = i + 1, 0
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of Arrow batches that hold about so many bytes of whole texts, with the texts."""
+    for part in parts(batches, column, size):
+        yield part, part.column(column).to_pylist()
 
 
 def parts(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
