@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontam, embdedup, langid, lm, quality, secret_scan, simhash, sql, tokenbin, toxicity
+from lectern.llm import anntree, bpe, decontam, embdedup, langid, lm, merkle, periodic, quality, secret_scan, simhash, sql, tokenbin, toxicity
 from lectern.llm.common import shared_folder, table
 
 
@@ -60,9 +60,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anntree.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_language_id, op2_simhash, op3_secrets, op4_lm, op5_bpe, op6_decontamination, op7_embeddings, op8_token_files, op9_toxicity, op10_quality, op11_nearest_neighbours,
+    op12_merkle_manifest, op13_periodic_runs,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_secrets, op4_lm, op5_bpe, op6_decontamination, op7_embeddings, op8_token_files, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.DECONTAMINATION, "op7_embeddings": sql.EMBEDDINGS}
+    return {
+        "op6_decontamination": sql.DECONTAMINATION, "op7_embeddings": sql.EMBEDDINGS, "op11_nearest_neighbours": sql.NEIGHBOURS, "op12_merkle_manifest": sql.MANIFEST,
+        "op13_periodic_runs": sql.PERIODIC,
+    }
