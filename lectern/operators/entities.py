@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import HAN, SPACE, col, is_blank, lines_of, sub, trim, units
+from lectern.operators import grams
 
 KINDS = ("person", "organization", "place", "title", "term", "other")
 # What separates tokens, windows around marking words, and places too general to keep.
@@ -94,17 +95,16 @@ def extract(docs: DataFrame, key: str, names: DataFrame, text: str = "text", scr
 
 
 def without_parts(entities: DataFrame, key: str, least: int = 1) -> DataFrame:
-    """Distinct entities (of so many characters at least) that no longer entity of their document and type contains.
+    """Distinct entities that no longer entity of their document and type contains; shorter ones than ``least`` are not looked for.
 
-    Each entity meets its own proper substrings under one key, so no group of a
-    document's entities is gathered or compared in pairs; surfaces are short.
+    Surfaces may be of any length and number: they meet under rare grams.
     """
-    n = F.length("surface")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring("surface", i, k))))
-    named = F.transform(parts, lambda s: F.struct(s.alias("s"), (s == F.col("surface")).alias("own")))
-    rows = entities.select(key, "type", F.explode_outer(F.when(n >= least, named).otherwise(F.array(F.struct(F.col("surface").alias("s"), F.lit(True).alias("own"))))).alias("x"))
-    whole = rows.groupBy(key, "type", F.col("x.s").alias("surface")).agg(F.bool_and("x.own").alias("whole"))
-    return whole.where("whole").select(key, "type", "surface")
+    own = entities.select(key, "type", "surface").distinct()
+    parts = grams.inner(own, [key, "type"], "surface", least)
+    same = F.lit(True)
+    for c in (key, "type", "surface"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return own.alias("a").join(parts.alias("b"), same, "left_anti")
 
 
 def in_order(entities: DataFrame, locale: str = "zh_Hans_CHN") -> DataFrame:
@@ -153,17 +153,24 @@ def locked_map(glossary: DataFrame, order: str = "pos") -> DataFrame:
     return locked(glossary, order).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "gloss")))).alias("locked"))
 
 
-def imported_json(files: DataFrame, keys: list[str], content: str = "content", most: int = 500) -> DataFrame:
+def imported_json(files: DataFrame, keys: list[str], content: str = "content", most: int = 500, largest: int = 1_000_000) -> DataFrame:
     """Glossary entries of each file that holds a JSON array of (chinese, english, locked), the form that is exported.
 
-    The first 500 count, trimmed and cut; they are locked unless they say
-    they are not, and confirmed; the last one of a term wins; what does not parse
-    gives none.
+    The first 500 elements count. Of these, the ones that are objects with a
+    string ``chinese`` that is not blank become entries, texts trimmed and cut: an
+    ``english`` that is no string is empty, and only a ``locked`` that is false
+    unlocks. Entries are confirmed; the last one of a term wins. Files over a
+    million bytes, and what does not parse or is no array, give none.
     """
-    items = F.from_json(content, "array<struct<chinese:string,english:string,locked:boolean>>")
+    fits = F.when(F.octet_length(content) <= largest, F.col(content))
+    # every element by itself: one of another type spoils only itself
+    items = F.try_variant_get(F.try_parse_json(fits), "$", "array<variant>")
     rows = files.select(*keys, F.posexplode(F.slice(items, 1, most)).alias("pos", "i"))
-    cell = lambda name, size: F.left(trim(F.coalesce(f"i.{name}", F.lit(""))), F.lit(size))
-    return _last_of_term(rows.select(*keys, "pos", cell("chinese", 200).alias("term"), cell("english", 500).alias("gloss"), F.coalesce("i.locked", F.lit(True)).alias("locked")), keys)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("i", f"$.{name}", "variant"))
+    word = lambda name, size: F.left(trim(F.when(kind(name) == "STRING", F.try_variant_get("i", f"$.{name}", "string")).otherwise(F.lit(""))), F.lit(size))
+    unlocked = F.coalesce((kind("locked") == "BOOLEAN") & ~F.try_variant_get("i", "$.locked", "boolean"), F.lit(False))
+    found = rows.where(F.startswith(F.schema_of_variant("i"), F.lit("OBJECT"))).select(*keys, "pos", word("chinese", 200).alias("term"), word("english", 500).alias("gloss"), (~unlocked).alias("locked"))
+    return _last_of_term(found, keys)
 
 
 def _last_of_term(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,8 +179,12 @@ def _last_of_term(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def imported(lines: DataFrame, most: int = 500) -> DataFrame:
-    """Glossary entries of CSV lines (pos from 0, line): header off, the first 500, trimmed and cut; locked and confirmed; last one of a term wins."""
+    """Glossary entries of CSV lines (pos from 0, line): the first line, the header, and empty ones off; the first 500 of the rest, trimmed and cut.
+
+    Entries are locked and confirmed; the last one of a term wins. The lines are
+    one file's, which a caller keeps to a million bytes.
+    """
     cells = F.transform(F.split("line", ",", -1), lambda c: sub(trim(c), r"\A\"|\"\z", ""))
-    rows = lines.where((F.col("pos") > 0) & (F.col("pos") <= most)).withColumn("_c", cells)
+    rows = lines.where((F.col("pos") > 0) & (F.regexp_replace("line", r"\r\z", "") != "")).orderBy("pos").limit(most).withColumn("_c", cells)
     cell = lambda i: F.coalesce(F.get("_c", F.lit(i)), F.lit(""))
     return _last_of_term(rows.select("pos", F.left(trim(cell(0)), F.lit(200)).alias("term"), F.left(trim(cell(1)), F.lit(500)).alias("gloss"), F.lit(True).alias("locked")), [])

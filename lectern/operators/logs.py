@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import col, trim
+from lectern.operators import folds
 
 
 def frames(logs: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Event frames of a log: parts between blank lines, their event (``message`` if none) and joined data; other than JSON objects go."""
-    parts = logs.select(*keys, F.posexplode_outer(F.split(F.replace(col(body), F.lit("\r\n"), F.lit("\n")), "\n\n", -1)).alias("seq", "frame"))
+    return parsed_frames(logs.select(*keys, F.posexplode_outer(F.split(F.replace(col(body), F.lit("\r\n"), F.lit("\n")), "\n\n", -1)).alias("seq", "frame")), keys)
+
+
+def parsed_frames(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of (keys, seq, frame), what stands between two blank lines."""
     lines = F.split("frame", "\n", -1)
     of = lambda name: F.transform(F.filter(lines, lambda s: F.startswith(s, F.lit(name))), lambda s: trim(F.substring(s, len(name) + 1, 1 << 30)))
     rows = parts.select(*keys, "seq", F.coalesce(F.try_element_at(of("event:"), F.lit(-1)), F.lit("message")).alias("event"), F.array_join(of("data:"), "").alias("data"))
@@ -22,7 +27,11 @@ def delta_texts(logs: DataFrame, keys: list[str], body: str = "body") -> DataFra
     lines = F.transform(F.split(col(body), "\n", -1), trim)
     data = F.transform(F.filter(lines, lambda s: F.startswith(s, F.lit("data:"))), lambda s: trim(F.substring(s, 6, 1 << 30)))
     done = F.array_position("_d", F.lit("[DONE]"))
-    live = logs.select(*keys, data.alias("_d")).select(*keys, F.posexplode_outer(F.when(done > 0, F.slice("_d", F.lit(1), (done - 1).cast("int"))).otherwise(F.col("_d"))).alias("seq", "line"))
+    return parsed_deltas(logs.select(*keys, data.alias("_d")).select(*keys, F.posexplode_outer(F.when(done > 0, F.slice("_d", F.lit(1), (done - 1).cast("int"))).otherwise(F.col("_d"))).alias("seq", "line")), keys)
+
+
+def parsed_deltas(live: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of (keys, seq, line), the data of the lines that count."""
     v = F.try_parse_json("line")
     many = F.array_join(F.try_variant_get(v, "$.choices[0].delta.content", "array<struct<text:string>>")["text"], "")
     one = F.try_variant_get(v, "$.choices[0].delta.content", "string")
@@ -92,6 +101,16 @@ def quota(access: DataFrame, limit: int, seconds: int, key: str = "client_key")
     return judged.select(key, F.explode_outer("_o").alias("o")).select(key, "o.*")
 
 
+def quota_of_any(access: DataFrame, limit: int, seconds: int, key: str = "client_key") -> DataFrame:
+    """The same for clients whose unbroken runs of events no task can hold: windows are groups whose events lie in reach of the first."""
+    rows = access.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    span = seconds * 1_000_000
+    judged = folds.grouped(rows, [key], ["_us", "event_id"], span - 1, place="_us")
+    ok = F.col("row") - F.col("opened") < limit
+    wait = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("begin") + span - F.col("_us")) / 1_000_000))
+    return judged.select(key, "event_id", ok.alias("allowed"), F.when(ok, F.lit(0).cast("long")).otherwise(wait).alias("retry_after"))
+
+
 MODEL = "id string, name string, architecture struct<input_modalities:array<string>,output_modalities:array<string>>, pricing struct<prompt:string,completion:string>, context_length double"
 
 

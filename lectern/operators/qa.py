@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.facts import with_facts
 from lectern.functions.text import han_count, is_blank, trim, units
+from lectern.operators import grams
 
 # Limits of the warnings and their texts.
 LEAK_COUNT, LEAK_SHARE, LONG, LOW, HIGH = 4, 0.06, 40, 0.25, 6
@@ -26,14 +27,17 @@ def terms_by_broadcast(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     return pairs.select("segment_id", "term", "gloss", F.lower("target").contains(F.lower("gloss")).alias("matched"))
 
 
-def terms_by_grams(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """The same for a glossary of any size: substrings of the terms' lengths meet the terms in an equi-join."""
-    g = glossary.where(~is_blank("term") & ~is_blank("gloss")).select("term", "gloss", F.length("term").alias("n"))
-    lengths = g.select("n").distinct()
-    sized = segments.select("segment_id", "source", "target").join(F.broadcast(lengths), F.length("source") >= F.col("n"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("source") - F.col("n") + 1), lambda i: F.substring(F.col("source"), i, F.col("n"))))
-    found = sized.select("segment_id", "target", F.explode(grams).alias("term")).join(g, "term")
-    return found.select("segment_id", "term", "gloss", F.lower("target").contains(F.lower("gloss")).alias("matched"))
+def terms_by_grams(segments: DataFrame, glossary: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The same for a glossary of any size, each term filed under its rarest gram; ``index`` may be kept (``term_index``)."""
+    g = glossary.where(~is_blank("term") & ~is_blank("gloss")).select("term", "gloss")
+    found = grams.hits(segments.select("segment_id", "source"), "segment_id", "source", term_index(glossary) if index is None else index, "term")
+    judged = found.join(g, "term").join(segments.select("segment_id", "target"), "segment_id")
+    return judged.select("segment_id", "term", "gloss", F.lower("target").contains(F.lower("gloss")).alias("matched"))
+
+
+def term_index(glossary: DataFrame) -> DataFrame:
+    """(term, gram) of the terms that count; to be kept as a table where a glossary is used again and again."""
+    return grams.filed(glossary.where(~is_blank("term") & ~is_blank("gloss")), "term")
 
 
 #: Terms up to which a glossary is broadcast.
@@ -56,16 +60,47 @@ def is_small(glossary: DataFrame) -> bool:
     return glossary.limit(FEW_TERMS + 1).count() <= FEW_TERMS
 
 
-def report(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """The segments with counts, facts, terms and warnings. Texts are trimmed; null texts are empty."""
-    tidy = segments.withColumns({"source": trim(F.coalesce("source", F.lit(""))), "target": trim(F.coalesce("target", F.lit("")))})
+def tidied(segments: DataFrame) -> DataFrame:
+    """Texts trimmed, null ones empty."""
+    return segments.withColumns({"source": trim(F.coalesce("source", F.lit(""))), "target": trim(F.coalesce("target", F.lit("")))})
+
+
+def report(segments: DataFrame, glossary: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The segments with counts, facts, terms and warnings. Texts are trimmed; null texts are empty.
+
+    A small glossary is tested inside the rows; a large one, or one that comes
+    with its index, meets the segments under rare grams.
+    """
+    tidy = tidied(segments)
     checked = with_facts(tidy, "source", "target")
-    if is_small(glossary):
+    if index is None and is_small(glossary):
         return warned(in_rows(checked, glossary))
-    found = terms_by_grams(tidy, glossary).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("term", "gloss", "matched"))).alias("terms"))
+    found = terms_by_grams(tidy, glossary, index).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("term", "gloss", "matched"))).alias("terms"))
     return warned(checked.join(found, "segment_id", "left"))
 
 
+def refreshed(stored: DataFrame, segments: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The report of the segments as they are, from a stored one where it still holds.
+
+    Checked again are new segments, those whose text changed, and those that hold
+    a term of which the glossary changed (found by its rare gram); reports of
+    segments that are gone go. ``before`` is the glossary of the stored report.
+    """
+    full = lambda g: g.where(~is_blank("term") & ~is_blank("gloss")).groupBy("term", "gloss").agg(F.count("*").alias("n"))
+    a, b = full(before), full(after)
+    moved = a.exceptAll(b).union(b.exceptAll(a)).select("term").distinct()
+    now = tidied(segments)
+    same = stored.select("segment_id", F.col("source").alias("_s"), F.col("target").alias("_t"))
+    rest = [c for c in now.columns if c not in ("segment_id", "source", "target")]
+    untouched = now.join(same, "segment_id").where((F.col("source") == F.col("_s")) & (F.col("target") == F.col("_t"))).select("segment_id", "source")
+    touched = grams.hits(untouched, "segment_id", "source", grams.filed(moved, "term"), "term").select("segment_id").distinct()
+    good = untouched.select("segment_id").join(touched, "segment_id", "left_anti")
+    again = report(now.join(good, "segment_id", "left_anti"), after)
+    # what else a segment carries comes from the segments, not from the stored report
+    kept = now.join(good, "segment_id", "left_semi").join(stored.select("segment_id", *(c for c in stored.columns if c not in now.columns)), "segment_id")
+    return again.unionByName(kept.select("segment_id", "source", "target", *rest, *(c for c in stored.columns if c not in now.columns)))
+
+
 def warned(rows: DataFrame) -> DataFrame:
     """Counts and warnings of rows that have trimmed texts, facts and terms."""
     sized = rows.withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPACE, clean_cjk, col, is_blank, lines_of, normal_chunk, paragraphs_of, sub, trim, units
+from lectern.operators import folds
 
 #: Longest segment and longest section, in UTF-16 units.
 SEGMENT, SECTION = 1200, 12_000
@@ -67,6 +68,25 @@ def segment(docs: DataFrame, keys: list[str], text: str = "text", page: str | No
     return rows.select(*keys, (F.col(page) if page else seq).cast("int").alias("page_number"), seq.alias("seq"), name.alias("segment_id"), "source")
 
 
+def packed(parts: DataFrame, keys: list[str], order: list[str], limit: int = SEGMENT, between: str = "\n\n", text: str = "text") -> DataFrame:
+    """(keys, seq, text): the same greedy packing for rows of parts, of documents of any size.
+
+    A document's rows lie in as many partitions as they need; nothing holds more
+    than one piece, which the limit bounds, or one part. Blank parts count as they
+    are; null ones are left out. seq starts at 1.
+    """
+    rows = folds.grouped(parts.where(F.col(text).isNotNull()), keys, order, limit, length=units(text), between=len(between))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("row", F.col(text).alias("t")))), lambda r: r["t"])
+    return rows.groupBy(*keys, "group").agg(F.array_join(own, between).alias(text)).select(*keys, (F.col("group") + 1).cast("int").alias("seq"), text)
+
+
+def segment_rows(paragraphs: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """``segment`` for documents that come as rows of paragraphs, none of which is the whole document."""
+    rows = paragraphs.select(*keys, *order, F.posexplode(split_long(F.col(text))).alias("_k", text))
+    found = packed(rows, keys, [*order, "_k"], text=text)
+    return found.select(*keys, F.col("seq").alias("page_number"), "seq", F.concat(F.lit("text-"), F.col("seq").cast("string")).alias("segment_id"), F.col(text).alias("source"))
+
+
 def sections(blocks: Column, limit: int = SECTION) -> Column:
     """Cleaned blocks packed into sections; long blocks stay whole."""
     return pack(F.filter(F.transform(blocks, clean_cjk), lambda s: s != ""), limit)

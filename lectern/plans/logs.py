@@ -80,6 +80,16 @@ def quota_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.quota(e, 5, 864_000)
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_type AS client_key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT client_key, k, k AS first, us AS begin, us FROM e WHERE k = 1
+  UNION ALL SELECT e.client_key, e.k, CASE WHEN f.begin + 60000000000 <= e.us THEN e.k ELSE f.first END, CASE WHEN f.begin + 60000000000 <= e.us THEN e.us ELSE f.begin END, e.us FROM f JOIN e ON e.client_key = f.client_key AND e.k = f.k + 1)
+SELECT client_key, event_id, f.k - first < 12 AS allowed, CAST(CASE WHEN f.k - first < 12 THEN 0 ELSE greatest(1, ceil((begin + 60000000000 - f.us) / 1000000)) END AS BIGINT) AS retry_after FROM f JOIN e USING (client_key, k)""")
+def quota_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events of each kind, all users' together, a quota of 12 in 60 000 seconds lets through: few clients with very many events each."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("client_key"), "event_id", "ts")
+    return G.quota_of_any(e, 12, 60_000)
+
+
 CATALOG = """cat AS (SELECT lower(replace(p_brand, '#', '/')) || '-' || (p_partkey % 300) || CASE WHEN p_size % 3 = 0 THEN ':free' ELSE '' END AS id, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS name, p_size % 3 = 0 AS free, p_size * 1000 AS context_length,
   CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DOUBLE) * 1000000 END AS prompt_price, p_partkey AS pos FROM part WHERE p_size % 7 <> 0),
 mod AS (SELECT id, CASE WHEN arg_max(name, pos) = '' THEN id ELSE arg_max(name, pos) END AS name, any_value(free) AS free, CAST(arg_max(context_length, pos) AS BIGINT) AS context_length, arg_max(struct_pack(p := prompt_price), pos).p AS prompt_price FROM cat GROUP BY id)"""

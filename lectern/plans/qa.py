@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import facts
 from lectern.operators import qa
 from lectern.plans.base import query, table
+from lectern.sources.shared import kept
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 GLOSSARY = [("订单", "Order"), ("金额", "for USD"), ("元", "USD"), ("", "nothing"), ("日", " ")]
@@ -130,3 +131,26 @@ def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of all pairs by code and severity."""
     return qa.issues(qa.report(pairs(spark, sf_dir), glossary(spark))).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+# the same SQL over what the edits leave
+EDITED = BEFORE.replace("WHEN 1 THEN head", "WHEN 1 THEN good").replace("ELSE good END AS target FROM g)", "ELSE good END AS target FROM g WHERE o_orderkey % 13 <> 0)").replace("('元', 'USD'))", "('元', 'Yuan'), ('日金额', 'USD'))")
+
+
+@query(f"{EDITED} SELECT segment_id, source_chars, target_chars, residual_han, array_to_string(codes, ',') AS codes FROM codes")
+def qa_report_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report after three rounds of edits, each made from the stored report before it: targets, glossary, segments that go and come."""
+    p, g = pairs(spark, sf_dir), glossary(spark)
+    key = F.col("segment_id")
+    first = p.where(key % 7 != 0)
+    stored = kept(qa.report(first, g))
+    # targets that lacked their amount are mended
+    good = F.concat("target", F.lit(" for USD "), F.regexp_extract("source", "日金额(.*)元", 1))
+    mended = lambda rows: rows.withColumn("target", F.when(key % 11 == 1, good).otherwise(F.col("target")))
+    stored = kept(qa.refreshed(stored, mended(first), g, g))
+    # a gloss changes and a term comes
+    terms = spark.createDataFrame([(t, "Yuan" if t == "元" else x) for t, x in GLOSSARY] + [("日金额", "USD")], "term string, gloss string")
+    stored = kept(qa.refreshed(stored, mended(first), g, terms))
+    # segments go, and those left out so far come
+    last = qa.refreshed(stored, mended(p).where(key % 13 != 0), terms, terms)
+    return last.select("segment_id", "source_chars", "target_chars", "residual_han", F.array_join("warnings.code", ",").alias("codes"))

@@ -57,6 +57,13 @@ def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmented(spark, sf_dir)
 
 
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT * FROM segments")
+def segment_documents_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of documents as rows of paragraphs, so that none has to fit into a task."""
+    parts = S.with_paragraphs(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "t", "p").select("doc_id", F.posexplode("p").alias("i", "text"))
+    return S.segment_rows(parts, ["doc_id"], ["i"])
+
+
 @query(rf"""SELECT doc_id, {NORMAL} AS chunk,
   regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS notes,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS page,
@@ -169,6 +176,16 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("i") + 1).alias("page_number"), "text", units("text").alias("chars"))
 
 
+@query(rf"""WITH RECURSIVE {SEGMENTS}, k AS (SELECT source, p, row_number() OVER (PARTITION BY source ORDER BY doc_id, pi) AS k FROM para JOIN documents USING (doc_id)),
+j AS (SELECT source, k, CAST(length(p) AS BIGINT) AS size, 1 AS n FROM k WHERE k = 1 UNION ALL
+  SELECT k.source, k.k, CASE WHEN j.size + length(k.p) + 2 <= 12000 THEN j.size + length(k.p) + 2 ELSE length(k.p) END, CASE WHEN j.size + length(k.p) + 2 <= 12000 THEN j.n ELSE j.n + 1 END FROM j JOIN k ON j.source = k.source AND k.k = j.k + 1)
+SELECT source, CAST(n AS INTEGER) AS seq, string_agg(p, chr(10) || chr(10) ORDER BY k) AS text FROM j JOIN k USING (source, k) GROUP BY source, n""")
+def packed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs of a source, as one document of any size, packed into sections."""
+    parts = S.with_paragraphs(documents(spark, sf_dir).select("source", "doc_id", F.coalesce("text", F.lit("")).alias("t")), "t", "p").select("source", "doc_id", F.posexplode("p").alias("i", "text"))
+    return S.packed(parts, ["source"], ["doc_id", "i"], S.SECTION)
+
+
 @query(rf"""WITH u AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS u FROM documents), n AS (SELECT doc_id, unnest(u) AS t, unnest(range(1, len(u) + 1)) AS page_number FROM u)
 SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, {CLEAN.format('t')} AS text FROM n WHERE {CLEAN.format('t')} <> ''""")
 def numbered_document_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the shared folder: later readings see the same partitions, and lost executors cost no recomputation."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

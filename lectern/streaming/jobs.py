@@ -1,66 +1,22 @@
-"""Continuous forms of the log, quality and memory jobs."""
+"""Continuous forms of the quota, quality and results jobs."""
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.functions.text import trim
-from lectern.operators import memory, qa
-
-#: Seconds after which a request that never ended is given up.
-ABANDONED = 120
-
+from lectern.operators import qa
 
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(batches)
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
-def reassemble(events: DataFrame, seconds: int = ABANDONED) -> DataFrame:
-    """(request_id, status, text, message) as requests end.
-
-    Events are request_id, seq, event, data. Deltas wait in state until ``done``
-    or ``error``; a request silent for so long is given out as ``open``. What
-    comes after a request's end is dropped while its state is kept. Data that
-    does not parse, or is no object, has no text and no message.
-    """
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, ended = state.get if state.exists else ("[]", False)
-        deltas = json.loads(parts)
-        give = lambda status, text, message: pd.DataFrame([[key[0], status, text, message]], columns=["request_id", "status", "text", "message"])
-        if state.hasTimedOut:
-            state.remove()
-            if not ended:
-                yield give("open", "".join(t for _, t in sorted(deltas)), None)
-            return
-        for r in _ordered(batches, ["seq"]).itertuples():
-            if ended:
-                break
-            own = r.text if isinstance(r.text, str) else None
-            if r.event == "delta":
-                deltas.append((int(r.seq), own or ""))
-            elif r.event in ("done", "error"):
-                ended = True
-                text = "".join(t for _, t in sorted(deltas))
-                done = r.event == "done"
-                yield give(r.event, (text if own is None else own) if done else None, r.message if not done and isinstance(r.message, str) else None)
-                deltas = []
-        state.update((json.dumps(deltas), ended))
-        state.setTimeoutDuration(seconds * 1000)
-
-    parsed = events.select("request_id", "seq", "event", F.get_json_object("data", "$.text").alias("text"), F.get_json_object("data", "$.message").alias("message"))
-    return parsed.groupBy("request_id").applyInPandasWithState(
-        run, "request_id long, status string, text string, message string", "deltas string, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def quota(access: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
     """(client_key, event_id, allowed, retry_after) of every event, in windows that a client's events open.
 
@@ -93,83 +49,18 @@ def quota(access: DataFrame, limit: int, seconds: int, late: str = "10 minutes")
 
 
 def quality(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """The warnings of each finished segment as it comes; the glossary is a table of bounded size, read once per batch."""
+    """The warnings of each finished segment as it comes, by a glossary that one broadcast row can hold; ``quality_writer`` takes any."""
     if not qa.is_small(terms):
-        raise ValueError(f"a stream's glossary has {qa.FEW_TERMS} terms at most; check with larger ones in batches")
-    tidy = segments.withColumns({"source": trim(F.coalesce("source", F.lit(""))), "target": trim(F.coalesce("target", F.lit("")))})
-    return qa.warned(qa.in_rows(qa.with_facts(tidy, "source", "target"), terms))
+        raise ValueError(f"over {qa.FEW_TERMS} terms: use quality_writer")
+    return qa.warned(qa.in_rows(qa.with_facts(qa.tidied(segments), "source", "target"), terms))
+
+
+def quality_writer(terms: DataFrame, index: DataFrame, give: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that gives on the report of each batch's segments; the glossary, of any size, is joined by its kept index (``qa.term_index``)."""
+    return lambda batch, batch_id: give(qa.report(batch, terms, index), batch_id)
 
 
 def current(results: DataFrame, jobs: DataFrame) -> DataFrame:
     """Results of the latest job of each document; late ones of older jobs are dropped."""
     latest = jobs.groupBy("doc_id").agg(F.max_by(F.struct("job_id", "revision"), F.struct("created_at", "job_id")).alias("j")).select("doc_id", "j.*")
     return results.join(latest, ["doc_id", "job_id", "revision"], "left_semi")
-
-
-#: Parts of a kept table by the hash of its keys, and versions of a part that are kept at least.
-BUCKETS, KEPT = 64, 3
-
-
-def into_table(path: str, keys: list[Column | str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that keeps a parquet table as versions named by batch.
-
-    A version holds only the parts (by the keys' hash) that its batch touches: the
-    batch reads these from the versions before it and writes them anew, so its
-    cost follows the batch, and a batch that is run again writes the same again.
-    Readers take each part's newest complete version; older ones go in time.
-    """
-    part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        touched = [r[0] for r in batch.select(part).distinct().collect()]
-        if touched:
-            before = newest(batch, path, batch_id, touched)
-            merged = merge(before, batch).withColumn("part", part)
-            merged.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
-            _forget(batch.sparkSession, path)
-
-    return write
-
-
-def _store(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, path: str) -> dict[int, dict[int, str]]:
-    """Folders of the parts of each complete version."""
-    store, at = _store(spark, path), spark._jvm.org.apache.hadoop.fs.Path
-    number = lambda p: int(p.getName().rpartition("=")[2])
-    if not store.exists(at(path)):
-        return {}
-    whole = [s.getPath() for s in store.listStatus(at(path)) if store.exists(at(s.getPath(), "_SUCCESS"))]
-    return {number(v): {number(s.getPath()): s.getPath().toString() for s in store.listStatus(v) if s.isDirectory()} for v in whole}
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Remove parts that a version before the last few has already replaced."""
-    store, at, versions = _store(spark, path), spark._jvm.org.apache.hadoop.fs.Path, _versions(spark, path)
-    settled, seen = sorted(versions)[: 1 - KEPT] if len(versions) >= KEPT else [], set()
-    for v in reversed(settled):
-        for part, folder in versions[v].items():
-            if part in seen:
-                store.delete(at(folder), True)
-        seen.update(versions[v])
-
-
-def newest(any_frame: DataFrame, path: str, below: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
-    """The newest complete state (before a batch, and of some parts) of a table written by into_table, or None."""
-    spark, found = any_frame.sparkSession, {}
-    for v, folders in sorted(_versions(spark, path).items()):
-        if below is None or v < below:
-            found |= {part: folder for part, folder in folders.items() if parts is None or part in parts}
-    return spark.read.parquet(*sorted(found.values())) if found else None
-
-
-def memory_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Keeps translation memory: of each key the last non-blank result."""
-    return into_table(path, [memory.memory_source("source"), "domain", "signature"], lambda before, batch: memory.upsert(batch.limit(0) if before is None else before, batch))
-
-
-def history_writer(path: str, by: list[str], keep: int = memory.KEEP) -> Callable[[DataFrame, int], None]:
-    """Keeps history: of each id the newest entry, and the newest so many."""
-    return into_table(path, by, lambda before, batch: memory.newest(batch if before is None else before.unionByName(batch), by, keep))

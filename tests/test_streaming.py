@@ -22,15 +22,6 @@ def rows(df, columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-def test_reassembly(spark, sf, tmp_path):
-    events = plan.stream_events(spark, sf).select("request_id", "seq", "event", "data").limit(500)
-    # a request's events arrive in order
-    got = run(spark, events.orderBy("seq"), tmp_path, "reassembled", jobs.reassemble, files=1, wait=40)
-    want = logs.reassembled(events).where("status <> 'open'")
-    columns = ["request_id", "status", "text", "message"]
-    assert rows(got.where("status <> 'open'"), columns) == rows(want, columns)
-
-
 def test_quota(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("client_key"), "event_id", "ts")
     got = run(spark, e, tmp_path, "quota", lambda s: jobs.quota(s, 5, 864_000, late="400 days"), files=2)
@@ -38,14 +29,6 @@ def test_quota(spark, sf, tmp_path):
     assert rows(got, columns) == rows(logs.quota(e, 5, 864_000), columns)
 
 
-def test_malformed_frames_are_skipped(spark, tmp_path):
-    rows_ = [(1, 0, "delta", '{"text":"a"}'), (1, 1, "delta", "{no json"), (1, 2, "delta", '["list"]'), (1, 3, "delta", None), (1, 4, "delta", '{"text":"b"}'), (1, 5, "done", "{"), (2, 0, "error", '"x"'), (3, 0, "done", '{"text":"whole"}')]
-    events = spark.createDataFrame(rows_, "request_id long, seq long, event string, data string")
-    got = run(spark, events, tmp_path, "malformed", jobs.reassemble, files=1, wait=40)
-    columns = ["request_id", "status", "text", "message"]
-    assert rows(got, columns) == rows(logs.reassembled(events), columns) == [(1, "done", "ab", None), (2, "error", None, None), (3, "done", "whole", None)]
-
-
 def test_clients_expire(spark, tmp_path):
     """A client's state goes when the watermark passes its window."""
     e = spark.sql("SELECT id AS client_key, id AS event_id, timestamp_seconds(id * 100000) AS ts FROM range(1, 7)")
@@ -75,30 +58,3 @@ def test_current(spark, tmp_path):
     results = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 2, 1)], "doc_id int, job_id int, revision int")
     active = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 1, 6)], "doc_id int, job_id int, revision int, created_at int")
     assert rows(run(spark, results, tmp_path, "current", lambda s: jobs.current(s, active), files=1), ["job_id", "revision"]) == [(2, 1)]
-
-
-def test_memory_and_history(spark, tmp_path):
-    one = spark.sql("SELECT 'a' AS source, 'd' AS domain, '' AS signature, 'x' AS target, timestamp_seconds(1) AS updated_at")
-    two = spark.sql("SELECT ' a ' AS source, 'd' AS domain, '' AS signature, 'y' AS target, timestamp_seconds(2) AS updated_at UNION ALL SELECT 'b', 'd', '', ' ', timestamp_seconds(3) UNION ALL SELECT 'c', 'd', '', 'z', timestamp_seconds(3)")
-    path = f"file://{tmp_path}/memory"
-    write = jobs.memory_writer(path)
-    write(one, 0)
-    write(two, 1)
-    write(two, 1)  # a batch that is run again
-    got = jobs.newest(one, path)
-    assert rows(got, ["source", "target"]) == [("a", "y"), ("c", "z")]
-    # a batch leaves the parts it does not touch as they are, and old versions of parts go
-    parts = jobs._versions(spark, path)
-    assert len(parts[1]) == 2 and len(parts[0]) == 1
-    for k in range(2, 8):
-        write(one, k)
-    after = jobs._versions(spark, path)
-    untouched = next(p for p in parts[1] if p not in parts[0])
-    assert after[1] == {untouched: parts[1][untouched]} and sum(map(len, after.values())) == 1 + jobs.KEPT
-    assert rows(jobs.newest(one, path), ["source", "target"]) == [("a", "y"), ("c", "z")]
-    h = lambda k: spark.sql(f"SELECT 'u' AS user, concat('i', id) AS id, timestamp_seconds(id + {k}) AS saved_at FROM range(30)")
-    path = f"file://{tmp_path}/history"
-    write = jobs.history_writer(path, ["user"])
-    write(h(0), 0)
-    write(h(100), 1)
-    assert jobs.newest(one, path).count() == 25
