@@ -6,9 +6,9 @@ distinct runs of five bytes, which grows with the corpus. Their stretched
 probabilities are combined by weights that two gates choose (the bits of the
 byte so far, and how far back the context is known), and the mix is refined by a
 table of what really followed such predictions. Weights and refinements are
-learned online over a fixed number of parts of the table, each run predicted
-from all occurrences but its own, and averaged; so they do not depend on how the
-input is partitioned. With the model fixed, a byte's cost depends only on itself
+learned online over parts of the table of training runs, whose number follows its
+size, each run predicted from all occurrences but its own, and averaged; so they
+depend neither on held-out texts nor on how the input is partitioned. With the model fixed, a byte's cost depends only on itself
 and the four bytes before it: costs of frequent runs are looked up in place, all
 others are joined.
 
@@ -41,8 +41,9 @@ DEPTH = max(ORDERS)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INPUTS = len(ORDERS) + 1
 LEVELS, STEPS = 3 * (len(ORDERS) + 1), 25
-#: Parts of the table of runs that learn apart, runs a part holds at once, passes over them, runs per weight update.
-PARTS, HELD, PASSES, UPDATE = 32, 100_000, 8, 1024
+#: Parts of the table of runs that learn apart (at least, and runs of training texts in one beyond that), runs a part
+#: learns from at once, passes over them, runs per weight update.
+PARTS, PART_RUNS, HELD, PASSES, UPDATE = 32, 4_000_000, 100_000, 8, 1024
 #: Binary log of a worker's table of costs, frequent runs and frequent words that are looked up in place.
 TABLE_BITS, FREQUENT_RUNS, FREQUENT = 21, 1 << 20, 120_000
 FLUSH = 400_000
@@ -219,22 +220,38 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted runs with n and m, so many at once, runs with the same two bytes before never apart."""
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in "knm"))
-        size += len(held[-1][0])
-        if size >= HELD:
-            k, n, m = map(np.concatenate, zip(*held))
-            end = np.searchsorted(k >> 24, k[-1] >> 24)
-            if end:
-                yield k[:end].astype(np.uint64), n[:end].astype(np.float64), m[:end]
-            held, size = [(k[end:], n[end:], m[end:])], len(k) - end
-    if size:
-        k, n, m = map(np.concatenate, zip(*held))
-        yield k.astype(np.uint64), n.astype(np.float64), m
+def groups(batches: Iterator[pa.RecordBatch], learned: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted runs with n and m: as few whole sets of runs with the same two bytes before as make HELD runs.
+
+    Where one group ends depends on the runs alone, not on how batches are cut.
+    With ``learned``, only runs of training texts count; others are not seen.
+    """
+    held = tuple(np.empty(0, np.int64) for _ in "knm")
+    for batch in _ended(batches):
+        if batch is not None:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in "knm"]
+            if learned:
+                new = [x[new[1] > 0] for x in new]
+            held = tuple(map(np.concatenate, zip(held, new)))
+        k = held[0]
+        if batch is not None and len(k) < HELD:
+            continue
+        edges = np.concatenate([np.flatnonzero((k[1:] >> 24) != (k[:-1] >> 24)) + 1, [len(k)]]) if len(k) else np.empty(0, np.int64)
+        if batch is not None:  # the last set may go on
+            edges = edges[:-1]
+        at = 0
+        while at < len(k) and (i := int(np.searchsorted(edges, at + HELD))) < len(edges):
+            end = int(edges[i])
+            yield k[at:end].astype(np.uint64), held[1][at:end].astype(np.float64), held[2][at:end]
+            at = end
+        if batch is None and at < len(k):
+            yield k[at:].astype(np.uint64), held[1][at:].astype(np.float64), held[2][at:]
+        held = tuple(x[at:] for x in held)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def priced(counts: DataFrame) -> DataFrame:
@@ -242,20 +259,23 @@ def priced(counts: DataFrame) -> DataFrame:
     byte = F.col("k").bitwiseAND(255)
     rows = counts.where("n > 0").groupBy(F.shiftright("k", 32).alias("c"), byte.alias("b")).agg(F.sum("n").alias("n")).select((F.col("c") * 256 + F.col("b")).alias("k"), "n").orderBy("k").collect()
     first = np.array([r.k for r in rows], np.uint64), np.array([r.n for r in rows], np.float64)
-    parts = counts.repartition(PARTS, F.shiftright("k", 24)).sortWithinPartitions("k")
+    learned = counts.where("n > 0")
+    parts = max(PARTS, -(-learned.count() // PART_RUNS))
+    dealt = lambda rows: rows.repartition(parts, F.shiftright("k", 24)).sortWithinPartitions("k")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer()
-        for k, n, _ in groups(batches):
-            if (n > 0).any():
-                own.fit(k[n > 0], n[n > 0], Counts(k, n, first))
+        for k, n, _ in groups(batches, learned=True):
+            counted = Counts(k, n, first)
+            for at in range(0, len(k), 2 * HELD):  # a large set is learned from in pieces
+                own.fit(k[at : at + 2 * HELD], n[at : at + 2 * HELD], counted)
         if own.bytes:
             weights = np.concatenate([own.by_node.ravel(), own.by_level.ravel()]).astype(np.float64) * own.bytes
             data = np.concatenate([weights, own.seen.ravel(), own.was_one.ravel(), [own.bytes]])
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
     mixer = Mixer()
-    if fitted := sorted(parts.mapInArrow(fit, "part int, data binary").collect()):
+    if fitted := sorted(dealt(learned).mapInArrow(fit, "part int, data binary").collect()):
         got = np.sum([np.frombuffer(r.data, np.float64) for r in fitted], axis=0)
         mixer.bytes = int(got[-1])
         mixer.by_node = (got[: 256 * INPUTS] / got[-1]).reshape(256, INPUTS).astype(np.float32)
@@ -266,7 +286,7 @@ def priced(counts: DataFrame) -> DataFrame:
         for k, n, m in groups(batches):
             yield _table(k=k, m=m, cost=np.rint(mixer.cost(k, Counts(k, n, first)) / UNIT))
 
-    return parts.mapInArrow(price, "k long, m long, cost long")
+    return dealt(counts).mapInArrow(price, "k long, m long, cost long")
 
 
 def frequent_runs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
