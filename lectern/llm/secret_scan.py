@@ -3,7 +3,7 @@
 The patterns find credentials with tell-tale forms. Their values, labelled by
 kind, train one probabilistic automaton per kind: a prefix tree whose states are
 merged while their frequencies are statistically compatible. A last automaton is
-learned from ordinary tokens of the same alphabet. Every other token that is as
+learned from ordinary tokens of the same alphabet. Every other token that is at least as
 long as the shortest learned credential, or has 16 characters, is a candidate
 and is scored by how much likelier a kind's automaton makes it than the ordinary
 one; likely ones become spans of kind ``format``.
@@ -19,10 +19,12 @@ import hashlib
 import heapq
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,8 +210,8 @@ class Grammars:
             scores = sorted(self.kinds[kind].log_likelihood(s) for s in held)
             sizes = sorted(map(len, held))
             low = len(held) // 50
-            self.limits[kind] = scores[low], sizes[low], sizes[-1 - low]
-        self.least = max(1, min([CANDIDATE, *(shortest for _, shortest, _ in self.limits.values())]))
+            self.limits[kind] = scores[low], sizes[low]
+        self.least = max(1, min([CANDIDATE, *(shortest for _, shortest in self.limits.values())]))
         self.long = tokens(self.least)
         self.known: dict[str, bool] = {}
 
@@ -220,8 +222,8 @@ class Grammars:
                 self.known.clear()
             found = False
             for kind, automaton in self.kinds.items():
-                least, shortest, longest = self.limits[kind]
-                if shortest <= len(token) <= longest and (score := automaton.log_likelihood(token)) >= least:
+                least, _ = self.limits[kind]
+                if (score := automaton.log_likelihood(token)) >= least:
                     found |= self.ordinary is None or score - self.ordinary.log_likelihood(token) >= LEAST_GAIN
             self.known[token] = found
         return self.known[token]
@@ -235,48 +237,54 @@ class Grammars:
         return base, sorted(base + more) if more else base
 
 
-def labelled_values(docs: DataFrame, least: int = CANDIDATE) -> DataFrame:
-    """Distinct (kind, value) of the fixed patterns, and ordinary candidates as kind ``ordinary``, from all texts."""
-    long = tokens(least)
+def fewest(found: dict[tuple[str, int], set[str]]) -> dict[tuple[str, int], set[str]]:
+    """Of each kind and length class the values with the smallest hashes."""
+    return {k: v if len(v) <= VALUES else set(heapq.nsmallest(VALUES, v, key=_rank)) for k, v in found.items()}
+
+
+def _rank(value: str) -> tuple[int, str]:
+    h = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), 42)
+    return h - (1 << 64 if h >> 63 else 0), value
+
+
+def labelled_values(docs: DataFrame) -> DataFrame:
+    """(kind, size, value): values of the fixed patterns, and other tokens as kind ``ordinary``, from all texts in one scan.
+
+    ``size`` is a token's length, up to CANDIDATE, and 0 for a pattern's value. A task gives out, of each kind and
+    size, only the VALUES distinct values with the smallest hashes; the smallest of all are among them.
+    """
+    some = tokens(LEAST_ASSIGN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[str, str]] = set()
+        found: dict[tuple[str, int], set[str]] = defaultdict(set)
         for _, texts in slices(batches, "text"):
             for text in texts:
                 base = base_spans(text or "")
                 for start, kind, end in base:
                     value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
-                    found.add((KINDS[kind], value))
-                found.update(("ordinary", text[s:e]) for s, e in candidates(text or "", base, long))
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found.clear()
-        yield _pairs(found)
+                    if len(value) <= VALUE_CHARS:
+                        found[KINDS[kind], 0].add(value)
+                for s, e in candidates(text or "", base, some):
+                    if e - s <= VALUE_CHARS:
+                        found["ordinary", min(e - s, CANDIDATE)].add(text[s:e])
+            if sum(map(len, found.values())) > 200_000:
+                found = defaultdict(set, fewest(found))
+        rows = sorted((*k, value) for k, values in fewest(found).items() for value in values)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int32()), "value": pa.array([r[2] for r in rows], pa.string())})
 
-    rows = docs.select("text").where("text is not null").mapInArrow(run, "kind string, value string")
-    return rows.where(F.length("value") <= VALUE_CHARS)
-
-
-def _pairs(found: set[tuple[str, str]]) -> pa.RecordBatch:
-    rows = sorted(found)
-    return pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in rows], pa.string()), "value": pa.array([v for _, v in rows], pa.string())})
-
-
-def _few(rows: DataFrame, kinds: tuple[str, ...]) -> dict[str, list[str]]:
-    """A bounded number of distinct values of each kind, in the order of their hash."""
-    rows = cut(rows.dropDuplicates(["kind", "value"]).select("kind", "value", F.xxhash64("value").alias("h")))
-    found = {kind: [r.value for r in rows.where(F.col("kind") == kind).orderBy("h", "value").limit(VALUES).select("value").collect()] for kind in kinds}
-    return {kind: values for kind, values in found.items() if values}
+    return docs.select("text").where("text is not null").mapInArrow(run, "kind string, size int, value string")
 
 
 def fit(docs: DataFrame) -> Grammars:
     """Automata of the labelled values, and of ordinary tokens of the lengths that candidates will have."""
-    values = _few(labelled_values(docs), ("assign", "access", "hex", "ordinary"))
-    grammars = Grammars(values)
-    if grammars.least < CANDIDATE:
-        ordinary = labelled_values(docs, grammars.least).where("kind = 'ordinary'")
-        grammars = Grammars({k: v for k, v in values.items() if k != "ordinary"} | _few(ordinary, ("ordinary",)))
-    return grammars
+    rows = cut(labelled_values(docs).dropDuplicates().withColumn("h", F.xxhash64("value")))
+
+    def few(kind: str, least: int = 0) -> list[str]:
+        return [r.value for r in rows.where((F.col("kind") == kind) & (F.col("size") >= least)).orderBy("h", "value").limit(VALUES).select("value").collect()]
+
+    values = {kind: found for kind in ("assign", "access", "hex") if (found := few(kind))}
+    ordinary = few("ordinary", Grammars(values).least)
+    return Grammars(values | {"ordinary": ordinary} if ordinary else values)
 
 
 def _digest(spans: list) -> str:
