@@ -220,8 +220,8 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64)) for c, v in columns.items()})
 
 
-def groups(batches: Iterator[pa.RecordBatch], learned: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted runs with n and m: as few whole sets of runs with the same two bytes before as make HELD runs.
+def groups(batches: Iterator[pa.RecordBatch], least: int, learned: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted runs with n and m: as few whole sets of runs with the same two bytes before as make so many runs.
 
     Where one group ends depends on the runs alone, not on how batches are cut.
     With ``learned``, only runs of training texts count; others are not seen.
@@ -234,13 +234,13 @@ def groups(batches: Iterator[pa.RecordBatch], learned: bool = False) -> Iterator
                 new = [x[new[1] > 0] for x in new]
             held = tuple(map(np.concatenate, zip(held, new)))
         k = held[0]
-        if batch is not None and len(k) < HELD:
+        if batch is not None and len(k) < least:
             continue
         edges = np.concatenate([np.flatnonzero((k[1:] >> 24) != (k[:-1] >> 24)) + 1, [len(k)]]) if len(k) else np.empty(0, np.int64)
         if batch is not None:  # the last set may go on
             edges = edges[:-1]
         at = 0
-        while at < len(k) and (i := int(np.searchsorted(edges, at + HELD))) < len(edges):
+        while at < len(k) and (i := int(np.searchsorted(edges, at + least))) < len(edges):
             end = int(edges[i])
             yield k[at:end].astype(np.uint64), held[1][at:end].astype(np.float64), held[2][at:end]
             at = end
@@ -260,15 +260,15 @@ def priced(counts: DataFrame) -> DataFrame:
     rows = counts.where("n > 0").groupBy(F.shiftright("k", 32).alias("c"), byte.alias("b")).agg(F.sum("n").alias("n")).select((F.col("c") * 256 + F.col("b")).alias("k"), "n").orderBy("k").collect()
     first = np.array([r.k for r in rows], np.uint64), np.array([r.n for r in rows], np.float64)
     learned = counts.where("n > 0")
-    parts = max(PARTS, -(-learned.count() // PART_RUNS))
+    parts, held = max(PARTS, -(-learned.count() // PART_RUNS)), HELD
     dealt = lambda rows: rows.repartition(parts, F.shiftright("k", 24)).sortWithinPartitions("k")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer()
-        for k, n, _ in groups(batches, learned=True):
+        for k, n, _ in groups(batches, held, learned=True):
             counted = Counts(k, n, first)
-            for at in range(0, len(k), 2 * HELD):  # a large set is learned from in pieces
-                own.fit(k[at : at + 2 * HELD], n[at : at + 2 * HELD], counted)
+            for at in range(0, len(k), 2 * held):  # a large set is learned from in pieces
+                own.fit(k[at : at + 2 * held], n[at : at + 2 * held], counted)
         if own.bytes:
             weights = np.concatenate([own.by_node.ravel(), own.by_level.ravel()]).astype(np.float64) * own.bytes
             data = np.concatenate([weights, own.seen.ravel(), own.was_one.ravel(), [own.bytes]])
@@ -283,7 +283,7 @@ def priced(counts: DataFrame) -> DataFrame:
         mixer.seen, mixer.was_one = got[WEIGHTS:PARAMETERS].reshape(2, 256, STEPS)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, n, m in groups(batches):
+        for k, n, m in groups(batches, held):
             yield _table(k=k, m=m, cost=np.rint(mixer.cost(k, Counts(k, n, first)) / UNIT))
 
     return dealt(counts).mapInArrow(price, "k long, m long, cost long")
