@@ -237,9 +237,9 @@ class Grammars:
         return base, sorted(base + more) if more else base
 
 
-def fewest(found: dict[tuple[str, int], set[str]]) -> dict[tuple[str, int], set[str]]:
+def fewest(found: dict[tuple[str, int], set[str]], most: int) -> dict[tuple[str, int], set[str]]:
     """Of each kind and length class the values with the smallest hashes."""
-    return {k: v if len(v) <= VALUES else set(heapq.nsmallest(VALUES, v, key=_rank)) for k, v in found.items()}
+    return {k: v if len(v) <= most else set(heapq.nsmallest(most, v, key=_rank)) for k, v in found.items()}
 
 
 def _rank(value: str) -> tuple[int, str]:
@@ -253,7 +253,7 @@ def labelled_values(docs: DataFrame) -> DataFrame:
     ``size`` is a token's length, up to CANDIDATE, and 0 for a pattern's value. A task gives out, of each kind and
     size, only the VALUES distinct values with the smallest hashes; the smallest of all are among them.
     """
-    some = tokens(LEAST_ASSIGN)
+    some, most = tokens(LEAST_ASSIGN), VALUES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], set[str]] = defaultdict(set)
@@ -268,8 +268,8 @@ def labelled_values(docs: DataFrame) -> DataFrame:
                     if e - s <= VALUE_CHARS:
                         found["ordinary", min(e - s, CANDIDATE)].add(text[s:e])
             if sum(map(len, found.values())) > 200_000:
-                found = defaultdict(set, fewest(found))
-        rows = sorted((*k, value) for k, values in fewest(found).items() for value in values)
+                found = defaultdict(set, fewest(found, most))
+        rows = sorted((*k, value) for k, values in fewest(found, most).items() for value in values)
         yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int32()), "value": pa.array([r[2] for r in rows], pa.string())})
 
     return docs.select("text").where("text is not null").mapInArrow(run, "kind string, size int, value string")

@@ -1,6 +1,7 @@
 """What is held out does not reach what is learned; credentials of other lengths than the learned ones are scored."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,17 +34,14 @@ def test_language_model(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_groups_of_runs_end_at_fixed_places(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(lm, "HELD", 50)
+def test_groups_of_runs_end_at_fixed_places():
     rng = np.random.default_rng(2)
     k = np.unique(rng.integers(0, 1 << 30, 2000))
     n, m = rng.integers(0, 3, len(k)), np.ones(len(k), np.int64)
 
     def cut(size, learned, k, n, m):
         batches = [pa.RecordBatch.from_pydict({"k": k[i : i + size], "n": n[i : i + size], "m": m[i : i + size]}) for i in range(0, len(k), size)]
-        return [(a.tolist(), b.tolist()) for a, b, _ in lm.groups(iter(batches), learned)]
+        return [(a.tolist(), b.tolist()) for a, b, _ in lm.groups(iter(batches), 50, learned)]
 
     want = cut(10_000, True, k, n, m)
     assert sum((a for a, _ in want), []) == k[n > 0].tolist() and len(want) > 5
