@@ -60,6 +60,16 @@ def history_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "source_characters", "unit_count", "unit_label", short_hash("lang").alias("lang_hash"))
 
 
+@query(f"""WITH RECURSIVE {SEGMENTS}, label AS (
+  SELECT doc_id, 'document ' || doc_id || '|' || string_agg(segment_id || ':' || length(source), '|' ORDER BY seq) AS s FROM segments GROUP BY doc_id
+), fnv AS (SELECT doc_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: CAST((CAST(xor(h, c) AS HUGEINT) * 16777619) % 4294967296 AS BIGINT)) AS h FROM label)
+SELECT doc_id, 'document ' || doc_id AS source_label, ltrim(array_to_string(list_transform(range(6, -1, -1), lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(36 ** k AS BIGINT)) % 36 AS BIGINT) + 1, 1)), ''), '0') AS id FROM fnv""")
+def history_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of every document's history entry: a hash of its label and of its segments' ids and lengths."""
+    e = M.history_entries(segmented(spark, sf_dir), ["doc_id"], F.concat(F.lit("document "), F.col("doc_id").cast("string")))
+    return e.select("doc_id", "source_label", "id")
+
+
 @query("""WITH h AS (SELECT user_id, event_type || '-' || (event_id % 40) AS id, ts AS saved_at, event_id FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY saved_at DESC) AS a FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY saved_at DESC, id DESC) AS b FROM o WHERE a = 1),
 m AS (SELECT user_id, id, saved_at, CAST(floor((epoch_ms(TIMESTAMP '2025-01-01 00:00:00') - epoch_ms(saved_at)) / 60000) AS BIGINT) AS mi FROM k WHERE b <= 25)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import facts
 from lectern.operators import qa
 from lectern.plans.base import query, table
-from lectern.sources.shared import kept
+from lectern.sources.shared import kept, shared_folder
+from lectern.streaming import jobs
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 GLOSSARY = [("订单", "Order"), ("金额", "for USD"), ("元", "USD"), ("", "nothing"), ("日", " ")]
@@ -154,3 +157,17 @@ def qa_report_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # segments go, and those left out so far come
     last = qa.refreshed(stored, mended(p).where(key % 13 != 0), terms, terms)
     return last.select("segment_id", "source_chars", "target_chars", "residual_han", F.array_join("warnings.code", ",").alias("codes"))
+
+
+@query(f"{BEFORE} SELECT segment_id, source_chars, target_chars, residual_han, array_to_string(codes, ',') AS codes FROM codes")
+def qa_report_of_a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of pairs that come as a stream, each batch joined with the glossary's kept index."""
+    folder = f"{shared_folder(spark).rstrip('/')}/quality-stream-{uuid.uuid4().hex}"
+    p, g = pairs(spark, sf_dir), glossary(spark)
+    p.repartition(4, "segment_id").write.parquet(f"{folder}/in")
+    qa.term_index(g).write.parquet(f"{folder}/index")
+    give = lambda report, batch: report.select("segment_id", "source_chars", "target_chars", "residual_han", F.array_join("warnings.code", ",").alias("codes")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    write = jobs.quality_writer(g, spark.read.parquet(f"{folder}/index"), give)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")

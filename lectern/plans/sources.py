@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import outcomes
 from lectern.plans.base import query, table
 from lectern.plans.qa import PAIRS, pairs
-from lectern.plans.text import CLEAN_LINES
+from lectern.plans.text import CLEAN, CLEAN_LINES
 from lectern.sources import files as S
+from lectern.sources import shards
 from lectern.sources.shared import shared_folder
 
 
@@ -84,3 +91,70 @@ def rebuilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pairs(spark, sf_dir).select("segment_id", "doc_id", F.posexplode_outer(F.split(F.trim("target"), " ")).alias("i", "str")).where("str is not null")
     items = words.select("doc_id", "segment_id", F.col("i").alias("item_no"), "str", F.lit(False).alias("has_eol"), (F.col("i") % 4 * 60.0).alias("x"), (-F.floor(F.col("i") / 4) * 12.0).alias("y"), F.lit(40.0).alias("width"), F.lit(10.0).alias("height"))
     return S.page_texts(items, ["segment_id"])
+
+
+def office_file(kind: str, texts: list[str]) -> bytes:
+    """A file of the kind with one block, chapter or slide for each text."""
+    out, t = io.BytesIO(), list(map(escape, texts))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        if kind == "docx":
+            z.writestr("word/document.xml", "<w:document xmlns:w='w'><w:body>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in t) + "</w:body></w:document>")
+        elif kind == "epub":
+            z.writestr("META-INF/container.xml", "<c><rootfile full-path='o/p.opf'/></c>")
+            z.writestr("o/p.opf", "<p>" + "".join(f"<item id='i{i}' href='{i}.x'/>" for i in range(len(t))) + "".join(f"<itemref idref='i{i}'/>" for i in range(len(t))) + "</p>")
+            for i, x in enumerate(t):
+                z.writestr(f"o/{i}.x", f"<html><body><p>{x}</p></body></html>")
+        else:
+            z.writestr("ppt/presentation.xml", "<p xmlns:r='r'>" + "".join(f"<sldId r:id='x{i}'/>" for i in range(len(t))) + "</p>")
+            z.writestr("ppt/_rels/presentation.xml.rels", "<R>" + "".join(f"<Relationship Id='x{i}' Target='s{i}.xml'/>" for i in range(len(t))) + "</R>")
+            for i, x in enumerate(t):
+                z.writestr(f"ppt/s{i}.xml", f"<s xmlns:a='a'><a:p><a:r><a:t>{x}</a:t></a:r></a:p></s>")
+    return out.getvalue()
+
+
+def write_office(rows: DataFrame, folder: str) -> None:
+    """Writes (name, at, text) as files, the ending of the name telling the kind."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, place = fs.FileSystem.from_uri(folder)
+        store.create_dir(place, recursive=True)
+        for b in batches:
+            for name, texts in zip(b["name"], b["texts"]):
+                own = f"{place}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(office_file(name.rpartition(".")[2], list(texts)))
+                shards.settle(store, own, f"{place}/{name}")
+            yield b[["name"]]
+
+    files = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("r")).select("name", F.col("r.text").alias("texts"))
+    files.mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+#: Texts of documents and of pages' addresses without control characters, fifty ids a file.
+FILED = r"""f AS (SELECT doc_id // 50 AS file, doc_id AS nr, regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x20\x{FFFE}\x{FFFF}]+', ' ', 'g'), '^ +| +$', '', 'g') AS text FROM documents
+UNION ALL SELECT 1000000000 + page_id // 50, page_id, url FROM pages), n AS (SELECT (['docx', 'epub', 'pptx'])[file % 3 + 1] AS kind, file, nr, text, CAST(row_number() OVER (PARTITION BY file ORDER BY nr) AS INTEGER) AS unit FROM f)"""
+
+
+@query(rf"""WITH RECURSIVE {FILED}, c AS (SELECT kind, file, unit, {CLEAN.format('text')} AS t FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY unit) AS k FROM c WHERE kind = 'docx' AND t <> ''),
+j AS (SELECT file, k, CAST(length(t) AS BIGINT) AS size, 1 AS p FROM k WHERE k = 1 UNION ALL
+  SELECT k.file, k.k, CASE WHEN j.size + length(k.t) + 2 <= 12000 THEN j.size + length(k.t) + 2 ELSE length(k.t) END, CASE WHEN j.size + length(k.t) + 2 <= 12000 THEN j.p ELSE j.p + 1 END FROM j JOIN k ON j.file = k.file AND k.k = j.k + 1)
+SELECT 'docx' AS kind, file, CAST(p AS INTEGER) AS page_number, string_agg(t, chr(10) || chr(10) ORDER BY k) AS text FROM j JOIN k USING (file, k) GROUP BY file, p
+UNION ALL SELECT kind, file, CASE WHEN kind = 'epub' THEN CAST(row_number() OVER (PARTITION BY file ORDER BY unit) AS INTEGER) ELSE unit END, t FROM c WHERE kind <> 'docx' AND t <> ''""")
+def office_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and addresses of pages, written as Word files, e-books and slides and read back as pages."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("file"), F.col("doc_id").alias("at"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20\x{FFFE}\x{FFFF}]+", " ")).alias("text"))
+    p = table(spark, sf_dir, "pages").select((F.floor(F.col("page_id") / 50) + 1_000_000_000).alias("file"), F.col("page_id").alias("at"), F.col("url").alias("text"))
+    rows = d.unionByName(p).select(F.concat(F.col("file").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("docx", "epub", "pptx"))), (F.col("file") % 3 + 1).cast("int"))).alias("name"), "at", "text")
+    folder = f"{shared_folder(spark).rstrip('/')}/office-files-{uuid.uuid4().hex}"
+    write_office(rows, folder)
+    pages = S.office_pages(S.office_folder(spark, folder))
+    name = F.element_at(F.split("path", "/"), -1)
+    return pages.select(F.element_at(F.split(name, r"\."), -1).alias("kind"), F.element_at(F.split(name, r"\."), 1).cast("long").alias("file"), F.col("page_number").cast("int").alias("page_number"), "text")
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, coalesce(string_agg(trim(target), chr(10) || chr(10) ORDER BY page_number, segment_id) FILTER (WHERE trim(target) <> ''), '') AS text FROM pairs GROUP BY doc_id")
+def sharded_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All targets of each customer, written into shards and read back by their manifest."""
+    texts = outcomes.target_texts(pairs(spark, sf_dir).withColumn("seq", F.col("segment_id")), ["doc_id"])
+    folder = f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    return shards.read(shards.write(texts, folder, "doc_id"), folder).withColumnRenamed("document", "doc_id")
