@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import HAN, SPACE, col, is_blank, lines_of, sub, trim, units
 from lectern.operators import grams
+from lectern.sources.shared import kept
 
 KINDS = ("person", "organization", "place", "title", "term", "other")
 # What separates tokens, windows around marking words, and places too general to keep.
@@ -54,11 +55,8 @@ def _around(text: Column, word: Column, script: str) -> Column:
 def places(lines: DataFrame, key: str, words: DataFrame) -> DataFrame:
     """(key, line_no, line, kind, word, n, at): every place of every word in every line."""
     few = words.limit(FEW_WORDS + 1).collect()
-    if len(few) > FEW_WORDS:  # the lines' substrings of the words' lengths meet the words in an equi-join
-        sizes = F.array_sort(F.collect_set(F.length("word")))
-        lengths = words.agg(sizes.alias("s")).first().s
-        cut = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - k + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring("line", i, k).alias("word")))))
-        return lines.select("*", F.explode_outer(cut).alias("_c")).select(key, "line_no", "line", "_c.at", "_c.word").join(words, "word")
+    if len(few) > FEW_WORDS:
+        return walked(lines, key, words)
     # a dictionary of bounded size: words that a line holds, then their places there
     known = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.word).alias("word"), F.lit(r.n).alias("n")) for r in few)) if few else F.array().cast("array<struct<kind:string,word:string,n:int>>")
     hits = lines.select(key, "line_no", "line", F.explode(F.filter(known, lambda w: F.col("line").contains(w["word"]))).alias("_w")).select(key, "line_no", "line", "_w.*")
@@ -66,6 +64,41 @@ def places(lines: DataFrame, key: str, words: DataFrame) -> DataFrame:
     return hits.select("*", F.explode_outer(starts).alias("at")).where("at is not null")
 
 
+def trie(words: DataFrame) -> DataFrame:
+    """(state, depth, ends): the prefixes of all words, each the state that its characters lead to from the one before it."""
+    spelled = words.where("word <> ''").select("word").distinct()
+    prefixes = spelled.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.struct(F.substring("word", 1, i).alias("state"), i.alias("depth"), (i == F.length("word")).alias("ends")))).alias("s"))
+    return prefixes.groupBy("s.state", "s.depth").agg(F.max("s.ends").alias("ends"))
+
+
+def walked(lines: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """The same for a dictionary of any size: from every place of a line the words' trie is walked until it fails.
+
+    A round takes one character: places whose next character leads on stay, the
+    others go, so most go in the first rounds, however long the longest word is.
+    Places carry no more of their line than a word may take; the lines come back
+    to the words that were found.
+    """
+    states = kept(trie(words))
+    longest = states.agg(F.max("depth")).first()[0] or 0
+    named = kept(lines.select(key, "line_no", "line").withColumn("_line", F.monotonically_increasing_id()))
+    at = named.select("_line", F.explode(F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.struct(i.alias("at"), F.substring(F.col("line"), i, F.lit(longest)).alias("rest")))).alias("p")).select("_line", "p.*")
+    found = None
+    for depth in range(1, longest + 1):
+        level = states.where(F.col("depth") == depth).select("state", "ends")
+        at = at.withColumn("state", F.substring("rest", 1, depth)).where(F.length("state") == depth).join(level, "state")
+        own = at.where("ends").select("_line", "at", F.col("state").alias("word"))
+        found = own if found is None else found.unionByName(own)
+        at = at.drop("state", "ends")
+        if depth % 4 == 0:  # else the plan of a round repeats all rounds before it
+            at = kept(at)
+            if at.isEmpty():
+                break
+    if found is None:
+        found = named.select("_line", F.lit(0).alias("at"), F.lit("").alias("word")).limit(0)
+    return found.join(words, "word").join(named, "_line").drop("_line")
+
+
 def marked(lines: DataFrame, key: str, names: DataFrame, script: str = HAN) -> DataFrame:
     """Phrases around every place of a marking word, with that word's rank and order; one pass for all kinds."""
     words = names.where(F.col("kind").isin(*WINDOW) & (F.col("word") != "")).select("kind", "word", F.col("n").cast("int").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import col
@@ -28,3 +28,57 @@ def matches(pages: DataFrame, by: list[str], query: str) -> DataFrame:
 
 def highlight(text: Column | str, query: str) -> Column:
     return F.regexp_replace(col(text), F.lit("(?i)" + re.escape(query.strip())), F.lit("<mark>$0</mark>")) if query.strip() else col(text)
+
+
+#: Characters of an index's grams, folders that its postings are dealt to, and tasks that write one.
+GRAM, BUCKETS, SPREAD = 3, 64, 8
+
+
+def write_index(pages: DataFrame, by: list[str], folder: str, buckets: int = BUCKETS) -> None:
+    """Postings of both sides of pages: (side, by, page_number, gram, position), in folders by the gram's hash, sorted by gram.
+
+    A gram is GRAM characters of the lower-cased text; positions count from 0.
+    """
+    sides = None
+    for rank, (side, text) in enumerate((("source", "source"), ("translation", "target"))):
+        one = pages.select(*by, "page_number", F.lit(side).alias("side"), F.lit(rank).alias("side_rank"), F.split(F.lower(F.coalesce(col(text), F.lit(""))), "").alias("_c"))
+        sides = one if sides is None else sides.unionByName(one)
+    follow = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
+    shifted = lambda n: F.slice("_c", n + 1, F.greatest(F.size("_c") - n, F.lit(0)))
+    grams = follow(follow(F.col("_c"), shifted(1)), shifted(2))
+    # explode_outer: a filter behind explode would compute the grams once more
+    rows = sides.select(*by, "page_number", "side", "side_rank", F.posexplode_outer(grams).alias("position", "gram")).where("gram is not null").withColumn("bucket", bucket(F.col("gram"), buckets))
+    # a bucket is dealt to several tasks by page, so that a frequent gram is not one task's
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(*by, "page_number"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def bucket(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+
+def indexed_matches(spark: SparkSession, folder: str, by: list[str], query: str, buckets: int = BUCKETS) -> DataFrame:
+    """``matches`` by the postings of a written index; only the buckets of the query's grams are read.
+
+    Grams at every GRAM-th place of the query, and its last one, cover it, so a
+    page holds it where all of them stand at their distances: an intersection of
+    shifted positions, without looking at texts. Places that overlap an earlier
+    one do not count. Shorter queries have no gram and are found by ``matches``.
+    """
+    q = query.strip().lower()
+    if len(q) < GRAM:
+        raise ValueError(f"an index finds queries of {GRAM} characters or more")
+    offsets = sorted({*range(0, len(q) - GRAM + 1, GRAM), len(q) - GRAM})
+    wanted = {q[o : o + GRAM] for o in offsets}
+    slots = sorted({r[0] for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(bucket(F.col("g"), buckets)).collect()})
+    rows = spark.read.parquet(folder).where(F.col("bucket").isin(slots) & F.col("gram").isin(*wanted))
+    # a gram that stands at several offsets counts for each
+    shifts = F.create_map(*(x for g in wanted for x in (F.lit(g), F.array(*(F.lit(o) for o in offsets if q[o : o + GRAM] == g)))))
+    page = [*by, "page_number", "side", "side_rank"]
+    each = rows.select(*page, "position", F.explode(F.element_at(shifts, F.col("gram"))).alias("_o")).select(*page, (F.col("position") - F.col("_o")).alias("_p"))
+    whole = each.groupBy(*page, "_p").agg(F.count("*").alias("_n")).where(F.col("_n") == len(offsets))
+    counted = whole.groupBy(*page).agg(F.array_sort(F.collect_list("_p")).alias("_m"))
+    start = F.struct(F.lit(-(1 << 30)).alias("last"), F.lit(0).alias("n"))
+    apart = F.aggregate("_m", start, lambda a, p: F.when(p >= a["last"] + len(q), F.struct(p.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
+    counted = counted.withColumn("n", apart)
+    return counted.select(*by, "page_number", "side", "side_rank", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("occurrence"))

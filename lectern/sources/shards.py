@@ -38,9 +38,9 @@ def settle(store: fs.FileSystem, own: str, name: str) -> None:
 def write(texts: DataFrame, folder: str, document: str, text: str = "text", shard_bytes: int = SHARD_BYTES, partitions: int | None = None) -> DataFrame:
     """Writes the texts (null: empty) and the manifest; gives the manifest.
 
-    Rows are sorted by document within ranges of it, and a range is cut in shards
-    of the wanted size, so ids that lie near each other lie in one shard. Repeated
-    ids are kept, each with its place.
+    Rows are dealt out by hash to so many tasks, sorted by document in each, and
+    cut in shards of the wanted size; so a write that is made again with as many
+    tasks makes the same shards. Repeated ids are kept, each with its place.
     """
     kind = texts.schema[document].dataType.simpleString()
     place = folder.rstrip("/")
@@ -77,7 +77,7 @@ def write(texts: DataFrame, folder: str, document: str, text: str = "text", shar
 
     rows = texts.select(F.col(document).alias("document"), F.col(text).cast("string").alias("text"))
     by = [F.col("document"), F.xxhash64("text")]
-    rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    rows = rows.repartition(partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     made = rows.sortWithinPartitions(*by, "text").mapInArrow(run, f"document {kind}, shard string, offset long, length long, sha256 string")
     made.write.mode("overwrite").parquet(f"{place}/manifest")
     return texts.sparkSession.read.parquet(f"{place}/manifest")
