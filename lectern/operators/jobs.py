@@ -73,7 +73,7 @@ def requests(segments: DataFrame, domains: DataFrame, glossary: Column, context:
     before = F.when(~is_blank(context), F.concat(F.lit("Context from previous section: "), trim(context), F.lit("\n\n"))).otherwise("")
     terms = F.when(F.size(F.map_keys(glossary)) > 0, F.concat(F.lit("Use these exact translations for the following terms:\n"), lines, F.lit("\n\n"))).otherwise("")
     user = F.concat(before, terms, F.lit("Translate this Chinese text into clean English:\n\n"), F.col("source"))
-    return segments.join(F.broadcast(domains.select("domain", "system")), "domain", "left").withColumn("user", user)
+    return segments.join(domains.select("domain", "system"), "domain", "left").withColumn("user", user)
 
 
 # What a request may hold, checked in this order.

@@ -21,7 +21,9 @@ WARNINGS = (
 
 
 def terms_by_broadcast(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(segment_id, term, gloss, matched) by testing every term of a glossary that is small."""
+    """(segment_id, term, gloss, matched) by testing every term of a glossary that is small; a larger one is not broadcast."""
+    if not is_small(glossary):
+        return terms_by_grams(segments, glossary)
     g = glossary.where(~is_blank("term") & ~is_blank("gloss")).select("term", "gloss")
     pairs = segments.select("segment_id", "source", "target").join(F.broadcast(g), F.col("source").contains(F.col("term")))
     return pairs.select("segment_id", "term", "gloss", F.lower("target").contains(F.lower("gloss")).alias("matched"))
@@ -40,12 +42,12 @@ def term_index(glossary: DataFrame) -> DataFrame:
     return grams.filed(glossary.where(~is_blank("term") & ~is_blank("gloss")), "term")
 
 
-#: Terms up to which a glossary is broadcast.
-FEW_TERMS = 10_000
+#: Terms, and characters of terms and glosses, up to which a glossary is broadcast.
+FEW_TERMS, FEW_CHARS = 10_000, 10_000_000
 
 
 def terms(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    return terms_by_broadcast(segments, glossary) if is_small(glossary) else terms_by_grams(segments, glossary)
+    return terms_by_broadcast(segments, glossary)
 
 
 def in_rows(rows: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -57,7 +59,9 @@ def in_rows(rows: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def is_small(glossary: DataFrame) -> bool:
-    return glossary.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    size = F.coalesce(F.length("term"), F.lit(0)) + F.coalesce(F.length("gloss"), F.lit(0))
+    n, chars = glossary.limit(FEW_TERMS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= FEW_TERMS and chars <= FEW_CHARS
 
 
 def tidied(segments: DataFrame) -> DataFrame:

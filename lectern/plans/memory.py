@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lectern.operators import jobs as J
 from lectern.operators import memory as M
 from lectern.plans.base import query, table
 from lectern.plans.text import PAGED, SEGMENTS, documents, paged, segmented
+from lectern.sources.shared import shared_folder
+from lectern.streaming.tables import memory_table
 
 NOW = "2025-01-01 00:00:00"
 MEMO = r"""rec AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, min(doc_id) AS first FROM documents GROUP BY 1),
@@ -39,6 +43,20 @@ def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upsert(memory(spark, sf_dir), new).select(F.md5(F.col("source").cast("binary")).alias("source_md5"), "domain", "target")
 
 
+@query(rf"""WITH {MEMO}, n AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, 'general' AS domain, 'new ' || doc_id AS target, 1000000 + doc_id AS w FROM documents WHERE doc_id % 3 = 0),
+a AS (SELECT s, domain, target, CAST(substr(target, 8) AS BIGINT) AS w FROM memo UNION ALL SELECT * FROM n)
+SELECT md5(s) AS source_md5, domain, arg_max(target, w) AS target FROM a GROUP BY s, domain""")
+def kept_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a kept table: the memory as one batch, the new results as two, one of them written twice, with compaction."""
+    d = documents(spark, sf_dir)
+    new = d.select("doc_id", F.col("text").alias("source"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new "), F.col("doc_id").cast("string"))).otherwise(" ").alias("target"), F.lit("general").alias("domain"), F.lit("").alias("signature"), F.timestamp_seconds(F.col("doc_id") + 1000000).alias("updated_at"))
+    kept = memory_table(spark, f"{shared_folder(spark).rstrip('/')}/kept-memory-{uuid.uuid4().hex}", fan=2)
+    halves = [new.where((F.col("doc_id") % 2 == k)).drop("doc_id") for k in (0, 1)]
+    for batch, rows in enumerate((memory(spark, sf_dir), *halves, halves[1])):
+        kept.write(rows, min(batch, 2))
+    return kept.read().select(F.md5(F.col("source").cast("binary")).alias("source_md5"), "domain", "target")
+
+
 @query("""SELECT doc_id, 'b' || chr(0) || lang || chr(1) || 'k' || chr(0) || source AS signature FROM documents""")
 def glossary_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signature of a small glossary that each document brings."""

@@ -90,6 +90,12 @@ def cleaned_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("segment_id", T.clean_cjk(F.replace(spaced, F.lit(". "), F.lit("."))).alias("cleaned"))
 
 
+@query(f"WITH {PAIRS} SELECT segment_id, replace(source, '.', '. ') AS cleaned FROM pairs")
+def cleaned_spaced_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with a space between all characters, cleaned as they are; a point keeps the space after it."""
+    return pairs(spark, sf_dir).select("segment_id", T.clean_cjk(F.regexp_replace("source", r"(.)(?=.)", "$1 ")).alias("cleaned"))
+
+
 @query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, CASE WHEN len(l) = 1 AND length(l[1]) <= 30 AND length(l[1]) <= 18 AND NOT regexp_matches(l[1], '[。！？!?；;：:，,、）)】》」』.]$') THEN 'heading'
   WHEN len(l) > 1 AND len(list_filter(l, lambda x: regexp_matches(x, '^(?:[0-9]{1,3}[.、)）]|\([0-9一二三四五六七八九十]+\)|[•·*-]\s)'))) = len(l) THEN 'list' ELSE 'paragraph' END AS kind FROM l""")
