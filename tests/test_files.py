@@ -70,3 +70,17 @@ def test_shards(spark, tmp_path):
     shards.write(df, folder, "id", shard_bytes=1_000_000, partitions=3)
     assert {n: os.stat(tmp_path / "out" / n).st_size for n in os.listdir(tmp_path / "out") if n != "manifest"} == before
     assert shards.write(df.limit(0), f"file://{tmp_path}/none", "id").count() == 0
+
+
+def test_reviews_in_shards(spark, tmp_path):
+    """Review rows of many documents, written as texts and read back by document."""
+    from lectern.operators import outcomes
+
+    made = [(d, p, p, f"源{p} <b>", f"Text {p}\nline") for d in range(40) for p in range(3)]
+    segments = spark.createDataFrame(made, "doc_id long, page_number int, seq int, source string, target string")
+    texts = shards.review_lines(outcomes.review_rows(segments, ["doc_id"]), "doc_id")
+    folder = f"file://{tmp_path}/reviews"
+    manifest = shards.write(texts, folder, "doc_id", partitions=2)
+    assert manifest.select("shard").distinct().count() <= 2
+    one = shards.read(manifest.where("document = 7"), folder).first().text
+    assert one == "Section 1\t源0 &lt;b&gt;\tText 0 line\nPage 1\t源1 &lt;b&gt;\tText 1 line\nPage 2\t源2 &lt;b&gt;\tText 2 line"
