@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from lectern.llm.common import cut
 
 NEAREST, EVERY = 5, 50
-#: Vectors the tree is fitted on, those that calibrate it, and the recall they must reach.
-SAMPLE, CALIBRATION, RECALL = 65_536, 256, 0.97
+#: Vectors the tree is fitted on, and components they may have together; vectors that calibrate it, and the recall they must reach.
+SAMPLE, SAMPLE_PARTS, CALIBRATION, RECALL = 65_536, 8 << 20, 256, 0.97
 #: Children of a node, vectors of the table a leaf aims at, sample points a node needs to be split, rounds of k-means.
 BRANCH, LEAF, LEAST, ROUNDS = 16, 512, 32, 8
-#: Vectors and queries that one group holds.
-ROWS, QUERIES = 16_384, 1_024
+#: Components of vectors, and queries, that one group holds.
+PARTS, QUERIES = 1 << 20, 1_024
 STEP = 4_000
 
 
@@ -191,8 +191,9 @@ def distinct(vectors: DataFrame) -> DataFrame:
 
 
 def fit(points: DataFrame, n: int, leaf: int = LEAF) -> dict[int, Tree]:
-    """A tree for each length of vectors, from about SAMPLE of the n distinct ones, taken by their hash."""
-    share = min(1.0, SAMPLE / max(n, 1))
+    """A tree for each length of vectors, from about SAMPLE of the n distinct ones (fewer if they are long), taken by their hash."""
+    longest = points.agg(F.max(F.size("embedding"))).first()[0] or 1
+    share = min(1.0, SAMPLE / max(n, 1), SAMPLE_PARTS / (max(n, 1) * longest))
     some = points.where(F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding")
     found: dict[int, list] = {}
     for dims, part in by_length(some.toArrow().to_batches()):
@@ -287,7 +288,7 @@ def met(index: DataFrame, asked: DataFrame) -> DataFrame:
     """(query, node, least, score): for each query the best vectors of every visited leaf, block by block."""
     asked = cut(asked.select("query", "embedding", F.explode("leaves").alias("leaf")))
     # a row for each leaf of the tree, whose number the sample bounds
-    sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares")), "leaf")
+    sizes = index.groupBy("leaf").agg(F.ceil(F.sum(F.size("embedding")) / PARTS).cast("int").alias("blocks")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares")), "leaf")
     sizes = F.broadcast(cut(sizes))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = index.join(sizes, "leaf").select("leaf", "node", "least", "embedding", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), every("shares").alias("share"))

@@ -237,7 +237,7 @@ def test_neighbours_of_odd_rows(spark):
 
 def test_recall_of_a_deep_tree(spark, monkeypatch):
     """Many leaves, split groups of rows and of queries, and many copies of one vector."""
-    monkeypatch.setattr(anntree, "ROWS", 40)
+    monkeypatch.setattr(anntree, "PARTS", 40 * 16)
     monkeypatch.setattr(anntree, "QUERIES", 3)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 16))
