@@ -275,7 +275,7 @@ def visited(queries: DataFrame, trees: dict[int, Tree], visits: int) -> DataFram
 def answer(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
     """A group's nearest vectors for each of its queries."""
     out = [pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
-    if rows.num_rows:
+    if rows.num_rows and queries.num_rows:  # blocks and shares are dealt by hash, so one may be empty
         node, least, query = rows.column("node").to_numpy(), rows.column("least").to_numpy(), queries.column("query").to_numpy()
         x, y = matrix(queries.column("embedding")), matrix(rows.column("embedding"))
         for at in range(0, len(x), 128):
