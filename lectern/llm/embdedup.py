@@ -7,14 +7,17 @@ with the count that pairs at the threshold reach with the wanted recall are
 verified by their cosine in double precision.
 
 A window on one line holds a fixed share of all vectors, so looking at whole
-lines would take quadratic work. The lines are therefore read in tables: a table
-deals the vectors out by their sides on a few lines, sorts each cell by its value
-on one more, and looks only inside the windows of that order. The least count is
-calibrated on drawn pairs at the threshold, and the number of tables follows from
-the recall. Cells hold codes of a byte a line; only vectors with a partner that
-passes meet again, with their components, to be verified. A pair counts in the
-first table that brings it together; no pairs are written, only each vector's
-number of links and links that span what they joined.
+lines would take quadratic work. Few vectors lie at the ends of a line, though,
+and close vectors lie at the same ones. The lines are therefore read from their
+ends, in tables: of each of a table's few groups of lines a vector is filed at the
+end where it lies furthest out, those at the same ends are sorted by their value
+on one line more, and only the windows of that order are looked into. The least
+count and the number of tables are calibrated on drawn pairs at the threshold.
+Rows that are dealt out hold a code of a byte a line; only vectors with a partner
+that passes meet again, first with their cells, since a pair counts in the first
+table that brings it together, then with their components, to be verified. No
+pairs are written, only each vector's number of links and links that span what
+they joined.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
 components, link with nothing; vectors of different lengths do not link; exact
@@ -41,7 +44,11 @@ THRESHOLD, RECALL = 0.9, 0.9995
 #: Lines, steps of a code to one standard deviation of the values, and the windows' half-width in steps (2.1
 #: standard deviations of the difference of a pair at the threshold).
 LINES, STEPS, WINDOW = 64, 16, 15
-#: Vectors per cell that the number of sides aims at, and rows beyond which a cell is dealt out.
+#: A group has at most two to this power of ends, two of each line.
+GROUP_BITS = 6
+#: Lengths of vectors whose lines a worker keeps.
+LENGTHS = 8
+#: Vectors per cell that the ends aim at, and rows beyond which a cell is dealt out.
 AIM, CELL_ROWS = 256, 2048
 #: Drawn pairs that calibrate the count and the tables.
 DRAWN = 40_000
@@ -49,9 +56,9 @@ DRAWN = 40_000
 
 @dataclass
 class Plan:
-    """Lines whose sides make a table's cells, tables, and the least count of collisions on the coded lines."""
+    """Sizes of a table's groups of lines, tables, and the least count of collisions on the coded lines."""
 
-    sides: int
+    groups: list[int]
     tables: int
     least: int
 
@@ -59,6 +66,16 @@ class Plan:
         """The coded line that a table's cells are sorted by."""
         return nth % LINES
 
+    def cells(self, value: np.ndarray) -> np.ndarray:
+        """Numbers of the cells in one table by the values on the lines of its groups."""
+        cell, at = np.zeros(len(value), np.int64), 0
+        for size in self.groups:
+            own = value[:, at : at + size]
+            line = np.abs(own).argmax(axis=1)
+            cell = cell * (2 * size) + 2 * line + (np.take_along_axis(own, line[:, None], axis=1)[:, 0] > 0)
+            at += size
+        return cell
+
 
 def coded(values: np.ndarray) -> np.ndarray:
     """Codes of values on lines; differences of codes fit a byte."""
@@ -71,23 +88,39 @@ def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
-    """For n distinct vectors; the recall is that of a pair at the threshold, closer pairs have more."""
+    """For n distinct vectors; the recall is that of a pair at the threshold, closer pairs have more.
+
+    On Gaussian lines two unit vectors have normal values whose correlation is
+    their cosine, independent from line to line, whatever the vectors' length.
+    """
     rng = np.random.default_rng(23)
-    # on a Gaussian line two unit vectors have normal values whose correlation is their cosine
-    x = rng.standard_normal((DRAWN, LINES))
-    y = threshold * x + math.sqrt(1 - threshold**2) * rng.standard_normal((DRAWN, LINES))
-    count = np.sort(close(coded(x), coded(y)).sum(axis=1))
-    least = int(count[int(DRAWN * (1 - recall) / 2)])
-    sides = max(1, round(math.log2(max(n, 2) / max(AIM, n**0.4))))
-    met = (1 - math.acos(threshold) / math.pi) ** sides * least / LINES
-    return Plan(sides, math.ceil(math.log((1 - recall) / 2) / math.log(1 - met)), least)
+
+    def drawn(many: int, lines: int) -> tuple[np.ndarray, np.ndarray]:
+        x = rng.standard_normal((many, lines))
+        return x, threshold * x + math.sqrt(1 - threshold**2) * rng.standard_normal((many, lines))
+
+    a, b = map(coded, drawn(DRAWN, LINES))
+    count, lost = close(a, b).sum(axis=1), int(DRAWN * (1 - recall))
+    least = int(np.sort(count)[lost // 2])
+    bits = max(1, round(math.log2(max(n, 2) / max(AIM, n**0.4))))
+    many = math.ceil(bits / GROUP_BITS)
+    p = Plan([1 << (bits // many + (i < bits % many) - 1) for i in range(many)], 0, least)
+    left = np.flatnonzero(count >= least)
+    spare = lost - (DRAWN - len(left))
+    while len(left) > spare:  # one table more for the pairs that none has brought together
+        x, y = drawn(len(left), sum(p.groups))
+        line = p.order(p.tables)
+        met = (p.cells(x) == p.cells(y)) & close(a[left, line], b[left, line])
+        left, p.tables = left[~met], p.tables + 1
+    return p
 
 
 def placed(distinct: DataFrame, p: Plan) -> DataFrame:
-    """(node, times, dims, vector, code, sides, cells): each vector once, with its cell in every table."""
+    """(node, times, dims, vector, code, cells): each vector once, with its cell in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, np.ndarray] = {}
+        width = sum(p.groups)
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
@@ -99,26 +132,26 @@ def placed(distinct: DataFrame, p: Plan) -> DataFrame:
                     # powers of two scale exactly and keep sums of squares finite
                     x = x / 2.0 ** np.floor(np.log2(np.abs(x).max(axis=1, keepdims=True)))
                     if dims not in lines:
-                        lines[dims] = np.random.default_rng(dims * 1_000_003 + 7).standard_normal((dims, LINES + p.sides * p.tables))
-                    value = x @ lines[dims] / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    up = (value[:, LINES:] >= 0).reshape(len(x), p.tables, p.sides)
-                    cells = np.zeros(up.shape[:2], np.uint64)
-                    for k in range(p.sides):
-                        cells = (cells << np.uint64(1)) | up[:, :, k].astype(np.uint64)
-                    cells = (cells * np.uint64(p.tables) + np.arange(p.tables, dtype=np.uint64)) * np.uint64(65537) + np.uint64(dims % 65537)
+                        if len(lines) == LENGTHS:
+                            lines.clear()
+                        lines[dims] = np.random.default_rng(dims * 1_000_003 + 7).standard_normal((dims, LINES + p.tables * width))
+                    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    code = coded(unit @ lines[dims][:, :LINES])
+                    ends = (lines[dims][:, LINES + t * width : LINES + (t + 1) * width] for t in range(p.tables))
+                    cells = np.stack([(p.cells(unit @ own) * p.tables + t) << 31 | dims for t, own in enumerate(ends)], axis=1)
                     single = x.astype(np.float32)
                     exact = (single == x).all(axis=1)
                     packed = [bytes(s) if e else bytes(d) for s, d, e in zip(single, x, exact.tolist())]
                     yield pa.RecordBatch.from_arrays([
-                        own.column("node"), own.column("times"), pa.array(np.full(len(x), dims, np.int32)), pa.array(packed, pa.binary()), pa.array(list(map(bytes, coded(value[:, :LINES]))), pa.binary()),
-                        pa.array(list(map(bytes, np.packbits(up.reshape(len(x), -1), axis=1))), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * p.tables), pa.array(cells.view(np.int64).ravel())),
-                    ], names=["node", "times", "dims", "vector", "code", "sides", "cells"])
+                        own.column("node"), own.column("times"), pa.array(np.full(len(x), dims, np.int32)), pa.array(packed, pa.binary()), pa.array(list(map(bytes, code)), pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * p.tables), pa.array(cells.ravel())),
+                    ], names=["node", "times", "dims", "vector", "code", "cells"])
 
-    return distinct.select("node", "times", "embedding").mapInArrow(run, "node long, times long, dims int, vector binary, code binary, sides binary, cells array<long>")
+    return distinct.select("node", "times", "embedding").mapInArrow(run, "node long, times long, dims int, vector binary, code binary, cells array<long>")
 
 
 def passing(cell: pa.Table, p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's rows in each other's window of its order, with enough collisions, that no earlier table met."""
+    """Pairs of a cell's rows in each other's window of its order, with enough collisions; with ``cells`` those that no earlier table met."""
     block, nth = cell.column("block").to_numpy(), cell.column("nth")[0].as_py()
     code = np.frombuffer(b"".join(cell.column("code").to_pylist()), np.int8).reshape(cell.num_rows, LINES)
     line, same_block = p.order(nth), bool((block == block[0]).all())
@@ -138,12 +171,11 @@ def passing(cell: pa.Table, p: Plan) -> tuple[np.ndarray, np.ndarray]:
     if not same_block:  # rows of one block meet in that block's own pair
         apart = block[a] != block[b]
         a, b = a[apart], b[apart]
-    if nth and len(a):
-        up = np.unpackbits(np.frombuffer(b"".join(cell.column("sides").to_pylist()), np.uint8).reshape(cell.num_rows, -1), axis=1)[:, : nth * p.sides].reshape(-1, nth, p.sides)
-        fresh = np.ones(len(a), bool)
+    if nth and len(a) and "cells" in cell.column_names:
+        cells = cell.column("cells").combine_chunks().flatten().to_numpy().reshape(cell.num_rows, p.tables)
         for t in range(nth):
-            fresh &= ~((up[a, t] == up[b, t]).all(axis=1) & close(code[a, p.order(t)], code[b, p.order(t)]))
-        a, b = a[fresh], b[fresh]
+            fresh = (cells[a, t] != cells[b, t]) | ~close(code[a, p.order(t)], code[b, p.order(t)])
+            a, b = a[fresh], b[fresh]
     return a, b
 
 
@@ -201,14 +233,22 @@ def by_cell(work: Callable, p: Plan) -> Callable:
     return run
 
 
+PARTNERS = "cell long, pair int, block int, nth int, node long"
+
+
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """(a, b, n): node a has n links found in one place, and is joined there with node b."""
     p = plan(n)
     rows = cut(placed(distinct, p))
-    dealt = deal(rows.select("node", "code", "sides", F.posexplode("cells").alias("nth", "cell")), CELL_ROWS, "node").select("cell", "pair", "block", "nth", "node", "code", "sides")
-    some = dealt.mapInArrow(by_cell(partnered, p), "cell long, pair int, block int, nth int, node long")
-    again = some.join(rows.drop("cells"), "node").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
-    return again.mapInArrow(by_cell(verified, p), "a long, b long, n long")
+    dealt = deal(rows.select("node", "code", F.posexplode("cells").alias("nth", "cell")), CELL_ROWS, "node").select("cell", "pair", "block", "nth", "node", "code")
+    met = dealt.mapInArrow(by_cell(partnered, p), PARTNERS)
+    first = _again(met, rows.select("node", "code", "cells")).mapInArrow(by_cell(partnered, p), PARTNERS)
+    return _again(first, rows).mapInArrow(by_cell(verified, p), "a long, b long, n long")
+
+
+def _again(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a few vectors, in the cells where they met."""
+    return some.join(rows, "node").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
 
 
 def _lazily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
