@@ -1,8 +1,10 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Benchmark windows are the patterns. A shift table over blocks of two words says
-how far the search may move on; where it says zero, the block ends some pattern
-and the bucket of its suffix hash names the patterns to compare word by word.
+how far the search may move on, and grows with the patterns; a word of no pattern
+lets it move past itself. Where it says zero, the block ends some pattern and the
+bucket of its suffix hash, in the order of the words before it, names the patterns
+to compare word by word: of a frequent ending only those with the same beginning.
 Texts are mapped to word numbers once. A slice of a task's texts is cut in lanes,
 each with a cursor; all cursors look up their block at once and each moves on by
 its own shift, so most positions are never looked at.
@@ -38,7 +40,6 @@ WINDOW = 10
 BLOCK_CHARS = 8_000_000
 #: Characters of a piece of one item, at most.
 PIECE_CHARS = 1_000_000
-HASH = 1 << 20
 #: Words of text that one cursor of the search passes.
 LANE = 256
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -50,30 +51,47 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Patterns:
-    """Windows of one length with their shift table and suffix buckets."""
-
-    def __init__(self, rows: np.ndarray):
-        self.rows, self.length = rows, rows.shape[1]
-        self.block = min(2, self.length)
-        self.shift = np.full(HASH, self.length - self.block + 1, np.uint8)
-        for end in range(self.block, self.length + 1):
-            keys = self.key(rows[:, end - self.block : end])
-            np.minimum.at(self.shift, keys, self.length - end)
-        suffix = self.key(rows[:, self.length - self.block :])
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffix = suffix[self.order]
-
-    def key(self, block: np.ndarray) -> np.ndarray:
-        a = block[..., 0].astype(np.uint64)
-        b = block[..., -1].astype(np.uint64) if self.block == 2 else np.uint64(0)
-        return ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
+    """Different windows of one length, by their places in the benchmark's words, with shift table and suffix buckets."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, length: int):
+        self.length, self.block, self.ids = length, min(2, length), ids
+        # a slot for each place where a block may be, and three free ones beside it
+        self.bits = max(8, int(4 * len(ids)).bit_length())
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8)
+        for end in range(self.block, length + 1):
+            np.minimum.at(self.shift, self.key(ids[starts + end - self.block], ids[starts + end - 1]), length - end)
+        bucket = self.bucket(ids, starts)
+        self.order = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.buckets, self.starts = bucket[self.order], starts[self.order].astype(np.int32)
+
+    def key(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        a = before.astype(np.uint64) if self.block == 2 else np.uint64(0)
+        b = last.astype(np.uint64)
+        return ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def bucket(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Windows by the hash of their last block, and of equal ones by that of the words before it."""
+        suffix = self.key(ids[starts + self.length - self.block], ids[starts + self.length - 1]).astype(np.uint64)
+        prefix = np.zeros(len(starts), np.uint64)
+        for i in range(self.length - self.block):
+            prefix = (prefix ^ ids[starts + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            prefix ^= prefix >> np.uint64(29)
+        return suffix << np.uint64(64 - self.bits) | prefix >> np.uint64(self.bits)
+
+    def shifts(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How far the search may move on from blocks of two words; no window holds a word of number 0."""
+        out = self.shift[self.key(before, last)]
+        if self.block == 2:
+            out[before == 0] = self.length - 1
+        out[last == 0] = self.length
+        return out
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Positions at which a pattern may end: those where a cursor met a shift of zero."""
         cursor = np.arange(self.length - 1, len(ids), LANE)
         stop, found, self.looked = np.minimum(cursor + LANE, len(ids)), [], 0
         while len(cursor):
-            shift = self.shift[self.key(np.stack([ids[cursor - self.block + 1], ids[cursor]], axis=-1))]
+            shift = self.shifts(ids[cursor - self.block + 1], ids[cursor])
             self.looked += len(cursor)
             found.append(cursor[shift == 0])
             cursor = cursor + np.maximum(shift, 1)
@@ -83,10 +101,10 @@ class Patterns:
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, pattern) of every occurrence."""
-        first = self.length - 1
+        first, width = self.length - 1, np.arange(self.length)
         ends = self.ends(ids)
-        keys = self.key(np.stack([ids[ends - self.block + 1], ids[ends]], axis=-1))
-        low, high = np.searchsorted(self.suffix, keys, "left"), np.searchsorted(self.suffix, keys, "right")
+        keys = self.bucket(ids, ends - first)
+        low, high = np.searchsorted(self.buckets, keys, "left"), np.searchsorted(self.buckets, keys, "right")
         starts, found = [], []
         many = np.cumsum(high - low)
         begin = 0
@@ -94,39 +112,56 @@ class Patterns:
             end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + 500_000)))
             size = (high - low)[begin:end]
             at = np.repeat(ends[begin:end], size) - first
-            entry = np.repeat(low[begin:end] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            pattern = self.order[entry]
-            same = ids[at] == self.rows[pattern, 0]
+            pattern = np.repeat(low[begin:end] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            same = ids[at] == self.ids[self.starts[pattern]]
             at, pattern = at[same], pattern[same]
-            same = (ids[at[:, None] + np.arange(self.length)] == self.rows[pattern]).all(axis=1)
+            same = (ids[at[:, None] + width] == self.ids[self.starts[pattern][:, None] + width]).all(axis=1)
             starts.append(at[same])
-            found.append(pattern[same])
+            found.append(self.order[pattern[same]])
             begin = end
         return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, np.int64),) * 2
 
 
+class Owners:
+    """The numbers of the items that each pattern belongs to."""
+
+    def __init__(self, which: np.ndarray, items: np.ndarray):
+        pairs = np.unique(np.stack([which, items], axis=1), axis=0)
+        self.at = np.searchsorted(pairs[:, 0], np.arange(which.max() + 2)).astype(np.int32)
+        self.items = pairs[:, 1].astype(np.int32)
+
+    def __getitem__(self, pattern: int) -> list[int]:
+        return self.items[self.at[pattern] : self.at[pattern + 1]].tolist()
+
+
 class Matcher:
     """All windows of a block of benchmark items, and the items each belongs to."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set] = {}
-        for item, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1 if w else 0):
-                owners.setdefault(tuple(w[i : i + size]), set()).add(item)
-        by_length: dict[int, list] = {}
-        for k in sorted(owners):
-            by_length.setdefault(len(k), []).append(k)
-        self.groups = [(Patterns(np.array(v, np.int64)), [sorted(owners[k]) for k in v]) for v in by_length.values()]
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        each = [np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)), np.int32) for _, text in items]
+        ids = np.concatenate([np.zeros(0, np.int32), *each])
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        length = np.minimum(sizes, window)
+        count = np.where(sizes > 0, sizes - length + 1, 0)
+        item = np.repeat(np.arange(len(each)), count)
+        starts = (np.cumsum(sizes) - sizes)[item] + np.arange(len(item)) - (np.cumsum(count) - count)[item]
+        owner = np.fromiter((number[i] for i, _ in items), np.int64, len(items))[item]
+        self.groups: list[tuple[Patterns, Owners]] = []
+        for n in np.unique(length[item]).tolist():
+            own = length[item] == n
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, n)[starts[own]])
+            _, first, which = np.unique(rows.view(f"V{rows.itemsize * n}").ravel(), return_index=True, return_inverse=True)
+            self.groups.append((Patterns(ids, starts[own][first], n), Owners(which, owner[own])))
 
     def scan(self, texts: list) -> tuple[np.ndarray, list[list], list[set]]:
         """Words of each text, hit ranges [start, end, ...] by word, and items with occurring windows."""
         get = self.vocabulary.get
         each = [[get(w, 0) for w in words(t)] for t in texts]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter(chain.from_iterable(chain(e, (0,)) for e in each), np.int64, int(sizes.sum()) + len(each))
+        ids = np.fromiter(chain.from_iterable(chain(e, (0,)) for e in each), np.int32, int(sizes.sum()) + len(each))
         begin = np.cumsum(sizes + 1) - sizes - 1
         ranges, items = [[] for _ in texts], [set() for _ in texts]
         for patterns, owners in self.groups:
@@ -135,7 +170,7 @@ class Matcher:
             for d, start in zip(doc.tolist(), (at - begin[doc]).tolist()):
                 ranges[d] += (start, start + patterns.length)
             for d, p in np.unique(np.stack([doc, found], axis=1), axis=0).tolist():
-                items[d].update(owners[p])
+                items[d].update(self.items[i] for i in owners[p])
         return sizes, ranges, items
 
 

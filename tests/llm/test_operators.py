@@ -315,6 +315,20 @@ def test_decontamination_skips(monkeypatch):
     assert 0 < m.groups[0][0].looked < len(text) / 2
 
 
+def test_decontamination_of_a_large_block():
+    """Words of no benchmark are passed over at any size of it; frequent endings are told apart by their beginnings."""
+    rng = np.random.default_rng(4)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 50_000, 1000))) for i in range(200)]
+    tail = " the end of the line"
+    items += [(f"same {i}", f"a{i} b{i} c{i} d{i} e{i}" + tail) for i in range(20_000)]
+    m = decontam.Matcher(items)
+    sizes, ranges, found = m.scan([" ".join(f"q{i}" for i in range(50_000))])
+    assert (sizes.tolist(), ranges, found) == ([50_000], [[]], [set()])
+    assert m.groups[0][0].looked < 0.3 * 50_000
+    _, ranges, found = m.scan(["x" + tail * 5000, items[-1][1] + tail, "q " + items[7][1]])
+    assert found == [set(), {"same 19999"}, {"7"}] and ranges[1] == [0, 10] and len(ranges[2]) == 2 * 991
+
+
 def test_decontamination_pieces(spark, monkeypatch):
     """A long item in pieces has the windows of the whole."""
     monkeypatch.setattr(decontam, "PIECE_CHARS", 100)
