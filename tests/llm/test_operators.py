@@ -358,6 +358,23 @@ def test_embeddings(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_embedding_plans():
+    """Tables reach the planned recall on pairs not drawn for it, and what is dealt out grows slowly."""
+    rng = np.random.default_rng(77)
+    for n in (5000, 10**6):
+        p, width = embdedup.plan(n), sum(embdedup.plan(n).groups)
+        x = rng.standard_normal((4000, embdedup.LINES + p.tables * width), np.float32)
+        y = np.float32(0.9) * x + np.float32(0.19**0.5) * rng.standard_normal(x.shape, np.float32)
+        a, b = embdedup.coded(x[:, : embdedup.LINES]), embdedup.coded(y[:, : embdedup.LINES])
+        met = np.zeros(len(x), bool)
+        for t in range(p.tables):
+            own = slice(embdedup.LINES + t * width, embdedup.LINES + (t + 1) * width)
+            met |= (p.cells(x[:, own]) == p.cells(y[:, own])) & embdedup.close(a[:, p.order(t)], b[:, p.order(t)])
+        assert (met & (embdedup.close(a, b).sum(axis=1) >= p.least)).mean() >= 0.998
+    big = embdedup.plan(10**9)
+    assert big.tables * (embdedup.LINES + 24) < 10_000
+
+
 def test_embedding_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.standard_normal(64) + 0.05 * rng.standard_normal((90, 64))
