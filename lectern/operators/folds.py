@@ -128,15 +128,18 @@ def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
                 before = own
 
 
-def _edges(rows: DataFrame, keys: list[str]) -> dict[int, Edges]:
-    """By partition, its first and last key's pieces if these keys lie in several partitions."""
+def _edges(rows: DataFrame, keys: list[str], moving: bool) -> dict[int, Edges]:
+    """By partition, its first and last key's pieces if these keys lie in several partitions.
+
+    Only rows that lie one after the other have a length; places are not summed, as their sum may pass 64 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, last, number = None, None, None, -1
         for new, stretch in _stretches(batches, keys):
             part = stretch.column("_part")[0]
             number += new
-            n, length = stretch.num_rows, pc.sum(stretch.column("_length")).as_py() + pc.sum(stretch.column("_place")).as_py()
+            n, length = stretch.num_rows, pc.sum(stretch.column("_length")).as_py() + pc.sum(stretch.column("_place")).as_py() if moving else 0
             if new:
                 last = [_values(stretch, keys, 0), 0, 0]
                 first = first or last
@@ -262,7 +265,7 @@ def grouped(rows: DataFrame, keys: list[str], order: list[str], reach: int, leng
     by = [*map(col, keys), *map(col, order)]
     sorted_rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
     sorted_rows = kept(sorted_rows.sortWithinPartitions(*by)).withColumn("_part", F.spark_partition_id().cast("long"))
-    edges = _edges(sorted_rows, keys)
+    edges = _edges(sorted_rows, keys, moving)
     _solve(sorted_rows, keys, edges, reach, moving)
     more = ["row", "group", "opened", "begin"]
     own = [f for f in rows.schema if f.name not in (*more, "_length", "_place")]

@@ -56,3 +56,10 @@ def test_one_huge_key_takes_many_tasks(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "k string, i long, x long")
     assert folds.grouped(df, ["k"], ["i"], 5, length="x").collect() == []
+
+
+def test_places_whose_sum_passes_64_bits(spark):
+    """Times in microseconds add up to more than a long holds; only their differences count."""
+    rows = [("k", i, 4 * 10**18 + i * 3) for i in range(40)]
+    got = folds.grouped(spark.createDataFrame(rows, "k string, i long, x long"), ["k"], ["i"], 7, place="x", partitions=4)
+    assert sorted(map(tuple, got.select("k", "i", "row", "group", "opened", "begin").collect())) == sorted(loop(rows, 7, 0, False))
