@@ -17,22 +17,32 @@ NUMBER = r"[-+]?[0-9]+(?:[,.][0-9]+)*"
 UNITS = "元|圓|圆|人民幣|人民币|美元|港元|新台幣|新台币|RMB|CNY|USD|HKD|TWD"
 S = f"[{SPACE}]"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-#: Each date pattern with the groups of year, month and day; a look at the first letter skips most places quickly.
+#: Each date pattern with the groups of year, month and day, and a pattern or a character that every text with such a
+#: date has, cheap to look for. Classes stand outside of (?i), and a look at the first character skips most places quickly.
+MONTH, TH = f"(?i:{MONTHS})", "(?i:st|nd|rd|th)?"
+APART = "[0-9][-/.][0-9]{1,2}[-/.][0-9]"
 DATES = (
-    (rf"([0-9]{{4}}){S}*年{S}*([0-9]{{1,2}}){S}*月{S}*([0-9]{{1,2}}){S}*[日號号]?", (1, 2, 3)),
-    (rf"{LEFT}([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}}){RIGHT}", (1, 2, 3)),
-    (rf"{LEFT}([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}}){RIGHT}", (3, 1, 2)),
-    (rf"(?i)(?=[adfjmnos]){LEFT}({MONTHS})\.?{S}+([0-9]{{1,2}})(?:st|nd|rd|th)?,?{S}+([0-9]{{4}}){RIGHT}", (3, 1, 2)),
-    (rf"(?i){LEFT}([0-9]{{1,2}})(?:st|nd|rd|th)?{S}+({MONTHS})\.?{S}+([0-9]{{4}}){RIGHT}", (3, 2, 1)),
+    (rf"([0-9]{{4}}){S}*年{S}*([0-9]{{1,2}}){S}*月{S}*([0-9]{{1,2}}){S}*[日號号]?", (1, 2, 3), "年"),
+    (rf"(?=[0-9]){LEFT}([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}}){RIGHT}", (1, 2, 3), APART),
+    (rf"(?=[0-9]){LEFT}([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}}){RIGHT}", (3, 1, 2), APART),
+    (rf"(?=[ADFJMNOSadfjmnos]){LEFT}({MONTH})\.?{S}+([0-9]{{1,2}}){TH},?{S}+([0-9]{{4}}){RIGHT}", (3, 1, 2), "[A-Za-z]{3}"),
+    (rf"(?=[0-9]){LEFT}([0-9]{{1,2}}){TH}{S}+({MONTH})\.?{S}+([0-9]{{4}}){RIGHT}", (3, 2, 1), "[A-Za-z]{3}"),
 )
 PERCENT = rf"{NUMBER}{S}*%"
-AMOUNT = rf"(?i)(?=[-+0-9$¥￥€£])(?:[$¥￥€£]{S}*{NUMBER}|{NUMBER}{S}*(?:{UNITS}))"
+AMOUNT = rf"(?=[-+0-9$¥￥€£])(?:[$¥￥€£]{S}*{NUMBER}|{NUMBER}{S}*(?i:{UNITS}))"
+PAID = rf"[0-9]{S}*(?i:{UNITS})|[$¥￥€£]"
 
 
 def _all(x: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), group)
 
 
+def _where(x: Column, sign: str, found: Column) -> Column:
+    """The facts found in a text that has their sign, a character or a pattern; most texts lack most signs."""
+    has = x.contains(sign) if len(sign) == 1 else x.rlike(sign)
+    return F.when(has, found).otherwise(F.array().cast("array<struct<source:string,normalized:string>>"))
+
+
 def _month(m: Column) -> Column:
     names = F.create_map(*(F.lit(v) for pair in MONTH_NUMBER.items() for v in pair))
     return F.coalesce(F.try_element_at(names, F.lower(F.substring(m, 1, 3))), m.try_cast("int"))
@@ -54,20 +64,20 @@ def once(facts: Column) -> Column:
 def dates(x: Column | str) -> Column:
     """Each pattern is looked for once; the parts are taken from its short matches."""
     found = []
-    for pattern, groups in DATES:
+    for pattern, groups, sign in DATES:
         part = lambda s, g: F.regexp_extract(s, pattern, g)  # noqa: B023, E731
         parts = F.transform(_all(col(x), pattern), lambda s: F.struct(s.alias("s"), *(part(s, g).alias(n) for n, g in zip("ymd", groups))))  # noqa: B023
         ok = F.filter(parts, lambda p: _month(p["m"]).between(1, 12) & p["d"].cast("int").between(1, 31))
-        found.append(F.transform(ok, lambda p: _fact(p["s"], F.concat(F.lit("date:"), p["y"], F.lit("-"), F.lpad(_month(p["m"]).cast("string"), 2, "0"), F.lit("-"), F.lpad(p["d"].cast("int").cast("string"), 2, "0")))))
+        found.append(_where(col(x), sign, F.transform(ok, lambda p: _fact(p["s"], F.concat(F.lit("date:"), p["y"], F.lit("-"), F.lpad(_month(p["m"]).cast("string"), 2, "0"), F.lit("-"), F.lpad(p["d"].cast("int").cast("string"), 2, "0"))))))
     return F.concat(*found)
 
 
 def percentages(x: Column | str) -> Column:
-    return F.transform(_all(col(x), PERCENT), lambda s: _fact(s, F.concat(F.lit("percentage:"), sub(s, f"[{SPACE},]", ""))))
+    return _where(col(x), "%", F.transform(_all(col(x), PERCENT), lambda s: _fact(s, F.concat(F.lit("percentage:"), sub(s, f"[{SPACE},]", "")))))
 
 
 def amounts(x: Column | str) -> Column:
-    return F.transform(_all(col(x), AMOUNT), lambda s: _fact(s, F.concat(F.lit("currency:"), F.replace(F.regexp_extract(s, NUMBER, 0), F.lit(","), F.lit("")))))
+    return _where(col(x), PAID, F.transform(_all(col(x), AMOUNT), lambda s: _fact(s, F.concat(F.lit("currency:"), F.replace(F.regexp_extract(s, NUMBER, 0), F.lit(","), F.lit(""))))))
 
 
 def numbers(x: Column | str) -> Column:
@@ -92,10 +102,13 @@ def with_facts(df, source: str, target: str):
     parts = {"d": ("date", dates), "p": ("percentage", percentages), "c": ("currency", amounts), "n": ("number", numbers)}
     sides = {"s": source, "t": target}
     wide = df.withColumns({f"_{side}": half_width(text) for side, text in sides.items()})
-    wide = wide.withColumns({f"_{side}{k}": f(f"_{side}") for side in sides for k, (_, f) in parts.items()}).drop("_s", "_t")
-    wide = wide.withColumns({f"_{side}{k}": once(F.col(f"_{side}{k}")) for side in sides for k in parts})
+    wide = wide.withColumns({f"_s{k}": f("_s") for k, (_, f) in parts.items()}).drop("_s")
+    wide = wide.withColumns({f"_s{k}": once(F.col(f"_s{k}")) for k in parts})
+    # of the target only the values count, and only of kinds that the source has
+    keys = {f"_k{k}": _keys(f("_t")) for k, (_, f) in parts.items()}
+    wide = wide.withColumns({c: v if c == "_kn" else F.when(F.size(f"_s{c[-1]}") > 0, v).otherwise(F.array().cast("array<string>")) for c, v in keys.items()}).drop("_t")
     inner = F.flatten(F.concat(*(F.transform(f"_s{k}", lambda f: F.transform(_all(f["source"], "[0-9]+(?:[,.][0-9]+)*"), lambda n: F.replace(n, F.lit(","), F.lit("")))) for k in "dpc")))
-    wide = wide.withColumns({"_inner": inner} | {f"_k{k}": _keys(F.col(f"_t{k}")) for k in parts})
+    wide = wide.withColumn("_inner", inner)
 
     def judged(kind: str, facts: Column, matched) -> Column:
         return F.transform(facts, lambda f: F.struct(F.lit(kind).alias("kind"), f["source"].alias("source"), f["normalized"].alias("normalized"), matched(f).alias("matched")))
@@ -107,4 +120,4 @@ def with_facts(df, source: str, target: str):
     fresh = F.filter("_sn", lambda f: ~F.array_contains("_inner", _value(f)))
     out.append(judged("number", fresh, lambda f: F.array_contains("_kn", f["normalized"])))
     sized = F.size("_inner") + sum((F.size(f"_k{k}") for k in parts), F.lit(0)) >= 0
-    return wide.withColumn("facts", F.when(sized, F.concat(*out))).drop("_inner", *(f"_{x}{k}" for x in "stk" for k in parts))
+    return wide.withColumn("facts", F.when(sized, F.concat(*out))).drop("_inner", *(f"_{x}{k}" for x in "sk" for k in parts))

@@ -35,9 +35,15 @@ def trim_end(x: Column | str) -> Column:
     return F.rtrim(col(x), F.lit(SPACES))
 
 
+def _is_ascii(x: Column) -> Column:
+    """One byte a character."""
+    return F.octet_length(x) == F.length(x)
+
+
 def units(x: Column | str) -> Column:
     """Length in UTF-16 units."""
-    return F.length(col(x)) + F.regexp_count(col(x), F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    t = col(x)
+    return F.when(_is_ascii(t), F.length(t)).otherwise(F.length(t) + F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]")))
 
 
 def is_blank(x: Column | str) -> Column:
@@ -50,7 +56,8 @@ def half_width(x: Column | str, space: bool = False) -> Column:
 
 
 def han_count(x: Column | str, script: str = HAN) -> Column:
-    return F.regexp_count(col(x), F.lit(script))
+    count = F.regexp_count(col(x), F.lit(script))
+    return F.when(_is_ascii(col(x)), F.lit(0)).otherwise(count) if script == HAN else count
 
 
 def is_reasonable_english(x: Column | str) -> Column:
