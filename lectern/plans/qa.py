@@ -16,11 +16,15 @@ from lectern.streaming import jobs
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 GLOSSARY = [("订单", "Order"), ("金额", "for USD"), ("元", "USD"), ("", "nothing"), ("日", " ")]
 
+#: Orders that a task checks.
+TASK_ROWS = 20_000
+
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, segment_id, source and target of every order, with defects by order number."""
-    # one small file holds all orders; their texts are costly to check, so the rows are dealt out first
-    o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    # a small file holds many orders, whose texts are costly to check: the rows are dealt out first, to as many tasks as they need
+    o = table(spark, sf_dir, "orders")
+    o = o.repartition(max(spark.sparkContext.defaultParallelism, -(-o.count() // TASK_ROWS)), "o_orderkey")
     price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
     y, m, d, key = F.year("o_orderdate").cast("string"), F.month("o_orderdate"), F.day("o_orderdate").cast("string"), F.col("o_orderkey").cast("string")
     source = F.concat(F.lit("订单"), key, F.lit("于"), y, F.lit("年"), m.cast("string"), F.lit("月"), d, F.lit("日金额"), price, F.lit("元"))
