@@ -12,6 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators import qa
 
+#: Segments of a batch that a task checks.
+TASK_ROWS = 20_000
+
+
 def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(batches)
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
@@ -56,8 +60,16 @@ def quality(segments: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def quality_writer(terms: DataFrame, index: DataFrame, give: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that gives on the report of each batch's segments; the glossary, of any size, is joined by its kept index (``qa.term_index``)."""
-    return lambda batch, batch_id: give(qa.report(batch, terms, index), batch_id)
+    """A foreachBatch writer that gives on the report of each batch's segments; a glossary too large for one broadcast row is joined by its kept index (``qa.term_index``).
+
+    A batch may be few large files: its segments are dealt out to as many tasks as they need.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tasks = max(batch.sparkSession.sparkContext.defaultParallelism, -(-batch.count() // TASK_ROWS))
+        give(qa.report(batch.repartition(tasks, "segment_id"), terms, index), batch_id)
+
+    return write
 
 
 def current(results: DataFrame, jobs: DataFrame) -> DataFrame:

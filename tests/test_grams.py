@@ -142,3 +142,13 @@ def test_csv_import(spark):
     lines = ["", "甲,A", '"乙" , "B, C"', ",none", " ", "甲,D"]
     got = rows(entities.imported(spark.createDataFrame(list(enumerate(lines)), "pos long, line string")), ["term", "gloss", "locked", "confirmed"])
     assert got == sorted([("甲", "D", True, True), ("乙", "B", True, True)], key=repr)
+
+
+def test_a_small_glossary_with_its_index_is_tested_in_rows(spark):
+    """Batches of a stream come with the index; a small glossary needs no grams of their texts."""
+    from lectern.operators import qa
+
+    g = spark.createDataFrame([("元", "usd")], "term string, gloss string")
+    s = spark.createDataFrame([(1, "1元", "1 yuan")], "segment_id int, source string, target string")
+    plan = qa.report(s, g, qa.term_index(g))._jdf.queryExecution().analyzed().toString()
+    assert "gram" not in plan
