@@ -1,9 +1,11 @@
 """Quality scores by Bradley-Terry ranking.
 
 Every document has a latent score, linear in shape features of its whole text.
-From pairs of a preferred and a rejected document the weights are learned by
-logistic loss on feature differences; the share of accepted documents among the
-labels then fixes the threshold as a quantile of the scores.
+From all pairs of a preferred and a rejected document among all labelled rows the
+weights are learned by logistic loss on feature differences, without making the
+pairs: a row's part in the loss depends on its score and on how the other class's
+scores are spread. The share of accepted documents among the labels then fixes the
+threshold as a quantile of the scores.
 
 Defined cases: null and empty texts have the features of the empty text; with
 only one class of labels (or none) every document scores 0.5; repeated rows each
@@ -13,19 +15,19 @@ get a result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_mod, sigmoid, slices
-from lectern.llm.labelled import sample
+from lectern.llm.common import crc_mod, cut, sigmoid, slices
 
-#: Labelled rows of each class the ranking is fitted on, and the longest of them.
-PER_CLASS, MAX_CHARS = 3000, 200_000
-PAIRS = 60_000
+#: Ridge, most Newton steps, and the step that ends them.
+RIDGE, STEPS, SMALL = 1e-3, 25, 1e-6
+#: Width of the bins of scores, most points at which what they give is held, and coarse bins.
+FINE, GRID, COARSE = 1 / 32, 8192, 32
 #: A score from here on counts as good.
 ACCEPT = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -88,66 +90,178 @@ def features(texts: list) -> np.ndarray:
 class Ranking:
     """Standardised features, their weights, and the score that splits good from bad."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, bad_share: float):
-        self.weights = None
-        if not (y == 1).any() or not (y == 0).any():
-            return
-        self.mean, self.sd = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = np.clip((x - self.mean) / self.sd, -8, 8)
-        z = self._crossed(z)
-        rng = np.random.default_rng(11)
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        d = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-        w = np.zeros(d.shape[1])
-        for _ in range(12):  # Newton steps on the ridge-penalised pair loss
-            p = sigmoid(d @ w)
-            g = d.T @ (p - 1) / PAIRS + 1e-3 * w
-            h = (d * (p * (1 - p))[:, None]).T @ d / PAIRS + 1e-3 * np.eye(len(w))
-            w -= np.linalg.solve(h, g)
-        self.weights = w
-        s = z @ w
-        # the classes are sampled evenly, so the quantile weights them back to their shares
-        order = np.argsort(s, kind="stable")
-        mass = np.where(y[order] == 1, (1 - bad_share) / len(good), bad_share / len(bad))
-        at = np.searchsorted(np.cumsum(mass), bad_share)
-        at = min(max(at, 1), len(s) - 1)
-        self.threshold = (s[order[at - 1]] + s[order[at]]) / 2
-        self.slope = 1.0
+    def __init__(self, mean: np.ndarray | None = None, sd: np.ndarray | None = None, weights: np.ndarray | None = None, threshold: float = 0.0):
+        self.mean, self.sd, self.weights, self.threshold = mean, sd, weights, threshold
 
     @staticmethod
     def _crossed(z: np.ndarray) -> np.ndarray:
         return np.hstack([z, np.abs(z)])
 
-    def scores(self, texts: list) -> np.ndarray:
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return self._crossed(np.clip((x - self.mean) / self.sd, -8, 8))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of features."""
         if self.weights is None:
-            return np.full(len(texts), 0.5)
-        z = np.clip((features(texts) - self.mean) / self.sd, -8, 8)
-        return sigmoid(self.slope * (self._crossed(z) @ self.weights - self.threshold) + np.log(ACCEPT / (1 - ACCEPT)))
+            return np.full(len(x), 0.5)
+        return sigmoid(self.inputs(x) @ self.weights - self.threshold + np.log(ACCEPT / (1 - ACCEPT)))
+
 
+def matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Ranking:
-    few = sample(docs, labels, "quality", folds, fold, {0: PER_CLASS, 1: PER_CLASS}, MAX_CHARS)
-    width = features([""]).shape[1]
+
+def described(docs: DataFrame, folds: int, fold: int) -> DataFrame:
+    """(doc_id, held_out, h, x): the features of every whole text, kept, and a digest that orders texts of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(features(texts)), pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "h")), pa.array(list(features(texts)), pa.list_(pa.float64()))], names=["doc_id", "held_out", "h", "x"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == fold).alias("held_out"), F.xxhash64("text").alias("h"), "text")
+    return cut(rows.mapInArrow(run, "doc_id long, held_out boolean, h long, x array<double>"))
+
+
+def summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of what ``add`` makes of labels and features of a part of the rows; a task gives one vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = add(batch.column("label").to_numpy(zero_copy_only=False), matrix(batch.column("x")))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    return matrix(rows.select("label", "x").mapInArrow(run, "v array<double>").toArrow().column("v").combine_chunks()).sum(axis=0)
+
+
+def score_rows(rows: DataFrame, model: Ranking) -> DataFrame:
+    """(label, s): the linear scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(model.inputs(matrix(batch.column("x"))) @ model.weights)], names=["label", "s"])
+
+    return rows.select("label", "x").mapInArrow(run, "label int, s double")
+
+
+def histogram(rows: DataFrame, model: Ranking) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each class the occupied bins of the scores, and how many rows each has."""
+    found = score_rows(rows, model).groupBy("label", F.floor(F.col("s") / FINE).alias("b")).agg(F.count("*").alias("n")).toPandas().sort_values("b")
+    return {k: (found.b[found.label == k].to_numpy(np.int64), found.n[found.label == k].to_numpy(np.float64)) for k in (0, 1)}
 
-    rows = few.mapInArrow(run, "label int, x array<double>").toPandas()
-    x = np.array(rows.x.tolist()).reshape(len(rows), width)
-    known = labels.where(F.col("quality").isNotNull() & (crc_mod("doc_id", folds) != fold)).agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
-    order = np.lexsort([*x.T, rows.label]) if len(rows) else []
-    return Ranking(x[order], rows.label.to_numpy()[order], known or 0.0)
+
+def against(at: np.ndarray, scores: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores ``at``, the mean chance to win against rows with the other scores, and its slope."""
+    won, slope = np.zeros(len(at)), np.zeros(len(at))
+    for i in range(0, len(scores), 256):
+        p = sigmoid(at[:, None] - scores[None, i : i + 256])
+        won += p @ n[i : i + 256]
+        slope += (p * (1 - p)) @ n[i : i + 256]
+    return won / n.sum(), slope / n.sum()
+
+
+def newton(rows: DataFrame, model: Ranking, counts: dict[int, int]) -> np.ndarray:
+    """A step on the ridge-penalised loss over all pairs of a good and a bad row.
+
+    What a row adds depends on its score and the other class's scores alone, so
+    their histogram stands for all pairs; between its bins' middles it is
+    interpolated. In the curvature, pairs are told apart by coarse bins.
+    """
+    bins = histogram(rows, model)
+    low, high = min(b[0][0] for b in bins.values()), max(b[0][-1] for b in bins.values())
+    grid = np.linspace((low - 1) * FINE, (high + 2) * FINE, int(min(high - low + 4, GRID)))
+    middle = {k: (b + 0.5) * FINE for k, (b, _) in bins.items()}
+    found = {k: against(grid, middle[1 - k], bins[1 - k][1]) for k in (0, 1)}
+    pull, curve = (found[0][0], found[1][0] - 1), (found[0][1], found[1][1])
+    edges = np.linspace(grid[0], grid[-1], COARSE + 1)
+    d = len(model.weights)
+
+    def add(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = model.inputs(x)
+        s = z @ model.weights
+        g, h, sums = np.zeros(d), np.zeros((d, d)), np.zeros((2, COARSE, d + 1))
+        for k in (0, 1):
+            own = label == k
+            zk, sk = z[own], s[own]
+            g += np.interp(sk, grid, pull[k]) @ zk / counts[k]
+            h += (zk * np.interp(sk, grid, curve[k])[:, None]).T @ zk / counts[k]
+            np.add.at(sums[k], np.clip(np.searchsorted(edges, sk, "right") - 1, 0, COARSE - 1), np.hstack([zk, np.ones((len(zk), 1))]))
+        return np.concatenate([g, h.ravel(), sums.ravel()])
+
+    total = summed(rows, add)
+    g, h, sums = total[:d] + RIDGE * model.weights, total[d : d + d * d].reshape(d, d), total[d + d * d :].reshape(2, COARSE, d + 1)
+    at = (edges[1:] + edges[:-1]) / 2
+    p = sigmoid(at[:, None] - at[None, :])
+    cross = (sums[1][:, :d].T / counts[1]) @ (p * (1 - p)) @ (sums[0][:, :d] / counts[0])
+    values, axes = np.linalg.eigh(h - cross - cross.T + RIDGE * np.eye(d))
+    return axes @ ((axes.T @ g) / np.maximum(values, RIDGE))
+
+
+def split(rows: DataFrame, model: Ranking, share: float) -> float:
+    """The score midway between the one up to which lies ``share`` of all mass, a class weighing as much as it has labels, and the next."""
+    scored = cut(score_rows(rows, model))
+    n = {r.label: r.n for r in scored.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    mass = F.sum(F.when(F.col("label") == 1, (1 - share) / n[1]).otherwise(share / n[0])).alias("mass")
+
+    def reached(part: DataFrame, width: float, before: float) -> tuple[int, float]:
+        """The first bin up to which the share is reached, and the mass before it."""
+        bins = part.groupBy(F.floor(F.col("s") / width).alias("b")).agg(mass).toPandas().sort_values("b")
+        total = before + np.cumsum(bins.mass.to_numpy())
+        at = min(int(np.searchsorted(total, share - 1e-9)), len(bins) - 1)
+        return int(bins.b.iloc[at]), float(total[at] - bins.mass.iloc[at])
+
+    b, before = reached(scored, FINE, 0.0)
+    b, _ = reached(scored.where(F.floor(F.col("s") / FINE) == b), FINE / 2**14, before)
+    own = F.floor(F.col("s") / (FINE / 2**14))
+    last, after = scored.agg(F.max(F.when(own == b, F.col("s"))), F.min(F.when(own > b, F.col("s")))).first()
+    return last if after is None else (last + after) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, kept: DataFrame | None = None) -> Ranking:
+    """The ranking of all labelled rows outside the held-out fold; ``kept`` are the features of the documents, if there are any yet.
+
+    Null ids and labels are left out, an id with two labels counts with the
+    larger, of an id with several texts the one with the smallest hash counts.
+    """
+    outside = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (crc_mod("doc_id", folds) != fold))
+    known = outside.groupBy("doc_id").agg(F.max("label").alias("label")).where(F.col("label").isin(0, 1))
+    found = (described(docs, folds, fold) if kept is None else kept).where(~F.col("held_out")).join(known, "doc_id")
+    rows = cut(found.groupBy("doc_id", "label").agg(F.min_by("x", F.struct("h", "x")).alias("x")))
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return Ranking()
+    n = sum(counts.values())
+    # sums in another order differ in their last digits: what they give is rounded
+    mean = rounded(summed(rows, lambda label, x: x.sum(axis=0)) / n)
+    sd = rounded(np.sqrt(summed(rows, lambda label, x: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-6)
+    model = Ranking(mean, sd, np.zeros(2 * len(mean)))
+    for _ in range(STEPS):
+        step = newton(rows, model, counts)
+        model.weights = np.round(model.weights - step, 9)
+        if np.abs(step).max() < SMALL:
+            break
+    share = outside.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0]
+    model.threshold = round(split(rows, model, share), 9)
+    return model
+
+
+def rounded(values: np.ndarray) -> np.ndarray:
+    return np.array([float(f"{v:.10g}") for v in values])
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, fold))
+    rows = described(docs, folds, fold)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, fold, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
-            s = model.value.scores(texts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for batch in batches:
+            if batch.num_rows:
+                s = model.value.scores(matrix(batch.column("x")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == fold).alias("held_out"), "text")
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "held_out", "x").mapInArrow(run, SCHEMA)

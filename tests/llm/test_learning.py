@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from lectern.llm import langid, secret_scan, toxicity
+from lectern.llm import langid, quality, secret_scan, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +94,18 @@ def test_an_automaton_is_a_distribution():
     every = sum(chance("".join(s)) for n in range(7) for s in itertools.product("abx", repeat=n))
     seen = sum(chance(s) for s in set(strings))
     assert every <= 1 + 1e-9 and seen > 0.6
+
+
+def test_ranking_is_learned_from_all_labelled_rows(spark):
+    """The gradient of the loss over all pairs of a good and a bad row is nothing, and the threshold is the quantile of all."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where("quality is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("text", "quality").collect()
+    z, y = model.inputs(quality.features([r.text for r in rows])), np.array([r.quality for r in rows])
+    s = z @ model.weights
+    p = 1 / (1 + np.exp(-(s[y == 1][:, None] - s[y == 0][None, :])))
+    g = ((p - 1).mean(axis=1) @ z[y == 1] / (y == 1).sum()) - ((p - 1).mean(axis=0) @ z[y == 0] / (y == 0).sum()) + quality.RIDGE * model.weights
+    assert np.abs(g).max() < 1e-5
+    order, bad = np.sort(s), (y == 0).sum()
+    assert abs(model.threshold - (order[bad - 1] + order[bad]) / 2) < 1e-6
