@@ -7,7 +7,7 @@ places and titles (organization, place, title), with ``n``, their order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import HAN, SPACE, col, is_blank, lines_of, sub, trim, units
@@ -127,17 +127,34 @@ def extract(docs: DataFrame, key: str, names: DataFrame, text: str = "text", scr
     return without_parts(first.select(key, "surface", F.get(kinds, F.col("f.rank")).alias("type")), key, least=2)
 
 
+#: Entities of a document and type that are compared in one row; more of them meet under rare grams.
+FEW_ENTITIES = 32
+
+
 def without_parts(entities: DataFrame, key: str, least: int = 1) -> DataFrame:
     """Distinct entities that no longer entity of their document and type contains; shorter ones than ``least`` are not looked for.
 
-    Surfaces may be of any length and number: they meet under rare grams.
+    Surfaces may be of any length and number. One shuffle brings a document's
+    together; where a type has few they are one row and are compared in it, where
+    it has more they stay rows that meet under rare grams.
     """
-    own = entities.select(key, "type", "surface").distinct()
-    parts = grams.inner(own, [key, "type"], "surface", least)
+    group = [key, "type"]
+    own = entities.select(*group, "surface").repartition(*group).distinct()
+    sized = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    many = F.col("_n") > FEW_ENTITIES
+    # collect_list leaves out nulls, but not structs of them
+    gathered = kept(sized.groupBy(*group, many.alias("_many"), F.when(many, F.col("surface")).alias("_own")).agg(F.collect_list(F.struct("surface")).alias("_s")).drop("_own"))
+    holds = lambda a, b: (F.length(b["surface"]) > F.length(a["surface"])) & F.contains(b["surface"], a["surface"])
+    whole = F.filter("_s", lambda a: (F.coalesce(F.length(a["surface"]), F.lit(0)) < max(least, 1)) | ~F.exists("_s", lambda b: F.coalesce(holds(a, b), F.lit(False))))
+    few = gathered.where(~F.col("_many")).select(*group, F.explode(whole).alias("_w")).select(*group, "_w.surface")
+    rest = gathered.where("_many").select(*group, F.explode("_s").alias("_w")).select(*group, "_w.surface")
+    if rest.isEmpty():
+        return few
+    parts = grams.inner(rest, group, "surface", least)
     same = F.lit(True)
-    for c in (key, "type", "surface"):
+    for c in (*group, "surface"):
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return own.alias("a").join(parts.alias("b"), same, "left_anti")
+    return few.unionByName(rest.alias("a").join(parts.alias("b"), same, "left_anti"))
 
 
 def in_order(entities: DataFrame, locale: str = "zh_Hans_CHN") -> DataFrame:

@@ -53,6 +53,17 @@ def test_parts_of_entities(spark):
         assert rows(entities.without_parts(df, "k", least)) == parts(made, least)
 
 
+def test_few_entities_are_compared_in_a_row(spark, monkeypatch):
+    """Documents with few entities shuffle no grams; with many, and beside others with few, the result is the same."""
+    rng = random.Random(4)
+    made = [(k, "x", "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))) for k in (1, 2, 3, None) for _ in range(3 * (k or 1))] + [(1, "x", None), (2, "x", "")]
+    df = spark.createDataFrame(made, "k long, type string, surface string")
+    got = entities.without_parts(df, "k")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and rows(got) == parts(made, 1)
+    monkeypatch.setattr(entities, "FEW_ENTITIES", 3)
+    assert rows(entities.without_parts(df, "k")) == parts(made, 1)
+
+
 def test_a_very_long_surface(spark):
     """A surface of 20 000 characters, and many short ones that it may hold."""
     rng = random.Random(3)
