@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPACE, col, lines_of, normal_notes, normal_page, paragraphs_of, source_lines, sub, trim, units, unix_lines
@@ -110,13 +110,18 @@ CN_NOTE = (
 CN_HEADING = rf"\A[{SPACE}]*(註釋|註解|注釋|注解|附註|附注|脚註|腳註|腳注|脚注|備註|备注|注|註|参考文献|參考文獻)[：:]?[{SPACE}]*\z"
 
 
-def _grouped(parts: DataFrame, keys: list[str], pattern: str, marker: int, content: int, between: str) -> DataFrame:
-    """Notes from parts in order: a marked part starts one, the unmarked after it belong to it."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rows = parts.withColumn("_m", F.col("part").rlike(pattern)).withColumn("note_no", F.sum(F.col("_m").cast("int")).over(w)).where("note_no > 0")
-    body = F.when(F.col("_m"), trim(F.regexp_extract("part", pattern, content))).otherwise(F.col("part"))
-    one = rows.groupBy(*keys, "note_no").agg(F.array_sort(F.collect_list(F.struct("pos", body.alias("t")))).alias("_b"), F.min_by(F.regexp_extract("part", pattern, marker), "pos").alias("marker"))
-    return one.select(*keys, "note_no", trim("marker").alias("marker"), trim(F.array_join("_b.t", between)).alias("content"))
+def _with_notes(rows: DataFrame, parts: str, pattern: str, marker: int, content: int, between: str) -> DataFrame:
+    """Adds ``notes`` (note_no, marker, content) of an array of parts: a marked part starts one, the unmarked after it belong to it."""
+    at = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(pattern), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_at", at)
+    taken = lambda i, group: trim(F.regexp_extract(F.get(parts, i), pattern, group))
+
+    def note(i: Column, n: Column) -> Column:
+        after = F.slice(parts, i + 2, F.coalesce(F.get("_at", n + 1), F.size(parts)) - i - 1)
+        return F.struct((n + 1).cast("long").alias("note_no"), taken(i, marker).alias("marker"), trim(F.array_join(F.concat(F.array(taken(i, content)), after), between)).alias("content"))
+
+    none = F.array().cast("array<struct<note_no:bigint,marker:string,content:string>>")
+    return rows.withColumn("notes", F.coalesce(F.transform("_at", note), none)).drop("_at")
 
 
 def split_notes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -139,10 +144,7 @@ def split_notes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     tail = ~by_heading & (F.size("_p") >= 3) & (F.size("_c") >= 2) & (first >= F.floor(F.size("_p") * F.lit("0.45").cast("decimal(3,2)"))) & near
     rows = rows.withColumn("_from", F.when(tail, first))
     parts = F.when(by_heading, F.col("_n")).when(F.col("_from").isNotNull(), F.slice("_p", F.col("_from") + 1, F.size("_p")))
-    notes = _grouped(rows.select(key, F.posexplode(parts).alias("pos", "part")), [key], NOTE, 1, 6, " ")
-    listed = notes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("note_no", "marker", "content"))).alias("notes"))
-    none = F.array().cast("array<struct<note_no:bigint,marker:string,content:string>>")
-    out = rows.join(listed, key, "left").withColumn("notes", F.coalesce("notes", none))
+    out = _with_notes(rows.withColumn("_parts", parts), "_parts", NOTE, 1, 6, " ")
     return out.select(key, F.when(F.col("_from").isNotNull(), F.slice("_p", F.lit(1), F.col("_from"))).otherwise(F.col("_p")).alias("body"), "notes", F.col("_t").alias("normal"))
 
 
@@ -162,18 +164,14 @@ def split_cn_notes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     what follows a note belongs to it. Else the whole text is body.
     """
     rows = docs.select(key, trim(F.coalesce(col(text), F.lit(""))).alias("_t")).withColumn("_l", source_lines("_t"))
-    lines = rows.select(key, F.size("_l").alias("_n"), F.posexplode("_l").alias("pos", "part")).withColumn("_m", F.col("part").rlike(CN_NOTE))
-    w = Window.partitionBy(key).orderBy("pos")
-    runs = lines.withColumn("_g", F.col("pos") - F.row_number().over(Window.partitionBy(key, "_m").orderBy("pos")))
-    run = runs.where("_m").groupBy(key, "_g").agg(F.min("pos").alias("s"), F.count("*").alias("k"), F.first("_n").alias("_n"))
-    by_run = run.where((F.col("k") >= 2) & (F.col("s") >= F.floor(F.col("_n") * F.lit("0.4").cast("decimal(2,1)")))).groupBy(key).agg(F.min("s").alias("_run"))
-    by_head = lines.where(F.col("part").rlike(CN_HEADING)).groupBy(key).agg(F.min("pos").alias("_head"))
-    at = rows.join(by_head, key, "left").join(by_run, key, "left").withColumn("_from", F.coalesce("_head", "_run")).where("_from > 0")
-    tail = at.select(key, "_from").join(lines, key).where("pos >= _from").where(~F.col("part").rlike(CN_HEADING)).select(key, "pos", "part")
-    notes = _grouped(tail, [key], CN_NOTE, 1, 2, "")
-    listed = notes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("note_no", "marker", "content"))).alias("notes"))
-    none = F.array().cast("array<struct<note_no:bigint,marker:string,content:string>>")
-    out = rows.join(at.select(key, "_from"), key, "left").join(listed, key, "left")
-    body = F.when(F.col("notes").isNotNull(), F.array_join(F.slice("_l", F.lit(1), F.col("_from")), "\n")).otherwise(F.col("_t"))
+    rows = rows.withColumns({"_m": F.transform("_l", lambda s: s.rlike(CN_NOTE)), "_h": F.transform("_l", lambda s: s.rlike(CN_HEADING))})
+    least = F.floor(F.size("_l") * F.lit("0.4").cast("decimal(2,1)"))
+    begins = lambda m, i: m & (i >= least) & F.coalesce(F.get("_m", i + 1), F.lit(False)) & ~F.coalesce(F.get("_m", i - 1), F.lit(False))
+    by_run = F.array_position(F.transform("_m", begins), True)
+    place = F.coalesce(F.nullif(F.array_position("_h", True), F.lit(0)), F.nullif(by_run, F.lit(0))).cast("int") - 1
+    rows = rows.withColumn("_from", F.when(place > 0, place))
+    tail = F.when(F.col("_from").isNotNull(), F.filter("_l", lambda s, i: (i >= F.col("_from")) & ~F.get("_h", i)))
+    out = _with_notes(rows.withColumn("_parts", tail), "_parts", CN_NOTE, 1, 2, "")
+    body = F.when(F.size("notes") > 0, F.array_join(F.slice("_l", F.lit(1), F.col("_from")), "\n")).otherwise(F.col("_t"))
     paragraphs = F.filter(F.transform(F.split(sub(unix_lines("_body"), r"\n{3,}", "\n\n"), rf"\n[{SPACE}]*\n", -1), trim), lambda s: s != "")
-    return out.withColumn("_body", body).select(key, paragraphs.alias("body"), F.coalesce("notes", none).alias("notes"))
+    return out.withColumn("_body", body).select(key, paragraphs.alias("body"), "notes")

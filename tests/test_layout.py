@@ -151,3 +151,13 @@ def test_references_cut_off_in_pages(spark):
     h = "<p>a&amp;b&amp</p><p>&am</p><p>&copy &#65; &#65 &x1;</p>"
     assert [r.text for r in files.html_pages(spark.createDataFrame([(1, h)], "k int, html string"), ["k"]).collect()] == ["a&b&amp\n\n&am\n\n&copy A &#65 &x1;"]
     assert files.html_text("a&amp</p>") == "a&\n"
+
+
+def test_notes_are_found_in_rows(spark):
+    """No shuffle for notes, whatever the key."""
+    made = [(1, "甲\n註釋：\n①乙\n丙\n注2 丁"), (None, "甲\n乙\n1.丙\n2.丁\n戊"), (3, "甲\n①乙")]
+    df = spark.createDataFrame(made, "id int, text string")
+    for split, want in ((layout.split_cn_notes(df, "id"), [["乙丙", "丁"], ["丙", "丁戊"], []]), (layout.split_notes(df, "id"), None)):
+        assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+        if want:
+            assert [[n.content for n in r.notes] for r in split.collect()] == want
