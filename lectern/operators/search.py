@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions.text import col
 
@@ -32,22 +36,53 @@ def highlight(text: Column | str, query: str) -> Column:
 
 #: Characters of an index's grams, folders that its postings are dealt to, and tasks that write one.
 GRAM, BUCKETS, SPREAD = 3, 64, 8
+#: Characters whose grams are put in order at once.
+PIECE = 1 << 20
+
+
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages with their text last: the other columns, each gram of a piece of the text, and its positions."""
+    for batch in batches:
+        keys = pa.Table.from_batches([batch]).drop_columns([batch.schema.names[-1]])
+        made, held = [], 0
+        for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            for begin in range(0, len(text) - GRAM + 1, PIECE):
+                codes = np.frombuffer(text[begin : begin + PIECE + GRAM - 1].encode("utf-32-le", "replace"), np.uint32)
+                n = len(codes) - GRAM + 1
+                key = sum(codes[k : n + k].astype(np.uint64) << np.uint64(21 * (GRAM - 1 - k)) for k in range(GRAM))
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+                letters = codes[order[first][:, None] + np.arange(GRAM)].tobytes().decode("utf-32-le")
+                made.append((row, [letters[k : k + GRAM] for k in range(0, len(letters), GRAM)], np.diff(first, append=n), order + begin))
+                held += n
+                if held >= PIECE:
+                    yield posted(keys, made)
+                    made, held = [], 0
+        if made:
+            yield posted(keys, made)
+
+
+def posted(keys: pa.Table, made: list) -> pa.RecordBatch:
+    pages = keys.take(pa.array(np.repeat([m[0] for m in made], [len(m[1]) for m in made]))).combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([m[2] for m in made]))]).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([m[3] for m in made]).astype(np.int32)))
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in pages.columns]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([g for m in made for g in m[1]]), places], names=[*keys.column_names, "gram", "positions"])
 
 
 def write_index(pages: DataFrame, by: list[str], folder: str, buckets: int = BUCKETS) -> None:
-    """Postings of both sides of pages: (side, by, page_number, gram, position), in folders by the gram's hash, sorted by gram.
+    """Postings of both sides of pages: (side, by, page_number, gram, positions), in folders by the gram's hash, sorted by gram.
 
-    A gram is GRAM characters of the lower-cased text; positions count from 0.
+    A gram is GRAM characters of the lower-cased text; positions count from 0. A
+    page has a row for each gram that it holds, a long one for each piece of it.
     """
     sides = None
     for rank, (side, text) in enumerate((("source", "source"), ("translation", "target"))):
-        one = pages.select(*by, "page_number", F.lit(side).alias("side"), F.lit(rank).alias("side_rank"), F.split(F.lower(F.coalesce(col(text), F.lit(""))), "").alias("_c"))
+        one = pages.select(*by, "page_number", F.lit(side).alias("side"), F.lit(rank).alias("side_rank"), F.lower(F.coalesce(col(text), F.lit(""))).alias("_c"))
         sides = one if sides is None else sides.unionByName(one)
-    follow = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
-    shifted = lambda n: F.slice("_c", n + 1, F.greatest(F.size("_c") - n, F.lit(0)))
-    grams = follow(follow(F.col("_c"), shifted(1)), shifted(2))
-    # explode_outer: a filter behind explode would compute the grams once more
-    rows = sides.select(*by, "page_number", "side", "side_rank", F.posexplode_outer(grams).alias("position", "gram")).where("gram is not null").withColumn("bucket", bucket(F.col("gram"), buckets))
+    schema = StructType([*(f for f in sides.schema if f.name != "_c"), StructField("gram", StringType()), StructField("positions", ArrayType(IntegerType()))])
+    rows = sides.mapInArrow(postings, schema).withColumn("bucket", bucket(F.col("gram"), buckets))
     # a bucket is dealt to several tasks by page, so that a frequent gram is not one task's
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64(*by, "page_number"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
@@ -75,6 +110,7 @@ def indexed_matches(spark: SparkSession, folder: str, by: list[str], query: str,
     # a gram that stands at several offsets counts for each
     shifts = F.create_map(*(x for g in wanted for x in (F.lit(g), F.array(*(F.lit(o) for o in offsets if q[o : o + GRAM] == g)))))
     page = [*by, "page_number", "side", "side_rank"]
+    rows = rows.select(*page, "gram", F.explode("positions").alias("position"))
     each = rows.select(*page, "position", F.explode(F.element_at(shifts, F.col("gram"))).alias("_o")).select(*page, (F.col("position") - F.col("_o")).alias("_p"))
     whole = each.groupBy(*page, "_p").agg(F.count("*").alias("_n")).where(F.col("_n") == len(offsets))
     counted = whole.groupBy(*page).agg(F.array_sort(F.collect_list("_p")).alias("_m"))

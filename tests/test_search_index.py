@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,18 @@ def test_index(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
+def test_an_index_has_a_row_for_a_gram_of_a_page(spark, tmp_path, monkeypatch):
+    """Not one for each place; a long text is worked on in pieces."""
+    pages = spark.createDataFrame([("d", 1, "abcabcabcabc", "😀x😀x"), ("d", 2, "ab", None)], "doc string, page_number long, source string, target string")
+    search.write_index(pages, ["doc"], f"file://{tmp_path}/index", buckets=3)
+    got = spark.read.parquet(f"file://{tmp_path}/index").select("page_number", "side", "gram", "positions")
+    assert rows(got) == [(1, "source", "abc", [0, 3, 6, 9]), (1, "source", "bca", [1, 4, 7]), (1, "source", "cab", [2, 5, 8]), (1, "translation", "x😀x", [1]), (1, "translation", "😀x😀", [0])]
+    monkeypatch.setattr(search, "PIECE", 4)
+    batch = pa.RecordBatch.from_pydict({"k": [7], "c": ["abcabcabcabc"]})
+    cut = sorted((g, p) for b in search.postings([batch]) for g, ps in zip(b["gram"].to_pylist(), b["positions"].to_pylist()) for p in ps)
+    assert cut == sorted(("abcabcabcabc"[i : i + 3], i) for i in range(10))
+
+
 def found(lines, words):
     return sorted((n, at + 1, w) for n, line in lines for w in words for at in range(len(line)) if line.startswith(w, at))
 
