@@ -18,6 +18,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from lectern.llm.common import crc_mod, cut, sigmoid, slices
 RIDGE, STEPS, SMALL = 1e-3, 25, 1e-6
 #: Width of the bins of scores, most points at which what they give is held, and coarse bins.
 FINE, GRID, COARSE = 1 / 32, 8192, 32
+#: Labelled rows of a task of the fit: every step reads all of them again.
+TASK_ROWS = 20_000
 #: A score from here on counts as good.
 ACCEPT = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -149,11 +152,31 @@ def score_rows(rows: DataFrame, model: Ranking) -> DataFrame:
 
 
 def histogram(rows: DataFrame, model: Ranking) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of each class the occupied bins of the scores, and how many rows each has."""
-    found = score_rows(rows, model).groupBy("label", F.floor(F.col("s") / FINE).alias("b")).agg(F.count("*").alias("n")).toPandas().sort_values("b")
+    """Of each class the bins of the scores, and how many rows each has.
+
+    A row counts for the two bins whose middles are next to its score, by how near
+    they are: so counts change smoothly with the weights, and the steps converge.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, at = batch.column("label").to_numpy(zero_copy_only=False), model.inputs(matrix(batch.column("x"))) @ model.weights / FINE - 0.5
+            low = np.floor(at)
+            for k in (0, 1):
+                own = label == k
+                bins, place = np.unique(np.concatenate([low[own], low[own] + 1]).astype(np.int64), return_inverse=True)
+                n = np.bincount(place, np.concatenate([1 - (at - low)[own], (at - low)[own]]), len(bins))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), k, np.int32)), pa.array(bins), pa.array(n)], names=["label", "b", "n"])
+
+    found = few(rows.select("label", "x").mapInArrow(run, "label int, b long, n double").groupBy("label", "b").agg(F.sum("n").alias("n"))).sort_values("b")
     return {k: (found.b[found.label == k].to_numpy(np.int64), found.n[found.label == k].to_numpy(np.float64)) for k in (0, 1)}
 
 
+def few(groups: DataFrame) -> pd.DataFrame:
+    """Groups that are few by construction; one task ends them, however many the shuffle makes."""
+    return groups.coalesce(1).toPandas()
+
+
 def against(at: np.ndarray, scores: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of scores ``at``, the mean chance to win against rows with the other scores, and its slope."""
     won, slope = np.zeros(len(at)), np.zeros(len(at))
@@ -201,15 +224,14 @@ def newton(rows: DataFrame, model: Ranking, counts: dict[int, int]) -> np.ndarra
     return axes @ ((axes.T @ g) / np.maximum(values, RIDGE))
 
 
-def split(rows: DataFrame, model: Ranking, share: float) -> float:
+def split(rows: DataFrame, model: Ranking, share: float, n: dict[int, int]) -> float:
     """The score midway between the one up to which lies ``share`` of all mass, a class weighing as much as it has labels, and the next."""
     scored = cut(score_rows(rows, model))
-    n = {r.label: r.n for r in scored.groupBy("label").agg(F.count("*").alias("n")).collect()}
     mass = F.sum(F.when(F.col("label") == 1, (1 - share) / n[1]).otherwise(share / n[0])).alias("mass")
 
     def reached(part: DataFrame, width: float, before: float) -> tuple[int, float]:
         """The first bin up to which the share is reached, and the mass before it."""
-        bins = part.groupBy(F.floor(F.col("s") / width).alias("b")).agg(mass).toPandas().sort_values("b")
+        bins = few(part.groupBy(F.floor(F.col("s") / width).alias("b")).agg(mass)).sort_values("b")
         total = before + np.cumsum(bins.mass.to_numpy())
         at = min(int(np.searchsorted(total, share - 1e-9)), len(bins) - 1)
         return int(bins.b.iloc[at]), float(total[at] - bins.mass.iloc[at])
@@ -230,8 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, kept:
     outside = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (crc_mod("doc_id", folds) != fold))
     known = outside.groupBy("doc_id").agg(F.max("label").alias("label")).where(F.col("label").isin(0, 1))
     found = (described(docs, folds, fold) if kept is None else kept).where(~F.col("held_out")).join(known, "doc_id")
-    rows = cut(found.groupBy("doc_id", "label").agg(F.min_by("x", F.struct("h", "x")).alias("x")))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labelled, share = outside.agg(F.count("*"), F.avg((F.col("label") == 0).cast("double"))).first()
+    rows = cut(found.groupBy("doc_id", "label").agg(F.min_by("x", F.struct("h", "x")).alias("x")).coalesce(max(1, -(-labelled // TASK_ROWS))))
+    counts = {r.label: r.n for r in few(rows.groupBy("label").agg(F.count("*").alias("n"))).itertuples()}
     if len(counts) < 2:
         return Ranking()
     n = sum(counts.values())
@@ -244,8 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, kept:
         model.weights = np.round(model.weights - step, 9)
         if np.abs(step).max() < SMALL:
             break
-    share = outside.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0]
-    model.threshold = round(split(rows, model, share), 9)
+    model.threshold = round(split(rows, model, share, counts), 9)
     return model
 
 

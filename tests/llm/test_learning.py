@@ -109,3 +109,25 @@ def test_ranking_is_learned_from_all_labelled_rows(spark):
     assert np.abs(g).max() < 1e-5
     order, bad = np.sort(s), (y == 0).sum()
     assert abs(model.threshold - (order[bad - 1] + order[bad]) / 2) < 1e-6
+
+
+def test_steps_of_the_ranking_converge_and_take_tasks_by_rows(spark, monkeypatch):
+    """However many partitions a shuffle makes, a step has a task for so many rows, and the steps end before their limit."""
+    sf = SF.replace("0.001", "0.01")
+    taken, newton = [], quality.newton
+
+    def step(rows, model, counts):
+        taken.append(rows.rdd.getNumPartitions())
+        return newton(rows, model, counts)
+
+    monkeypatch.setattr(quality, "newton", step)
+    settings = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        quality.fit(*(spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(taken) == {1} and len(taken) < quality.STEPS
