@@ -42,8 +42,13 @@ def look_up(segments: DataFrame, memory: DataFrame) -> DataFrame:
 
 def upsert(memory: DataFrame, new: DataFrame) -> DataFrame:
     """Memory after new records: of each key the last written; blank targets are not written."""
-    both = memory.unionByName(new.where(~is_blank("target"))).withColumn("source", memory_source("source"))
-    keys = ["source", "domain", "signature"]
+    return last_written(memory.unionByName(new.where(~is_blank("target"))))
+
+
+def last_written(records: DataFrame, parted: list[str] = []) -> DataFrame:  # noqa: B006
+    """Of each key the record last written; rows that lie together by ``parted``, columns that the key determines, are not shuffled."""
+    both = records.withColumn("source", memory_source("source"))
+    keys = [*parted, "source", "domain", "signature"]
     rest = [c for c in both.columns if c not in (*keys, "updated_at")]
     last = F.max_by(F.struct("updated_at", *rest), F.struct("updated_at", "target")).alias("r")
     return both.groupBy(*keys).agg(last).select(*keys, "r.*")
@@ -64,7 +69,7 @@ def history_entries(segments: DataFrame, keys: list[str], label: Column, unit: s
 
 
 def newest(history: DataFrame, by: list[str], keep: int = KEEP, id_column: str = "id") -> DataFrame:
-    """Of each id the newest entry, and of those the newest so many."""
+    """Of each id the newest entry, and of those the newest so many; ``by`` may hold columns that the others determine."""
     once = Window.partitionBy(*by, id_column).orderBy(F.desc("saved_at"))
     rank = Window.partitionBy(*by).orderBy(F.desc("saved_at"), F.desc(id_column))
     current = history.withColumn("_n", F.row_number().over(once)).where("_n = 1")

@@ -53,7 +53,7 @@ def kept_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = memory_table(spark, f"{shared_folder(spark).rstrip('/')}/kept-memory-{uuid.uuid4().hex}", fan=2)
     halves = [new.where((F.col("doc_id") % 2 == k)).drop("doc_id") for k in (0, 1)]
     for batch, rows in enumerate((memory(spark, sf_dir), *halves, halves[1])):
-        kept.write(rows, min(batch, 2))
+        kept.write(rows, min(batch, 2), few=batch == 0)
     return kept.read().select(F.md5(F.col("source").cast("binary")).alias("source_md5"), "domain", "target")
 
 

@@ -40,9 +40,12 @@ class Manifest:
 
 
 class KeptTable:
-    """Rows by key, of which ``newest`` keeps what counts; it must give the same for parts and for their union."""
+    """Rows by key, of which ``newest`` keeps what counts; it must give the same for parts and for their union.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[Column | str], newest: Callable[[DataFrame], DataFrame], fan: int = FAN, kept: int = KEPT, seconds: int = SECONDS):
+    It is also given the columns by which equal keys lie together already, and need not be shuffled.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[Column | str], newest: Callable[[DataFrame, list[str]], DataFrame], fan: int = FAN, kept: int = KEPT, seconds: int = SECONDS):
         self.spark, self.path, self.keys, self.newest, self.fan, self.kept, self.seconds = spark, path.rstrip("/"), keys, newest, fan, kept, seconds
         self.at = spark._jvm.org.apache.hadoop.fs.Path
         self.store = self.at(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -87,22 +90,28 @@ class KeptTable:
                 self.store.delete(self.at(f"{self.path}/runs/{name}"), True)
 
     def _write(self, rows: DataFrame, name: str, level: int) -> dict | None:
-        """A run of the rows, its files ranges of the hash and about as large as adaptive execution makes partitions."""
+        """A run of what counts of the rows, its files ranges of the hash and about as large as adaptive execution makes partitions.
+
+        The rows are shuffled once; a key should come few times.
+        """
         folder = f"{self.path}/runs/{name}"
         keyed = rows.withColumn(SLOT, F.xxhash64(*self.keys))
-        keyed.repartitionByRange(SLOT).sortWithinPartitions(SLOT).write.mode("overwrite").parquet(folder)
+        self.newest(keyed.repartitionByRange(SLOT), [SLOT]).sortWithinPartitions(SLOT).write.mode("overwrite").option("compression", "zstd").parquet(folder)
         sizes = {s.getPath().getName(): s.getLen() for s in self._list(f"runs/{name}")}
         file = F.element_at(F.split(F.input_file_name(), "/"), -1)
         bounds = self.spark.read.parquet(folder).groupBy(file.alias("file")).agg(F.min(SLOT).alias("low"), F.max(SLOT).alias("high"), F.count("*").alias("rows")).orderBy("low").collect()
         files = [{"file": r.file, "low": r.low, "high": r.high, "rows": r["rows"], "bytes": sizes[r.file]} for r in bounds]
         return {"name": name, "level": level, "rows": sum(f["rows"] for f in files), "bytes": sum(f["bytes"] for f in files), "files": files} if files else None
 
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        """A foreachBatch writer; a batch that has been applied changes nothing."""
+    def write(self, batch: DataFrame, batch_id: int, few: bool = False) -> None:
+        """A foreachBatch writer; a batch that has been applied changes nothing.
+
+        Unless it is said that ``few`` rows share a key, they are first made fewer where they lie.
+        """
         now = self.manifest()
         if batch_id <= now.batch:
             return
-        run = self._write(self.newest(batch), f"{now.number + 1:012d}-0", 0)
+        run = self._write(batch if few else self.newest(batch, []), f"{now.number + 1:012d}-0", 0)
         self._commit(Manifest(now.number + 1, batch_id, now.runs + ([run] if run else [])))
         while self.compact():
             pass
@@ -115,7 +124,7 @@ class KeptTable:
         if full is None:
             return False
         own = [r for r in now.runs if r["level"] == full]
-        run = self._write(self.newest(self._rows(own)), f"{now.number + 1:012d}-{full + 1}", full + 1)
+        run = self._write(self._rows(own), f"{now.number + 1:012d}-{full + 1}", full + 1)
         self._commit(Manifest(now.number + 1, now.batch, [*([run] if run else []), *(r for r in now.runs if r not in own)]))
         return True
 
@@ -125,22 +134,23 @@ class KeptTable:
 
     def read(self, manifest: Manifest | None = None) -> DataFrame | None:
         """The whole table, or None before its first row."""
-        rows = self._rows((manifest or self.manifest()).runs)
-        return None if rows is None else self.newest(rows)
+        runs = (manifest or self.manifest()).runs
+        rows = self._rows(runs)
+        return rows if len(runs) < 2 else self.newest(rows, [])
 
     def read_key(self, *values) -> DataFrame | None:
         """The rows of one key, from the files whose range holds it."""
         slot = self.spark.range(1).select(F.xxhash64(*values)).first()[0]
         rows = self._rows(self.manifest().runs, slot, slot)
-        return None if rows is None else self.newest(rows.where(F.xxhash64(*self.keys) == slot))
+        return None if rows is None else self.newest(rows.where(F.xxhash64(*self.keys) == slot), [])
 
 
 def memory_table(spark: SparkSession, path: str, **how) -> KeptTable:
     """Translation memory: of each key the last non-blank result."""
     keys = [memory.memory_source("source"), "domain", "signature"]
-    return KeptTable(spark, path, keys, lambda rows: memory.upsert(rows.where(~is_blank("target")), rows.limit(0)), **how)
+    return KeptTable(spark, path, keys, lambda rows, parted: memory.last_written(rows.where(~is_blank("target")), parted), **how)
 
 
 def history_table(spark: SparkSession, path: str, by: list[str], keep: int = memory.KEEP, **how) -> KeptTable:
     """History: of each id the newest entry, and the newest so many of those that share ``by``."""
-    return KeptTable(spark, path, by, lambda rows: memory.newest(rows, by, keep), **how)
+    return KeptTable(spark, path, by, lambda rows, parted: memory.newest(rows, [*parted, *by], keep), **how)

@@ -70,6 +70,24 @@ def test_a_batch_costs_what_it_brings(spark, tmp_path):
     assert t.read().count() == 400_000
 
 
+def test_a_run_is_shuffled_once(spark, tmp_path):
+    """What a run keeps is found where its range lies: in batches whose keys come few times, in compaction, and for history too."""
+    one, two = [("a", "d", "", "x", 1), ("b", "d", "", "y", 2)], [(" a", "d", "", "z", 3), ("c", "d", "", " ", 4)]
+    kept = tables.memory_table(spark, f"file://{tmp_path}/memory", fan=2)
+    history = tables.history_table(spark, f"file://{tmp_path}/history", ["user"], fan=2)
+    entries = spark.sql("SELECT concat('u', id % 2) AS user, concat('i', id % 30) AS id, timestamp_seconds(id) AS saved_at FROM range(60)")
+    for t, batches in ((kept, [records(spark, one), records(spark, two)]), (history, [entries.where("id < 'i2'"), entries])):
+        plans, newest = [], t.newest
+        t.newest = lambda rows, parted, newest=newest, plans=plans: (out := newest(rows, parted), plans.append(out._jdf.queryExecution().executedPlan().toString()))[0]
+        for b, rows_ in enumerate(batches):
+            t.write(rows_, b, few=True)
+        assert len(plans) == 3 and all(p.count("Exchange") == 1 for p in plans)
+        t.read()  # one run: nothing to find out
+        assert len(plans) == 3
+    assert rows(kept.read(), ["source", "target"]) == [("a", "z"), ("b", "y")]
+    assert {r.saved_at.timestamp() for r in history.read().collect()} == {float(i) for i in range(30, 60)}
+
+
 def test_a_crash_before_the_manifest(spark, tmp_path):
     """A run that no manifest lists is not read and is written over."""
     t = tables.memory_table(spark, f"file://{tmp_path}/memory")
