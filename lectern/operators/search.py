@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from lectern.functions.text import col
 
@@ -76,6 +79,8 @@ def write_index(pages: DataFrame, by: list[str], folder: str, buckets: int = BUC
 
     A gram is GRAM characters of the lower-cased text; positions count from 0. A
     page has a row for each gram that it holds, a long one for each piece of it.
+    Plain SQL reads these rows, but all of them are shuffled; for large tables
+    ``write_blocks`` writes half as much and shuffles nothing.
     """
     sides = None
     for rank, (side, text) in enumerate((("source", "source"), ("translation", "target"))):
@@ -118,3 +123,173 @@ def indexed_matches(spark: SparkSession, folder: str, by: list[str], query: str,
     apart = F.aggregate("_m", start, lambda a, p: F.when(p >= a["last"] + len(q), F.struct(p.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
     counted = counted.withColumn("n", apart)
     return counted.select(*by, "page_number", "side", "side_rank", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("occurrence"))
+
+
+#: Characters of a block, whose pages share their rows of grams; a longer page is a block of several pieces.
+BLOCK = 1 << 20
+#: The folder of the blocks' pages.
+PAGES = -1
+
+
+def write_blocks(pages: DataFrame, by: list[str], folder: str, buckets: int = BUCKETS, size: int = BLOCK) -> None:
+    """Postings of both sides of pages, for ``block_matches``: (block, begin, gram, places), and (block, start, page) in a folder of its own.
+
+    The texts of a block stand one after another with a character between them,
+    so that a place is one number for page and position. A block has a row for
+    each gram that it holds. Blocks are made where their pages are read and put
+    in folders by the gram's hash there: nothing is shuffled.
+    """
+    texts = [F.lower(F.coalesce(col(t), F.lit(""))).alias(f"_{t}") for t in ("source", "target")]
+    own = pages.select(*by, "page_number", *texts)
+    page = StructType([*own.schema.fields[:-2], StructField("side", StringType()), StructField("side_rank", IntegerType())])
+    schema = StructType([StructField("block", LongType()), StructField("begin", IntegerType()), StructField("gram", StringType()), StructField("places", BinaryType()), StructField("start", IntegerType()), StructField("page", page)])
+    rows = own.mapInArrow(partial(blocks, size=size), schema)
+    # a row of no block: without any, an index of no pages could not be read
+    rows = rows.unionByName(pages.sparkSession.range(0, 1, 1, 1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema)))
+    dealt = rows.withColumn("bucket", F.when(F.col("gram").isNull(), PAGES).otherwise(bucket(F.col("gram"), buckets)))
+    dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``write_blocks``, of pages with their lower-cased source and translation last."""
+    number, length, texts, pages = TaskContext.get().partitionId() << 32, 0, [], []
+    for batch in batches:
+        keys = batch.select(range(batch.num_columns - 2))
+        kind = pa.struct([*keys.schema, pa.field("side", pa.string()), pa.field("side_rank", pa.int32())])
+        rows = keys.to_pylist()
+        for rank, side in enumerate(("source", "translation")):
+            for row, text in zip(rows, batch.column(keys.num_columns + rank).to_pylist()):
+                if len(text) < GRAM:
+                    continue
+                if texts and length + len(text) >= size:
+                    yield from block(number, texts, pa.array(pages, kind), size)
+                    number, length, texts, pages = number + 1, 0, [], []
+                texts.append(text)
+                pages.append(row | {"side": side, "side_rank": rank})
+                length += len(text) + 1
+    if texts:
+        yield from block(number, texts, pa.array(pages, kind), size)
+
+
+def block(number: int, texts: list[str], pages: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("block", pa.int64()), ("begin", pa.int32()), ("gram", pa.string()), ("places", pa.binary()), ("start", pa.int32()), ("page", pages.type)])
+    rows = lambda n, **given: pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(given.get(f.name, pa.nulls(n, f.type)) for f in list(schema)[1:])], schema=schema)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    yield rows(len(pages), start=pa.array(starts[:-1].astype(np.int32)), page=pages)
+    text = "\0".join([*texts, ""])
+    # no gram of a page begins at its last characters or between it and the next
+    ends = (starts[1:, None] - np.arange(1, GRAM + 1)).ravel()
+    for begin in range(0, len(text) - GRAM, size):
+        codes = np.frombuffer(text[begin : begin + size + GRAM - 1].encode("utf-32-le", "replace"), np.uint32)
+        whole = np.ones(len(codes) - GRAM + 1, bool)
+        whole[ends[(ends >= begin) & (ends < begin + len(whole))] - begin] = False
+        places, first = in_order(codes, np.flatnonzero(whole))
+        if len(places):
+            letters = codes[places[first][:, None] + np.arange(GRAM)].tobytes().decode("utf-32-le")
+            steps = np.diff(places, prepend=0)
+            steps[first] = places[first]
+            yield rows(len(first), begin=pa.array(np.full(len(first), begin, np.int32)), gram=pa.array([letters[k : k + GRAM] for k in range(0, len(letters), GRAM)]), places=packed(steps, first))
+
+
+def in_order(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places by the gram that stands there and then by place, and where each gram's begin.
+
+    Few letters are numbered so that gram and place fit one number, which sorts several times as fast.
+    """
+    letters = np.flatnonzero(np.bincount(codes))
+    wide, far = len(letters).bit_length(), len(codes).bit_length()
+    if GRAM * wide + far <= 64:
+        rank = np.zeros(letters[-1] + 1, np.uint64)
+        rank[letters] = np.arange(len(letters))
+        codes = rank[codes]
+    else:
+        wide = 64 // GRAM
+    key = sum(codes[places + k].astype(np.uint64) << np.uint64(wide * (GRAM - 1 - k)) for k in range(GRAM))
+    if GRAM * wide + far <= 64:
+        key = np.sort(key << np.uint64(far) | places.astype(np.uint64))
+        places, key = (key & np.uint64((1 << far) - 1)).astype(np.int64), key >> np.uint64(far)
+    else:
+        order = np.argsort(key, kind="stable")
+        places, key = places[order], key[order]
+    return places, np.flatnonzero(np.diff(key, prepend=~key[:1]))
+
+
+def packed(steps: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Steps as bytes of seven bits, the last of each with the eighth set; a value for each gram."""
+    width = np.ones(len(steps), np.int64)
+    for k in range(1, 5):
+        width += steps >= 1 << 7 * k
+    ends = np.cumsum(width)
+    data = np.zeros(ends[-1], np.uint8)
+    data[ends - 1] = steps & 127 | 128
+    for k in range(1, width.max()):
+        long = width > k
+        data[ends[long] - 1 - k] = steps[long] >> 7 * k & 127
+    limits = np.append((ends - width)[first], ends[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(limits), pa.py_buffer(data)])
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    """The places whose steps ``packed`` holds."""
+    data = np.frombuffer(value, np.uint8)
+    last = np.flatnonzero(data > 127)
+    width, low = np.diff(last, prepend=-1), (data & 127).astype(np.int64)
+    steps = low[last]
+    for k in range(1, width.max(initial=0)):
+        long = width > k
+        steps[long] += low[last[long] - k] << 7 * k
+    return np.cumsum(steps)
+
+
+def covering(q: str) -> list[int]:
+    """Offsets of grams that cover a query: every GRAM-th, and the last one."""
+    return sorted({*range(0, len(q) - GRAM + 1, GRAM), len(q) - GRAM})
+
+
+def block_matches(spark: SparkSession, folder: str, queries: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``matches`` of all queries, each with its query, by the postings of ``write_blocks``; only the buckets of the queries' grams are read.
+
+    A block's few rows meet in one group, of places and pages of one block at
+    most. A page holds a query where grams that cover it stand at their
+    distances. Rows of equal keys are pages of their own, as in ``matches``.
+    """
+    sought = {q: q.strip().lower() for q in queries}
+    if any(len(q) < GRAM for q in sought.values()):
+        raise ValueError(f"an index finds queries of {GRAM} characters or more")
+    wanted = sorted({q[o : o + GRAM] for q in sought.values() for o in covering(q)})
+    slots = sorted({r[0] for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(bucket(F.col("g"), buckets)).collect()})
+    index = spark.read.parquet(folder)
+    grams = index.where(F.col("bucket").isin(slots) & F.col("gram").isin(wanted)).select("block", "begin", "gram", "places")
+    pages = index.where((F.col("bucket") == PAGES) & F.col("block").isNotNull()).select("block", "start", "page")
+    schema = StructType([StructField("query", StringType()), pages.schema["page"], StructField("n", IntegerType())])
+    counted = grams.groupBy("block").cogroup(pages.groupBy("block")).applyInArrow(partial(counted_in_block, sought=sought), schema)
+    return counted.select("query", "page.*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("occurrence"))
+
+
+def counted_in_block(grams: pa.Table, pages: pa.Table, sought: dict[str, str]) -> pa.Table:
+    """Non-overlapping places of each query in each page of a block."""
+    pieces = defaultdict(list)
+    for row in grams.sort_by("begin").to_pylist():
+        pieces[row["gram"]].append(row["begin"] + unpacked(row["places"]))
+    places = {g: np.concatenate(p) for g, p in pieces.items()}
+    pages = pages.sort_by("start")
+    starts, found = pages["start"].to_numpy(), []
+    for query, q in sought.items():
+        hits = None
+        for o in covering(q):
+            at = places.get(q[o : o + GRAM], np.empty(0, np.int64)) - o
+            hits = at if hits is None else np.intersect1d(hits, at, assume_unique=True)
+        rows, n = np.unique(np.searchsorted(starts, apart(hits, len(q)), "right") - 1, return_counts=True)
+        found.append(pa.table({"query": pa.array([query] * len(rows), pa.string()), "page": pages["page"].take(pa.array(rows)), "n": pa.array(n.astype(np.int32))}))
+    return pa.concat_tables(found)
+
+
+def apart(places: np.ndarray, width: int) -> np.ndarray:
+    """Places, in order, that do not overlap one that counts before them."""
+    if not (np.diff(places) < width).any():
+        return places
+    after, kept, at = np.searchsorted(places, places + width), [], 0
+    while at < len(places):
+        kept.append(at)
+        at = after[at]
+    return places[kept]

@@ -111,16 +111,12 @@ SOUGHT = ["the", "and the", "ing t", "aaaa", "because of", "zzzyx", "tion", "e t
 @query(f"""WITH q AS (SELECT unnest({SOUGHT}) AS query), x AS (SELECT source AS doc, doc_id AS page_number, 'source' AS side, 0 AS side_rank, lower(coalesce(text, '')) AS t FROM documents UNION ALL SELECT source, doc_id, 'translation', 1, lower(lang || ' the ' || source) FROM documents)
 SELECT query, doc, page_number, side, side_rank, unnest(range(0, (length(t) - length(replace(t, query, ''))) // length(query))) AS occurrence FROM x, q WHERE contains(t, query)""")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place of ten queries, found by a written index of trigrams and their positions."""
+    """Every place of ten queries, found by a written index of trigrams and their places in blocks of pages."""
     d = documents(spark, sf_dir)
     pages = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number"), F.col("text").alias("source"), F.concat("lang", F.lit(" the "), "source").alias("target"))
     folder = f"{shared_folder(spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
-    S.write_index(pages, ["doc"], folder)
-    out = None
-    for q in SOUGHT:
-        one = S.indexed_matches(spark, folder, ["doc"], q).select(F.lit(q).alias("query"), "doc", "page_number", "side", "side_rank", F.col("occurrence").cast("long").alias("occurrence"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    S.write_blocks(pages, ["doc"], folder)
+    return S.block_matches(spark, folder, SOUGHT).withColumn("occurrence", F.col("occurrence").cast("long"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '(?i)the', '<mark>\\0</mark>', 'g') AS text FROM documents")

@@ -1,12 +1,18 @@
 """Search by a positional index, and dictionaries walked as tries, against plain loops."""
 
+import functools
+import glob
+import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lectern.operators import entities, search
+from lectern.plans import entities as plans
 
 
 def rows(df):
@@ -41,6 +47,54 @@ def test_an_index_has_a_row_for_a_gram_of_a_page(spark, tmp_path, monkeypatch):
     assert cut == sorted(("abcabcabcabc"[i : i + 3], i) for i in range(10))
 
 
+def test_blocks(spark, tmp_path):
+    """Pages of equal keys, long pages in pieces, characters that stand between pages, and any size of block."""
+    rng = random.Random(4)
+    text = lambda most: "".join(rng.choice("abAB 中😀\0") for _ in range(rng.randint(0, most)))
+    made = [(rng.choice(["d", "e", None]), i // 2, text(60), text(60)) for i in range(150)]
+    made += [("d", 900, None, "a" * 700), ("e", 901, "", None), ("f", None, "xab" + "ab" * 150 + text(400), "aba"), ("f", 902, "bab", "ABA")]
+    pages = spark.createDataFrame(made, "doc string, page_number long, source string, target string").repartition(3)
+    queries = ["aba", " AB ab ", "aaa", "abab", "中ab中a", "zzz", "b a b", "aaaaaa", "ababab", "a\0ab", "😀ab", "aab"]
+    want = functools.reduce(lambda a, b: a.unionByName(b), [search.matches(pages, ["doc"], q).withColumn("query", F.lit(q)) for q in queries])
+    for size in (64, 5, 1 << 20):
+        folder = f"file://{tmp_path}/index-{size}"
+        search.write_blocks(pages, ["doc"], folder, buckets=7, size=size)
+        got = search.block_matches(spark, folder, queries, buckets=7)
+        assert rows(got.select(want.columns)) == rows(want), size
+    assert {"aaaaaa", "ababab", "a\0ab"} <= {r.query for r in want.select("query").distinct().collect()}
+    with pytest.raises(ValueError, match="3 characters"):
+        search.block_matches(spark, folder, ["abc", "ab"], buckets=7)
+    search.write_blocks(pages.where("page_number < 0"), ["doc"], f"file://{tmp_path}/none")
+    assert search.block_matches(spark, f"file://{tmp_path}/none", queries).collect() == []
+
+
+def test_places_in_order():
+    """With few letters and with too many for one number; steps of any size come back."""
+    rng = np.random.default_rng(5)
+    for letters in (3, 60_000):
+        codes = rng.integers(40, 40 + letters, 150_000).astype(np.uint32)
+        at = np.flatnonzero(rng.random(len(codes) - 2) < 0.9)
+        places, first = search.in_order(codes, at)
+        order = np.lexsort((at, codes[at + 2], codes[at + 1], codes[at]))
+        assert (places == at[order]).all()
+        grams = codes[places[:, None] + np.arange(3)]
+        assert first.tolist() == [0, *(np.flatnonzero((np.diff(grams, axis=0) != 0).any(axis=1)) + 1)]
+    steps = np.array([0, 127, 128, 16383, 16384, 5, 2097151, 2097152, 1 << 30])
+    got = [search.unpacked(v).tolist() for v in search.packed(steps, np.array([0, 5, 8])).to_pylist()]
+    assert got == [np.cumsum(s).tolist() for s in (steps[:5], steps[5:8], steps[8:])]
+
+
+def test_indexed_search_shuffles_no_index(spark, sf, tmp_path, monkeypatch):
+    """Its index is written where pages are read, in less than three bytes a character."""
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **k: (written.append(w._df._jdf.queryExecution().executedPlan().toString()), write(w, *a, **k))[1])
+    monkeypatch.setattr(plans, "shared_folder", lambda _: f"file://{tmp_path}")
+    plans.indexed_search(spark, sf)
+    assert len(written) == 1 and "MapInArrow" in written[0] and "Exchange" not in written[0]
+    characters = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    assert characters < sum(map(os.path.getsize, glob.glob(f"{tmp_path}/*/*/*.parquet"))) < 3 * characters
+
+
 def found(lines, words):
     return sorted((n, at + 1, w) for n, line in lines for w in words for at in range(len(line)) if line.startswith(w, at))
 
